@@ -3,14 +3,50 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, line_dedup, mixing, simhash, sql
-from .common import as_bytes, table
+from . import decontam, extract, langid, line_dedup, media, mixing, simhash, sql, substring_dedup, token_count, warc
+from .common import as_bytes, drop_folder, shared_folder, table
+
+#: The vocabulary of op3, a parameter; the file is read by the driver alone.
+VOCABULARY = os.environ.get("STANDEX_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract.extract(pages)
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    kept = F.coalesce("text", F.lit(""))
+    return found.select(
+        "doc_id", "n_removed", "n_chars_removed", spans.alias("removed_spans"),
+        F.length(kept).cast("long").alias("n_chars_kept"), F.sha2(kept.cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    automaton = token_count.Automaton(*token_count.sentencepiece_vocabulary(VOCABULARY))
+    return token_count.with_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), automaton)
+
+
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.document_media(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.deduplicated(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    raw, normal = shared_folder(spark, "warc-raw"), shared_folder(spark, "warc")
+    archives = warc.normalise(warc.write_archives(records, raw), normal)
+    drop_folder(spark, raw)  # the manifest of the normalised archives is checkpointed
+    return warc.read_records(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +93,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_text": op1_html_text,
+        "op2_substring_dedup": op2_substring_dedup,
+        "op3_token_count": op3_token_count,
+        "op4_media": op4_media,
+        "op5_warc": op5_warc,
         "op6_decontamination": op6_decontamination,
         "op7_language_id": op7_language_id,
         "op8_source_mix": op8_source_mix,
@@ -67,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_warc": sql.WARC,
         "op6_decontamination": sql.DECONTAMINATION,
         "op8_source_mix": sql.MIXING,
         "op10_line_dedup": sql.LINE_DEDUP,

@@ -186,12 +186,13 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int | None = No
 
 
 def classes(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(docs without text, fp, component_id): component_id is the smallest doc_id reachable."""
+    """(docs without text, fp, class, component_id): component_id is the smallest doc_id reachable,
+    class the smallest fingerprint."""
     marked = materialise(fingerprints(docs))
     # one row a fingerprint, with the smallest id that has it: copies are counted before any shuffle
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     joined = components(links(nodes.select("fp"), distance))
     named = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
     least = named.groupBy("class").agg(F.min("least").alias("component_id"))
-    names = named.join(least, "class").select("fp", "component_id")
+    names = named.join(least, "class").select("fp", "class", "component_id")
     return marked.join(names, "fp")

@@ -51,11 +51,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps of each class of near duplicates the document with the smallest id."""
     marked = simhash.classes(docs.select("doc_id", "text", *[v.alias(k) for k, v in row_key().items()]))
     best = marked.groupBy("class").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*")
-    rows = marked.join(best, list(KEY), "left_semi").groupBy(*KEY).agg(F.count("*").alias("n"))
+    rows = marked.join(best, list(KEY), "left_semi").groupBy(*KEY).agg(F.count("*").alias("_sx_n"))
     keyed = docs.withColumns(row_key()).join(rows, list(KEY))
-    once = keyed.where("n = 1").drop("n", *KEY)
+    once = keyed.where("_sx_n = 1").drop("_sx_n", *KEY)
     # rows that are repeated with the same id and text: one of them
-    again = keyed.where("n > 1").dropDuplicates(list(KEY)).drop("n", *KEY)
+    again = keyed.where("_sx_n > 1").dropDuplicates(list(KEY)).drop("_sx_n", *KEY)
     return once.unionByName(again)
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import drop_folder, materialise, shared_folder, stored
+
+__all__ = ["KEY", "as_bytes", "drop_folder", "materialise", "row_key", "shared_folder", "stored", "table", "widened"]
+
 #: Internal columns: the document's id with a stand-in for null, and a hash of its text.
 KEY = ("_sx_id", "_sx_hash")
 #: Stand-in for a null doc_id. It sorts last, so a null id is never preferred to a real one.
@@ -29,36 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a temporary one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not root and current.isDefined():
-        root = current.get()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='standex-')}"
-    if current.isEmpty():
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder's URI below the shared one. Unique, so that concurrent runs don't meet."""
-    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
-
-
-def drop_folder(spark: SparkSession, uri: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage is cut at files that outlive a lost executor."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """A string column's UTF-8, without decoding it."""
     if pa.types.is_large_string(column.type):
@@ -66,13 +37,5 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
-    """A table written to the shared folder and read again. Unlike a checkpoint, its size is then
-    known to the planner, which broadcasts it only below spark.sql.autoBroadcastJoinThreshold."""
-    uri = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(uri)
-    return df.sparkSession.read.parquet(uri)
-
-
 def widened(schema: T.StructType, *more: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in more]])

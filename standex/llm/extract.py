@@ -53,6 +53,8 @@ HEADER_NAMES = frozenset(["header"])
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ARTICLE = frozenset(["article", "main"])
+#: Blocks that may be menus without a name that says so.
+LINK_BLOCKS = frozenset("ul ol dl div section table p center span".split())
 
 
 def _names(attributes: dict[str, str]) -> set[str]:
@@ -149,8 +151,16 @@ def main_text(html: str | None) -> str:
     density = {id(n): _density(*counts[id(n)], lc / c) for n in nodes}
     sums = {id(n): sum(density[id(x)] for x in n.children if not isinstance(x, str) and not x.marks[0]) for n in nodes}
     best = max(nodes, key=lambda n: sums[id(n)])  # the first in page order on ties
+
+    def outside(node: Node) -> bool:
+        """Outside of an article, blocks that are mostly links are menus too."""
+        if node.marks[0]:
+            return True
+        c, _, lc, lt = counts[id(node)]
+        return lt > 1 and 5 * lc >= 3 * c and node.tag in LINK_BLOCKS
+
     if not sums[id(best)]:
-        return text_of(body, skipped)
+        return text_of(body, outside)
     path, node = [], best
     while node is not None and node is not body.parent:
         path.append(node)
@@ -167,9 +177,9 @@ def main_text(html: str | None) -> str:
         if isinstance(x, str):
             return x
         c, _, lc, _ = counts[id(x)]
-        return f" {text_of(x, skipped)} " if good or 2 * lc <= c else " "
+        return f" {text_of(x, outside)} " if good or 2 * lc <= c else " "
 
-    text = text_of(best, skipped)
+    text = text_of(best, outside)
     for inner, outer in zip(path, path[1:], strict=False):
         beside = [x for x in outer.children if isinstance(x, str) or not x.marks[0]]
         good = [x is inner or not isinstance(x, str) and density[id(x)] >= threshold for x in beside]

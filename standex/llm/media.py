@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, drop_folder, shared_folder, widened
+from .common import as_bytes, shared_folder, widened
 from .html import BLOCK, Node, parse
 
 UNIT = 576
@@ -254,6 +254,3 @@ def document_media(docs: DataFrame) -> DataFrame:
     facts = read_media(spark.read.schema("media binary").parquet(uri))
     rows = resolved_items(documents_as_media(docs), facts).where("item.kind = 'media'")
     return rows.select("doc_id", "n_bytes", *[f"fact.{n}" for n, _ in FACTS])
-
-
-__all__ = ["document_media", "drop_folder", "resolve", "sequences", "store_media", "read_media"]

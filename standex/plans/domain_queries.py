@@ -160,9 +160,9 @@ RULE = (
 RULED = f"{RANKED}, sc0 AS (SELECT *, {RULE} AS score FROM lists WHERE rank <= 30), sc AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS rank FROM sc0)"
 
 
-@query(f"WITH {RULED} SELECT qid, doc_idx, round(score, 6) AS score, rank::INTEGER AS rank FROM sc")
+@query(f"WITH {RULED} SELECT qid, doc_idx, score, rank::INTEGER AS rank FROM sc")
 def rule_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank.rerank(ranked(spark, sf_dir)).select("qid", "doc_idx", F.round("score", 6).alias("score"), "rank")
+    return rank.rerank(ranked(spark, sf_dir)).select("qid", "doc_idx", "score", "rank")
 
 
 _NAMED = "concat_ws(' ', id, title)"
@@ -185,10 +185,10 @@ def modelled(source: str) -> str:
     )
 
 
-@query(f"WITH {RANKED}, {modelled('lists')} SELECT qid, doc_idx, pair, round(score, 6) AS score, rank::INTEGER AS rank FROM md")
+@query(f"WITH {RANKED}, {modelled('lists')} SELECT qid, doc_idx, pair, score, rank::INTEGER AS rank FROM md")
 def metadata_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rank.rerank(ranked(spark, sf_dir), rank.overlap_model)
-    return found.select("qid", "doc_idx", rank.pair_text().alias("pair"), F.round("score", 6).alias("score"), "rank")
+    return found.select("qid", "doc_idx", rank.pair_text().alias("pair"), "score", "rank")
 
 
 #: Scored lists: a gap, none, three rows, tops of zero and below, a late gap, one row.

@@ -114,25 +114,25 @@ BENCHMARK_Q = "q AS (SELECT item_id AS qid, text AS query FROM benchmark)"
 PLAIN_TOKENS = f"qt AS (SELECT qid, query, {g.tokens('query')} AS w FROM q)"
 
 
-@query(f"WITH {g.SCALE}, {g.LEXICAL}, {BENCHMARK_Q}, {PLAIN_TOKENS}, {g.bm25('qt')} SELECT qid, doc_idx, round(score, 6) AS score, rank::INTEGER AS rank FROM lex")
+@query(f"WITH {g.SCALE}, {g.LEXICAL}, {BENCHMARK_Q}, {PLAIN_TOKENS}, {g.bm25('qt')} SELECT qid, doc_idx, score::DOUBLE AS score, rank::INTEGER AS rank FROM lex")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, idx = _scale(spark, sf_dir)
     scores = search.bm25_scores(search.query_tokens(queries), idx)
-    return search.bm25_ranks(queries, scores, idx.corpus).withColumn("score", F.round("score", 6))
+    return search.bm25_ranks(queries, scores, idx.corpus)
 
 
-@query(f"WITH qv AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 50 = 0), {g.DENSE} SELECT qid, doc_idx, round(sim, 6) AS sim, rank::INTEGER AS rank FROM dense")
+@query(f"WITH qv AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 50 = 0), {g.DENSE} SELECT qid, doc_idx, sim, rank::INTEGER AS rank FROM dense")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 50th vector asks; all are searched."""
     queries = data.vectors(spark, sf_dir, "qid").where("qid % 50 = 0")
-    return search.dense_ranks(data.vectors(spark, sf_dir, "doc_idx"), queries).withColumn("sim", F.round("sim", 6))
+    return search.dense_ranks(data.vectors(spark, sf_dir, "doc_idx"), queries)
 
 
-@query(f"WITH {g.SCALE}, {g.LEXICAL}, {BENCHMARK_Q}, {g.EXPANSION} SELECT term, nbr AS neighbour, round(score, 6) AS score, rnk::INTEGER AS rnk FROM exps")
+@query(f"WITH {g.SCALE}, {g.LEXICAL}, {BENCHMARK_Q}, {g.EXPANSION} SELECT term, nbr AS neighbour, score, rnk::INTEGER AS rnk FROM exps")
 def cooccur_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, idx = _scale(spark, sf_dir)
     terms = search.query_tokens(queries).select(F.explode("tokens").alias("term"))
-    return index.expansions(idx.postings, idx.vocab, idx.stats, terms).withColumn("score", F.round("score", 6))
+    return index.expansions(idx.postings, idx.vocab, idx.stats, terms)
 
 
 @query(f"WITH {g.SCALE}, {g.LEXICAL}, {BENCHMARK_Q}, {g.EXPANSION} SELECT qid, len(w)::BIGINT AS n_tokens, {g.join('w', ' ')} AS tokens FROM wide")
@@ -172,11 +172,10 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 HYBRID = f"{g.EXPANSION}, {g.bm25('wide')}, {g.DENSE}, {g.COVERAGE}, {g.FUSION}, {g.SIGNALS}, {g.BOOSTED}"
 
 
-@query(f"WITH {g.SCALE}, {g.LEXICAL}, {BENCHMARK_Q}, {SCALE_QV}, {HYBRID} SELECT qid, doc_idx, round(rrf_score, 6) AS rrf_score, rank::INTEGER AS rank FROM found")
+@query(f"WITH {g.SCALE}, {g.LEXICAL}, {BENCHMARK_Q}, {SCALE_QV}, {HYBRID} SELECT qid, doc_idx, rrf_score, rank::INTEGER AS rank FROM found")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, idx = _scale(spark, sf_dir)
-    found = search.hybrid(queries, _scale_vectors(spark, sf_dir, queries), idx)
-    return found.withColumn("rrf_score", F.round("rrf_score", 6))
+    return search.hybrid(queries, _scale_vectors(spark, sf_dir, queries), idx)
 
 
 DOMAIN_Q = f"{data.values('q0', 'qid, query', data.PUBLIC)}, q1 AS (SELECT qid, {g.normal_query('query')} AS n FROM q0), q AS (SELECT qid::BIGINT AS qid, {g.expanded('n')} AS query FROM q1)"

@@ -12,12 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.shared import shared_folder
+from ..sources.shared import materialise, shared_folder
 
 EPSILON, K1, B = 0.25, 1.5, 0.75
 MAX_SHARE = 0.6
 NEIGHBOURS = 6
 SIGNAL_SHARE = 0.25
+#: Digits that scores are rounded to before they are ranked: sums in another order then rank alike.
+DIGITS = 6
+#: Terms of the first pass of expansions().
+STRONG = 128
 
 
 def search_text() -> Column:
@@ -74,18 +78,35 @@ def category_signals(posted: DataFrame, corpus: DataFrame) -> DataFrame:
 def expansions(posted: DataFrame, vocab: DataFrame, n_docs: DataFrame, terms: DataFrame, top: int = NEIGHBOURS) -> DataFrame:
     """(term, neighbour, score, rnk): the `top` best co-occurring terms of each of `terms`.
 
-    Only the documents of the wanted terms are paired, and neighbours in more than 0.6 of all documents,
-    which are never taken, are dropped before the pairs are made. So the pairs follow the queries'
-    words, not the square of the documents' lengths."""
-    usable = vocab.crossJoin(F.broadcast(n_docs.select("n"))).where(F.col("df") <= MAX_SHARE * F.col("n"))
+    Only the documents of the wanted terms are paired, and neighbours in more than 0.6 of all
+    documents are never taken. Two terms meet in at most as many documents as either has, so a
+    neighbour's score is at most least(df, df') x weight. A first pass over the STRONG terms with the
+    highest bounds gives each term `top` scores; the second pass drops, before anything is
+    counted, the neighbours whose bound is below them. The result is exact."""
     weight = F.ln((F.col("n") + 1) / (F.col("df") + 1))
-    usable = usable.select(F.col("term").alias("neighbour"), weight.alias("w"))
-    left = posted.select("doc_idx", "term").join(terms.select("term").distinct(), "term", "left_semi")
-    right = posted.select("doc_idx", F.col("term").alias("neighbour"))
-    pairs = left.join(right, "doc_idx").where("term <> neighbour").groupBy("term", "neighbour").agg(F.count("*").alias("cnt"))
-    scored = pairs.join(usable, "neighbour").withColumn("score", F.round(F.col("cnt") * F.col("w"), 9))
+    usable = vocab.crossJoin(F.broadcast(n_docs.select("n"))).where(F.col("df") <= MAX_SHARE * F.col("n"))
+    strong = usable.select(F.col("term").alias("neighbour"), weight.alias("w"), (F.col("df") * weight).alias("most"))
+    strong = F.broadcast(strong.orderBy(F.desc("most"), "neighbour").limit(STRONG).select("neighbour", "w"))
+    wanted = terms.select("term").distinct()
+    left = posted.select("doc_idx", "term", F.col("df").alias("df_t")).join(wanted, "term", "left_semi")
     order = Window.partitionBy("term").orderBy(F.desc("score"), "neighbour")
-    return scored.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= top).select("term", "neighbour", "score", "rnk")
+
+    def best(scored: DataFrame) -> DataFrame:
+        return scored.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= top)
+
+    score = F.round(F.col("cnt") * F.col("w"), DIGITS).alias("score")
+    right = posted.select("doc_idx", F.col("term").alias("neighbour")).join(strong, "neighbour")
+    pairs = left.join(right, "doc_idx").where("term <> neighbour").groupBy("term", "neighbour", "w").agg(F.count("*").alias("cnt"))
+    first = materialise(best(pairs.select("term", "neighbour", score)))  # at most `top` rows a term
+    floor = first.groupBy("term").agg(F.when(F.count("*") == top, F.min("score")).otherwise(0.0).alias("floor"))
+    left = left.join(floor, "term", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    rest = posted.crossJoin(F.broadcast(n_docs.select("n"))).where(F.col("df") <= MAX_SHARE * F.col("n"))
+    rest = rest.select("doc_idx", F.col("term").alias("neighbour"), "df", weight.alias("w")).join(strong.select("neighbour"), "neighbour", "left_anti")
+    bound = F.least("df", "df_t") * F.col("w") + 10.0**-DIGITS
+    pairs = left.join(rest, "doc_idx").where((F.col("term") != F.col("neighbour")) & (bound >= F.col("floor")))
+    pairs = pairs.groupBy("term", "neighbour", "w").agg(F.count("*").alias("cnt"))
+    every = first.select("term", "neighbour", "score").unionByName(pairs.select("term", "neighbour", score))
+    return best(every).select("term", "neighbour", "score", "rnk")
 
 
 @dataclass
@@ -119,10 +140,11 @@ def build(corpus: DataFrame, vectors: DataFrame, path: str | None = None) -> Ind
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         return spark.read.parquet(f"{path}/{name}")
 
-    corpus = keep(corpus, "corpus")
+    corpus = keep(corpus.repartition("doc_idx"), "corpus")  # even parts, whatever files it came in
     tokened = keep(tokens(corpus), "tokens")
-    posted = keep(postings(tokened), "postings")
+    posted = postings(tokened)
     vocab = keep(vocabulary(posted), "vocab")
+    posted = keep(posted.join(vocab, "term"), "postings")  # with each term's df
     stats = keep(statistics(tokened, vocab), "stats")
     signals = keep(category_signals(posted, corpus), "signals")
     return Index(corpus, tokened, posted, vocab, stats, signals, vectors)

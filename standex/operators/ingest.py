@@ -10,7 +10,7 @@ from ..functions import lexicons as lex
 
 CORE, WINDOW, STRIDE = 600, 1200, 800
 #: Rows of one block of a running sum.
-BLOCK = 100_000
+BLOCK = 2_000
 
 
 def lines_of(pages: DataFrame, body: str = "text") -> DataFrame:

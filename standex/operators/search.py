@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from .index import B, K1, NEIGHBOURS, Index, expansions, idf
+from ..sources.shared import materialise
+from .index import B, DIGITS, K1, NEIGHBOURS, Index, expansions, idf
 
 DENSE_K, BM25_K, RRF_K, TOP_K = 20, 20, 40, 20
 SEMANTIC, LEXICAL = 1.5, 1.0
@@ -75,7 +76,7 @@ def expand_tokens(tokens: DataFrame, index: Index) -> DataFrame:
     all their tokens. Pairs of co-occurring terms are by far the largest intermediate here."""
     each = tokens.select("qid", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "term"))
     head = each.where(F.col("pos") <= F.col("n") / NEIGHBOURS)
-    best = expansions(index.postings, index.vocab, index.stats, head)
+    best = materialise(expansions(index.postings, index.vocab, index.stats, head))  # six rows a term
 
     def filled(asked: DataFrame, found: DataFrame) -> DataFrame:
         row = F.struct("pos", "rnk", "neighbour")
@@ -94,12 +95,10 @@ def bm25_scores(tokens: DataFrame, index: Index) -> DataFrame:
     """(qid, doc_idx, score) of documents with a query token; a repeated token counts each time."""
     terms = tokens.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
     stats = F.broadcast(index.stats)  # one row
-    weighted = terms.join(index.vocab, "term").crossJoin(stats)
-    weighted = weighted.withColumn("idf", idf(F.col("n"), F.col("df"), F.col("avg_idf"))).select("qid", "term", "qtf", "idf", "avgdl")
-    hit = index.postings.join(weighted, "term")
+    hit = index.postings.join(terms, "term").crossJoin(stats).withColumn("idf", idf(F.col("n"), F.col("df"), F.col("avg_idf")))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    return hit.groupBy("qid", "doc_idx").agg(F.round(F.sum(part), 9).alias("score"))
+    return hit.groupBy("qid", "doc_idx").agg(F.round(F.sum(part), DIGITS).alias("score"))
 
 
 def bm25_ranks(queries: DataFrame, scores: DataFrame, corpus: DataFrame, k: int = BM25_K) -> DataFrame:

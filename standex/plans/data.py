@@ -62,7 +62,8 @@ def literal(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
 
 
 def standards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(f"WITH {NUMBERS}, {TERMS} {STANDARDS.replace('FROM part p', 'FROM {part} p')}", part=table(spark, sf_dir, "part"))
+    made = spark.sql(f"WITH {NUMBERS}, {TERMS} {STANDARDS.replace('FROM part p', 'FROM {part} p')}", part=table(spark, sf_dir, "part"))
+    return made.repartition("std_seq")  # part is one small file
 
 
 def domain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:

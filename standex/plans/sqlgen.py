@@ -224,7 +224,7 @@ qterm AS (SELECT DISTINCT term FROM qe),
 pairs AS (
   SELECT a.term, b.term AS nbr, count(*) AS cnt FROM post a JOIN qterm USING (term) JOIN post b ON a.doc_idx = b.doc_idx AND a.term <> b.term GROUP BY ALL),
 scored AS (
-  SELECT p.term, p.nbr, round(cnt * ln((n + 1) / (df + 1)), 9) AS score FROM pairs p JOIN vocab v ON p.nbr = v.term, size WHERE df <= 0.6 * n),
+  SELECT p.term, p.nbr, round(cnt * ln((n + 1) / (df + 1)), 6) AS score FROM pairs p JOIN vocab v ON p.nbr = v.term, size WHERE df <= 0.6 * n),
 exps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY score DESC, nbr) AS rnk FROM scored) WHERE rnk <= 6),
 more AS (
   SELECT qid, nbr, min(pos * 10 + rnk) AS o FROM qe JOIN exps USING (term) WHERE NOT list_contains(w, nbr) GROUP BY qid, nbr),
@@ -242,7 +242,7 @@ wi AS (
   SELECT qid, term, qtf, CASE WHEN r < 0 THEN 0.25 * avg_idf ELSE r END AS idf
   FROM (SELECT qid, term, qtf, avg_idf, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM wt JOIN vocab USING (term), stats)),
 bm AS (
-  SELECT qid, doc_idx, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
+  SELECT qid, doc_idx, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM post JOIN wi USING (term), stats GROUP BY qid, doc_idx),
 lex AS (
   SELECT * FROM (

@@ -29,6 +29,8 @@ LENGTH = 13
 ANCHORS = 2
 #: Rows of the benchmark's side that may be broadcast (terms, or windows of at most LENGTH words).
 BOUND = 1_000_000
+#: Files that the benchmark's tables are kept in; they are small beside the corpus.
+FILES = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Word characters are 0-9, A-Z, a-z and all non-ASCII ones. As a class of two parts, which the regex
 #: engine tests far faster than a negated union of ranges.
@@ -92,7 +94,7 @@ def _index(docs: DataFrame, wins: DataFrame, anchors: int, around: int) -> tuple
     """(anchored windows, postings of their anchors)."""
     vocabulary = wins.select(F.explode("words").alias("term")).distinct()
     counts = term_counts(docs, vocabulary, vocabulary.count())
-    marked = materialise(anchored(wins, counts, anchors))
+    marked = materialise(anchored(wins, counts, anchors).coalesce(FILES))
     terms = marked.select("term").distinct()
     return marked, postings(docs, terms, terms.count(), around)
 
@@ -127,7 +129,7 @@ def proximity_matches(docs: DataFrame, wins: DataFrame, slop: int) -> DataFrame:
 def hits(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
     """(KEY, n_hit, items): for each document with an occurrence, its words inside any, and the ids
     of the items, as sorted strings."""
-    wins = materialise(windows(items, length))
+    wins = materialise(windows(items, length).coalesce(FILES))
     found = phrase_matches(docs, wins)
     n = wins.count()
     named = found.join(_small(wins.select("window", "item_id"), n), "window")

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: Edges that a file of a round holds at least, and the fewest files.
+ROWS, FILES = 200_000, 8
+
 
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -34,7 +37,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialise(small)
+        edges = materialise(small.coalesce(max(FILES, before[0] // ROWS)))
         after = _state(edges)
         if after == before:
             break

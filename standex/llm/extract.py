@@ -39,11 +39,11 @@ DROPPED_ROLES = frozenset(
 )
 #: Words in a class or id that name such parts.
 DROPPED_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot banner breadcrumb breadcrumbs comment "
+    "ad ads adsbygoogle adv advert adverts advertisement advertisements advertising adsense adbox adslot banner breadcrumb breadcrumbs comment "
     "comments commentlist consent cookie cookies copyright discussion disqus feedback footer gdpr guestbook login masthead menu "
-    "modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion "
-    "recommendations recommended related replies reply respond responses share sharing sidebar signup social sponsor sponsored "
-    "subscribe subscription toolbar topbar widget widgets".split()
+    "modal nav navbar navigation newsletter notice notices notification offcanvas overlay pager pagination paywall popup promo promoted promotion "
+    "rail recommendations recommended related replies reply respond responses share sharing sidebar sidenav signup social sponsor sponsored "
+    "subscribe subscription subnav toast toolbar topbar topnav widget widgets".split()
 )
 #: Of these, what names readers' words: dropped however long they are.
 COMMENT_NAMES = frozenset("comment comments commentlist discussion disqus guestbook replies reply respond responses".split())
@@ -58,7 +58,13 @@ LINK_BLOCKS = frozenset("ul ol dl div section table p center span".split())
 
 
 def _names(attributes: dict[str, str]) -> set[str]:
-    return {x.lower() for key in ("class", "id") for x in _NAME.findall(attributes.get(key, ""))}
+    """The words of class and id, and neighbouring words of one name as one ("side-bar")."""
+    out: set[str] = set()
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
+        words = [x.lower() for x in _NAME.findall(name)]
+        out.update(words)
+        out.update(a + b for a, b in zip(words, words[1:], strict=False))
+    return out
 
 
 def _mark(root: Node) -> None:
@@ -109,7 +115,7 @@ def _mark(root: Node) -> None:
             continue
         if id(node) in holds or id(node) in own:
             continue  # it wraps the article
-        if names & COMMENT_NAMES or node.marks[1] or 2 * size[id(node)] <= body or holds or own:
+        if names & COMMENT_NAMES or 2 * size[id(node)] <= body or not node.marks[1] and (holds or own):
             node.marks = (True, node.marks[1])
 
 

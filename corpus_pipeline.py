@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from standex.llm import decontam, langid, line_dedup, mixing, simhash
-from standex.llm.common import KEY, as_bytes, row_key, shared_folder, table
+from standex.llm.common import KEY, as_bytes, materialise, row_key, shared_folder, table
 
 #: Documents whose best language has a lower posterior are rejected, as are those of no language.
 LEAST_SCORE = 0.5
@@ -51,8 +51,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps of each class of near duplicates the document with the smallest id."""
     marked = simhash.classes(docs.select("doc_id", "text", *[v.alias(k) for k, v in row_key().items()]))
     best = marked.groupBy("class").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*")
-    rows = marked.join(best, list(KEY), "left_semi").groupBy(*KEY).agg(F.count("*").alias("_sx_n"))
+    rows = materialise(marked.join(best, list(KEY), "left_semi").groupBy(*KEY).agg(F.count("*").alias("_sx_n")))
     keyed = docs.withColumns(row_key()).join(rows, list(KEY))
+    if rows.where("_sx_n > 1").isEmpty():
+        return keyed.drop("_sx_n", *KEY)
     once = keyed.where("_sx_n = 1").drop("_sx_n", *KEY)
     # rows that are repeated with the same id and text: one of them
     again = keyed.where("_sx_n > 1").dropDuplicates(list(KEY)).drop("_sx_n", *KEY)

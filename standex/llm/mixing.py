@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MOST = 3
@@ -71,9 +73,12 @@ def copies(rate: Column, u: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """(docs' columns as a struct `doc`, size, source_size, target, copies)."""
+    """(docs' columns as a struct `doc`, size, source_size, target, copies).
+
+    The rates are written first: one row a source, a table whose size the planner knows. It is
+    broadcast while it is small, and the documents then aren't shuffled by their sources."""
     wrapped = docs.select(F.struct("*").alias("doc"), F.col("source"), size().alias("size"), draw(seed=seed).alias("u"))
-    rates = source_targets(docs.select("source", size().alias("size")), weights, most)
+    rates = stored(source_targets(docs.select("source", size().alias("size")), weights, most), "rates")
     rates = rates.withColumnRenamed("source", "_sx_source")
     joined = wrapped.join(rates, F.col("source").eqNullSafe(F.col("_sx_source")))
     return joined.select("doc", "size", "source_size", "target", copies(F.col("rate"), F.col("u")).alias("copies"))

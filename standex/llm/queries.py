@@ -108,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_substring_dedup": sql.SUBSTRING_DEDUP,
         "op5_warc": sql.WARC,
         "op6_decontamination": sql.DECONTAMINATION,
         "op8_source_mix": sql.MIXING,

@@ -186,8 +186,9 @@ def check_substring(spark, sf):
     assert sorted((str(r.doc_id), r.removed_spans, r.kept_sha256) for r in got) == plain_substring(rows)
 
 
-def test_op2_against_plain(spark, small):
+def test_op2_against_plain_and_sql(spark, small):
     check_substring(spark, small)
+    assert oracle.rows_of(queries.op2_substring_dedup(spark, small)) == oracle.rows_in(oracle.connect(small), sql.SUBSTRING_DEDUP)
 
 
 def test_op2_edges(spark, edge, empty, tmp_path):

@@ -17,6 +17,21 @@ FALLBACK = {
     "latency_seconds": 0.87, "normalized_query": "general query", "expanded_query": "BIS standard compliance", "detected_category": "general",
     "candidates_retrieved": 20, "candidates_reranked": 10, "candidates_output": 4,
 }
+# Its cards: id, title, rationale, confidence, rank, category, primary, related, keywords.
+FALLBACK_CARDS = [
+    ("IS 269 : 2015", "Ordinary Portland Cement — Specification",
+     "IS 269 covers the specification for ordinary portland cement. Matches your query on: cement, 33 grade, portland.",
+     0.95, 1, "cement_opc", True, "IS 8112; IS 12269; IS 4032", "cement; 33 grade; portland; opc"),
+    ("IS 8112 : 2013", "Ordinary Portland Cement, 43 Grade — Specification",
+     "Matches your query's context of Portland cement manufacturing, though specifies 43 grade.",
+     0.82, 2, "cement_opc", False, "IS 269; IS 12269", "cement; portland"),
+    ("IS 12269 : 2013", "Ordinary Portland Cement, 53 Grade — Specification",
+     "Related standard for higher grade OPC cement manufacturing.",
+     0.75, 3, "cement_opc", False, "IS 269; IS 8112", "cement; portland"),
+    ("IS 4032 : 1985", "Method of Chemical Analysis of Hydraulic Cement",
+     "Relevant for testing requirements of the manufactured cement product.",
+     0.60, 4, "testing_methods", False, "IS 269", "cement"),
+]
 # The graph's geometry.
 CENTRE, RADIUS, OUTER, TURN = 150.0, 90.0, 60.0, 0.4
 
@@ -69,6 +84,25 @@ def cards(known: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
 
 
+def fallback_cards(spark: SparkSession) -> DataFrame:
+    """The cards shown where no canned query matches."""
+    lists = lambda x: x.split("; ")
+    rows = [(*card[:7], lists(card[7]), lists(card[8])) for card in FALLBACK_CARDS]
+    schema = (
+        "std_id string, title string, rationale string, confidence double, rank int, category string, is_primary boolean, "
+        "related_standards array<string>, matched_keywords array<string>"
+    )
+    return spark.createDataFrame(rows, schema)
+
+
+def answer_cards(queries: DataFrame, known: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(qid, card...): each query's cards, of its match or the fallback."""
+    found = match(queries, known).select(F.col("qid").alias("asked"), "matched_id")
+    of_match = found.join(cards(known, catalogue), F.col("matched_id") == F.col("qid")).drop("qid", "matched_id")
+    unmatched = found.where("matched_id is null").select("asked").crossJoin(F.broadcast(fallback_cards(known.sparkSession)))  # four literal rows
+    return of_match.unionByName(unmatched).withColumnRenamed("asked", "qid")
+
+
 def answer_meta(queries: DataFrame, known: DataFrame) -> DataFrame:
     """(qid, ...): the metadata of each query's answer, from its match or the fallback."""
     q = text.strip(F.col("query"))

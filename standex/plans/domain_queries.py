@@ -139,17 +139,17 @@ def chunk_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- ranking -----------------------------------------------------------------------------------
 
-#: Ranked lists over the domain corpus: eight groups of chunks as queries, in order of doc_idx.
+#: Ranked lists over the domain corpus: every twelve chunks, in order of doc_idx, are a query's list.
 LISTS = (
-    "SELECT doc_idx % 40 AS qid, row_number() OVER (PARTITION BY doc_idx % 40 ORDER BY doc_idx) AS rank, doc_idx, id, title, text, category, keywords, "
-    "related_standards, standard_year, CASE WHEN doc_idx % 3 = 0 THEN 1.5 ELSE 1.0 END AS importance_weight, 'IS 383 part ' || CAST(doc_idx % 40 % 4 AS STRING) AS query FROM enriched"
+    "SELECT CAST(floor(doc_idx / 12) AS BIGINT) AS qid, doc_idx % 12 + 1 AS rank, doc_idx, id, title, text, category, keywords, related_standards, standard_year, "
+    "CASE WHEN doc_idx % 3 = 0 THEN 1.5 ELSE 1.0 END AS importance_weight, 'IS 383 part ' || CAST(CAST(floor(doc_idx / 12) AS BIGINT) % 4 AS STRING) AS query FROM enriched"
 )
 RANKED = f"{g.ENRICHED}, lists AS ({LISTS})"
 
 
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.sql(LISTS.replace("FROM enriched", "FROM {enriched}"), enriched=data.domain_enriched(spark, sf_dir))
-    return rows.withColumn("importance_weight", F.col("importance_weight").cast("double")).where("rank <= 30")
+    return rows.withColumn("importance_weight", F.col("importance_weight").cast("double"))
 
 
 _LOOSE_PART = r"(?i)part[\s\-]*(\d+)"
@@ -157,7 +157,7 @@ RULE = (
     f"round((importance_weight * CASE WHEN len(list_intersect({g.numbers('query', g.LOOSE_RE)}, {g.numbers('id', g.LOOSE_RE)})) > 0 THEN 1.3 ELSE 1.0 END * "
     f"CASE WHEN {g.part_of('query', _LOOSE_PART)} IS NULL OR {g.part_of('id', _LOOSE_PART)} IS NULL THEN 1.0 WHEN {g.part_of('query', _LOOSE_PART)} = {g.part_of('id', _LOOSE_PART)} THEN 1.2 ELSE 0.8 END)::DOUBLE, 9)"
 )
-RULED = f"{RANKED}, sc0 AS (SELECT *, {RULE} AS score FROM lists WHERE rank <= 30), sc AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS rank FROM sc0)"
+RULED = f"{RANKED}, sc0 AS (SELECT *, {RULE} AS score FROM lists), sc AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS rank FROM sc0)"
 
 
 @query(f"WITH {RULED} SELECT qid, doc_idx, score, rank::INTEGER AS rank FROM sc")
@@ -239,7 +239,7 @@ padded AS (SELECT * FROM emitted UNION ALL SELECT * FROM p3 WHERE pos <= 5)
 
 
 @query(
-    f"WITH {RANKED}, sc AS (SELECT * FROM lists WHERE rank <= 2), {DEDUP.replace('@source', 'sc')}, cand AS (SELECT qid, rank, doc_idx, id, 1.0 / rank AS rrf_score FROM lists WHERE rank <= 30), "
+    f"WITH {RANKED}, sc AS (SELECT * FROM lists WHERE rank <= 2), {DEDUP.replace('@source', 'sc')}, cand AS (SELECT qid, rank, doc_idx, id, 1.0 / rank AS rrf_score FROM lists), "
     f"tops AS (SELECT DISTINCT qid, 0.2 AS top FROM lists), {PAD.replace('@candidates', 'cand').replace('@top', 'tops')} SELECT qid, std_id, doc_idx, pos::INTEGER AS pos FROM padded"
 )
 def pad_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +320,7 @@ def first_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {RULED}, {DEDUP.replace('@source', 'sc')}, "
     "v AS (SELECT qid, k AS base_key, rank, std_id, count(*) OVER (PARTITION BY qid, k) AS n_versions, min(rank) OVER (PARTITION BY qid, k) AS f FROM n1), "
     "w AS (SELECT *, dense_rank() OVER (PARTITION BY qid ORDER BY f) AS gr FROM v WHERE n_versions > 1) "
-    "SELECT w.qid, base_key, rank::INTEGER AS rank, w.std_id, n_versions::BIGINT AS n_versions, e.std_id IS NOT NULL AS selected FROM w LEFT JOIN emitted e ON e.qid = w.qid AND e.std_id = w.std_id WHERE gr <= 5"
+    "SELECT w.qid, base_key, rank::BIGINT AS rank, w.std_id, n_versions::BIGINT AS n_versions, e.std_id IS NOT NULL AS selected FROM w LEFT JOIN emitted e ON e.qid = w.qid AND e.std_id = w.std_id WHERE gr <= 5"
 )
 def dup_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rank.rerank(ranked(spark, sf_dir))
@@ -474,14 +474,14 @@ _TERMS = f"(list_filter({g.once(g.words('lower(query)'))}, lambda z: length(z) >
 
 
 @query(
-    f"WITH {data.values('q', 'qid, query', data.PUBLIC)}, {RANKED}, p AS (SELECT l.qid, l.rank, l.id, l.title, l.text, q.query FROM lists l JOIN q ON q.qid = l.qid % 10 WHERE l.rank <= 12), "
+    f"WITH {data.values('q', 'qid, query', data.PUBLIC)}, {RANKED}, p AS (SELECT l.qid, l.rank, l.id, l.title, l.text, q.query FROM lists l JOIN q ON q.qid = l.qid % 10), "
     f"s AS (SELECT *, substr({g.sub(f'trim(regexp_extract(text, {data.quoted(_SCOPE)}, 1))', r'\s+', ' ')}, 1, 200) AS scope, {_TERMS} AS m FROM p) "
-    "SELECT qid, id, rank::INTEGER AS rank, CASE WHEN scope <> '' THEN id || ' covers ' || scope || '.' WHEN length(title) > 5 THEN id || ' pertains to ' || title || '.' ELSE id || ' is a relevant Indian Standard.' END "
+    "SELECT qid, id, rank::BIGINT AS rank, CASE WHEN scope <> '' THEN id || ' covers ' || scope || '.' WHEN length(title) > 5 THEN id || ' pertains to ' || title || '.' ELSE id || ' is a relevant Indian Standard.' END "
     "|| ' Matches your query on: ' || CASE WHEN len(m) > 0 THEN array_to_string(m, ', ') ELSE 'related specifications' END || '.' AS rationale, round(greatest(0.95 - (rank - 1) * 0.1, 0.3), 3)::DOUBLE AS confidence FROM s"
 )
 def template_rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = data.public_queries(spark).withColumnRenamed("qid", "q")
-    rows = ranked(spark, sf_dir).where("rank <= 12").drop("query")
+    rows = ranked(spark, sf_dir).drop("query")
     return rationale.rationales(rows.join(F.broadcast(asked), F.col("qid") % 10 == F.col("q")))
 
 
@@ -554,6 +554,19 @@ def answer_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return client.answer_meta(_asked(spark), client.canned(spark))
 
 
+FALLBACK_CARDS = data.values("fb", "std_id, title, rationale, confidence, rank, category, is_primary", [tuple(str(v).lower() if isinstance(v, bool) else v for v in c[:7]) for c in client.FALLBACK_CARDS])
+
+
+@query(
+    f"WITH {MATCH}, {CARDS.removeprefix(CANNED_SQL + ', ')}, {FALLBACK_CARDS}, m AS (SELECT qid AS asked, CASE WHEN score >= 3 THEN id END AS mid FROM best) "
+    "SELECT asked AS qid, std_id, title, rationale, confidence, rank, category, is_primary FROM m JOIN cards ON cards.qid = mid UNION ALL "
+    "SELECT asked, std_id, title, rationale, confidence::DOUBLE, rank::INTEGER, category, is_primary = 'true' FROM m, fb WHERE mid IS NULL"
+)
+def answer_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = client.answer_cards(_asked(spark), client.canned(spark), client.catalogue(spark))
+    return found.drop("related_standards", "matched_keywords")
+
+
 def _placed(spark: SparkSession) -> DataFrame:
     cards = client.cards(client.canned(spark), client.catalogue(spark))
     return cards.select("qid", "rank", F.col("std_id").alias("id"), "title", "related_standards")

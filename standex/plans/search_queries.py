@@ -121,10 +121,10 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25_ranks(queries, scores, idx.corpus)
 
 
-@query(f"WITH qv AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 50 = 0), {g.DENSE} SELECT qid, doc_idx, sim, rank::INTEGER AS rank FROM dense")
+@query(f"WITH qv AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 20 = 0), {g.DENSE} SELECT qid, doc_idx, sim, rank::INTEGER AS rank FROM dense")
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every 50th vector asks; all are searched."""
-    queries = data.vectors(spark, sf_dir, "qid").where("qid % 50 = 0")
+    """Every vector whose id is divisible by 20 asks; all are searched."""
+    queries = data.vectors(spark, sf_dir, "qid").where("qid % 20 = 0")
     return search.dense_ranks(data.vectors(spark, sf_dir, "doc_idx"), queries)
 
 
@@ -179,13 +179,12 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DOMAIN_Q = f"{data.values('q0', 'qid, query', data.PUBLIC)}, q1 AS (SELECT qid, {g.normal_query('query')} AS n FROM q0), q AS (SELECT qid::BIGINT AS qid, {g.expanded('n')} AS query FROM q1)"
-DOMAIN_QV = "qv AS (SELECT (vec_id / 7)::BIGINT AS qid, embedding FROM embeddings WHERE vec_id % 7 = 0 AND vec_id < 70)"
+#: The stand-in for query vectors: the stored ones of the same numbers.
+DOMAIN_QV = SCALE_QV
 
 
 def domain_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stand-in for query vectors: every seventh of the stored ones."""
-    stored = data.table(spark, sf_dir, "embeddings").where("vec_id % 7 = 0 and vec_id < 70")
-    return stored.select((F.col("vec_id") / 7).cast("long").alias("qid"), "embedding")
+    return _scale_vectors(spark, sf_dir, data.public_queries(spark))
 
 
 def domain_index(spark: SparkSession, sf_dir: str) -> index.Index:
@@ -197,18 +196,18 @@ def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return data.domain_corpus(spark, sf_dir).select("doc_idx", "search_text")
 
 
+_PART = r"(?i)part\s*(\d+)"
+
+
 @query(
-    f"WITH {g.CORPUS}, q AS (SELECT std_seq AS qid, id || ' part 2' AS query FROM raw WHERE std_seq % 100 = 1) "
-    f"SELECT q.qid, c.doc_idx, round(base + CASE WHEN qp IS NULL OR dp IS NULL THEN 0 WHEN qp = dp THEN 0.3 ELSE -0.15 * base END, 6)::DOUBLE AS boost FROM "
-    f"(SELECT q.qid, c.doc_idx, 1.0 + 0.4 * len(list_intersect({g.numbers('q.query')}, {g.numbers('c.search_text')})) AS base, "
-    f"{g.part_of('q.query', '(?i)part\\s*(\\d+)')} AS qp, {g.part_of('c.search_text', '(?i)part\\s*(\\d+)')} AS dp FROM q, (SELECT * FROM corpus WHERE doc_idx % 20 = 0) c) x "
-    f"JOIN q ON x.qid = q.qid JOIN corpus c ON c.doc_idx = x.doc_idx"
+    f"WITH {g.CORPUS}, {ID_ROWS}, b AS (SELECT v.i AS qid, c.doc_idx, 1.0 + 0.4 * len(list_intersect({g.numbers('v.raw')}, {g.numbers('c.search_text')})) AS base, "
+    f"{g.part_of('v.raw', _PART)} AS qp, {g.part_of('c.search_text', _PART)} AS dp FROM v, corpus c) "
+    "SELECT qid, doc_idx, round(base + CASE WHEN qp IS NULL OR dp IS NULL THEN 0 WHEN qp = dp THEN 0.3 ELSE -0.15 * base END, 6)::DOUBLE AS boost FROM b"
 )
 def exact_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The boost alone: ids of some standards as queries, against chunks. The pairs are what is asked for."""
-    asked = data.standards(spark, sf_dir).where("std_seq % 100 = 1").select(F.col("std_seq").alias("qid"), F.concat("id", F.lit(" part 2")).alias("query"))
-    corpus = data.domain_corpus(spark, sf_dir).where("doc_idx % 20 = 0").select("doc_idx", "search_text")
-    pairs = corpus.crossJoin(F.broadcast(asked))
+    """The boost alone: a few literal queries against all chunks."""
+    asked = data.literal(spark, "qid, query", ID_TEXTS)
+    pairs = data.domain_corpus(spark, sf_dir).select("doc_idx", "search_text").crossJoin(F.broadcast(asked))
     return pairs.select("qid", "doc_idx", F.round(search.exact_boost(F.col("query"), F.col("search_text")), 6).alias("boost"))
 
 

@@ -140,7 +140,7 @@ def keywords(low: str, cat: str) -> str:
     own = [f"CASE WHEN {cat} = {quoted(c)} THEN {has(t, low)} ELSE [] END" for c, t in lex.TECHNICAL_TERMS.items()]
     other = [f"CASE WHEN {cat} <> {quoted(c)} THEN {has(t, low)} ELSE [] END" for c, t in lex.TECHNICAL_TERMS.items()]
     parts = [f"CASE WHEN {cat} <> 'general' THEN [{cat}] ELSE [] END", *own, *other, has(lex.DOMAIN_NOUNS, low)]
-    return "list_concat(" + ", ".join(parts) + ")" if len(parts) == 2 else _concat(parts)
+    return _concat(parts)
 
 
 def _concat(parts: list[str]) -> str:
@@ -179,10 +179,6 @@ chunks AS (
 """
 
 
-def _prop(kind: str) -> str:
-    return f"(SELECT CASE WHEN len(x) > 0 THEN x END FROM (SELECT ({has(lex.TECHNICAL_PROPERTIES[kind], 'l')})[1:10] AS x))"
-
-
 def props(kind: str) -> str:
     return f"({has(lex.TECHNICAL_PROPERTIES[kind], 'l')})[1:10]"
 

@@ -78,7 +78,8 @@ def _mark(root: Node) -> None:
         within = node.parent is not None and (node.parent.marks[1] or node.parent.tag in _ARTICLE)
         role = a.get("role", "").lower()
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))
-        strong = node.tag in DROPPED_TAGS or role in DROPPED_ROLES or hidden
+        whole = node.tag in ("html", "body")  # some pages hide these until a script has run
+        strong = node.tag in DROPPED_TAGS or not whole and (role in DROPPED_ROLES or hidden)
         if node.tag == "header" and not within:
             strong = True
         node.marks = (strong, within)

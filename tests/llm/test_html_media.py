@@ -35,6 +35,7 @@ def test_pages_give_their_articles(spark, small):
         (f"<body><div class='cookie-notice'>We use cookies</div><main>{P}<form>Name <input></form></main><div role=complementary>x</div></body>", PLAIN),
         (f"<article>{P}<script>var a = '<p>no</p>'</script><style>p{{}}</style><!-- no --><p>1 &lt; 2&nbsp;&nbsp;3</p></article>", f"{PLAIN} 1 < 2 3"),
         (f"<body><ul><li><a href=1>One</a><li><a href=2>Two</a></ul><div>{P}{P}</div><div>{P}</div></body>", f"{PLAIN} {PLAIN} {PLAIN}"),
+        (f"<body style='display:none'><article>{P}<p hidden>x</p></article><div class='side-bar'>y</div></body>", PLAIN),
         ("<article><p>un<b>bro</b>ken<br>line</p><p>next</article>", "unbroken line next"),
     ],
 )

@@ -1,16 +1,19 @@
 """Hybrid search of a whole set of queries in one job.
 
-Queries are frames of (qid, query, ...). A query set is broadcast where it has at most BOUND rows,
-otherwise it is joined by shuffle. Ranks and scores are (qid, doc_idx, ...) rows; texts don't
-travel through the ranking shuffles.
+Queries are frames of (qid, query, ...). Dense search broadcasts query vectors in blocks of at most
+BOUND rows, each of which reads the documents' vectors once; everything else joins queries as the
+planner sees fit. Ranks and scores are (qid, doc_idx, ...) rows; texts don't travel through the
+ranking shuffles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ from .index import B, DIGITS, K1, NEIGHBOURS, Index, expansions, idf
 
 DENSE_K, BM25_K, RRF_K, TOP_K = 20, 20, 40, 20
 SEMANTIC, LEXICAL = 1.5, 1.0
-#: Query rows that may be broadcast.
+#: Query rows that are broadcast at once.
 BOUND = 100_000
 
 
@@ -29,20 +32,43 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("qid", text.tokenize(F.col("query")).alias("tokens"))
 
 
+def query_blocks(query_vectors: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """(qids, matrix) of at most BOUND rows each. A larger set streams through the driver, a partition at a time."""
+    rows = query_vectors.select("qid", "embedding")
+    head = rows.limit(BOUND + 1).toArrow().to_pydict()
+    if len(head["qid"]) <= BOUND:
+        if head["qid"]:
+            yield head["qid"], np.asarray(head["embedding"], np.float64)
+        return
+    del head
+    names, vectors = [], []
+    for qid, vector in rows.toLocalIterator():
+        names.append(qid)
+        vectors.append(np.asarray(vector, np.float64))
+        if len(names) == BOUND:
+            yield names, np.stack(vectors)
+            names, vectors = [], []
+    if names:
+        yield names, np.stack(vectors)
+
+
 def dense_ranks(vectors: DataFrame, query_vectors: DataFrame, k: int = DENSE_K) -> DataFrame:
     """(qid, doc_idx, sim, rank): exact inner products of (doc_idx, embedding) with (qid, embedding).
 
-    The queries' matrix goes to every task (at most BOUND rows, in blocks of 1,024); a task
-    multiplies batch by batch and keeps its k best for each query, so what is shuffled is k rows a
-    query and task. Similarities are rounded to 9 digits, ties go to the smaller doc_idx."""
-    rows = query_vectors.select("qid", "embedding").limit(BOUND + 1).toArrow().to_pydict()
-    if len(rows["qid"]) > BOUND:
-        raise ValueError(f"more than {BOUND} queries; split the set")
+    The queries' matrix goes to every task, at most BOUND rows of it at once, and is worked on in
+    blocks of 1,024; a task multiplies batch by batch and keeps its k best for each query, so what is
+    shuffled is k rows a query and task. Similarities are rounded to 9 digits, ties go to the smaller doc_idx."""
     kind = query_vectors.schema["qid"].dataType.simpleString()
-    if not rows["qid"]:
+    context = vectors.sparkSession.sparkContext
+    parts = [_block_best(vectors, context.broadcast(block), kind, k) for block in query_blocks(query_vectors)]
+    if not parts:
         return vectors.sparkSession.createDataFrame([], f"qid {kind}, doc_idx long, sim double, rank int")
-    matrix = np.asarray(rows["embedding"], np.float64)
-    shipped = vectors.sparkSession.sparkContext.broadcast((rows["qid"], matrix))
+    order = Window.partitionBy("qid").orderBy(F.desc("sim"), "doc_idx")
+    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _block_best(vectors: DataFrame, shipped: Broadcast, kind: str, k: int) -> DataFrame:
+    """(qid, doc_idx, sim): of each task, the k best for each query of one block."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shipped.value
@@ -63,9 +89,7 @@ def dense_ranks(vectors: DataFrame, query_vectors: DataFrame, k: int = DENSE_K)
             if len(doc):
                 yield pa.RecordBatch.from_pydict({"qid": [name] * len(doc), "doc_idx": doc, "sim": sim})
 
-    part = vectors.select("doc_idx", "embedding").mapInArrow(best, f"qid {kind}, doc_idx long, sim double")
-    order = Window.partitionBy("qid").orderBy(F.desc("sim"), "doc_idx")
-    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return vectors.select("doc_idx", "embedding").mapInArrow(best, f"qid {kind}, doc_idx long, sim double")
 
 
 def expand_tokens(tokens: DataFrame, index: Index) -> DataFrame:

@@ -157,7 +157,7 @@ SCALE_QV = "qv AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id
 
 
 def _scale_vectors(spark: SparkSession, sf_dir: str, queries: DataFrame) -> DataFrame:
-    return data.vectors(spark, sf_dir, "qid").join(F.broadcast(queries.select("qid")), "qid", "left_semi")
+    return data.vectors(spark, sf_dir, "qid").join(queries.select("qid"), "qid", "left_semi")
 
 
 @query(f"WITH {g.SCALE}, {g.LEXICAL}, {BENCHMARK_Q}, {PLAIN_TOKENS}, qe AS (SELECT qid, unnest(w) AS term FROM qt), {g.bm25('qt')}, {SCALE_QV}, {g.DENSE}, {g.COVERAGE}, {g.FUSION} SELECT qid, doc_idx, round(score, 6) AS score FROM fused")

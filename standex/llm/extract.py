@@ -8,7 +8,9 @@
 3. The node with the largest sum of its children's densities heads the main text. The threshold is
    the least density on the path from it to the body: what stands beside that path is taken if it
    is as dense, or lies between two blocks that are. If the node lies in an article (or holds
-   one), the whole article is taken.
+   one), the whole article is taken, and so are, in page order, the other articles beside it: those
+   of the main element, else of the article's parent (or of the node that holds them). Headings and
+   paragraphs beside them come along if a main element or the node holds them.
 
 Defined results: null and empty pages, and pages without text, give the empty string. Pages of any
 length are parsed whole. Rows are independent: repeated rows get equal texts, and nothing is
@@ -53,6 +55,8 @@ HEADER_NAMES = frozenset(["header"])
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ARTICLE = frozenset(["article", "main"])
+#: Titles and leads that stand beside articles.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header p".split())
 #: Blocks that may be menus without a name that says so.
 LINK_BLOCKS = frozenset("ul ol dl div section table p center span".split())
 
@@ -68,7 +72,7 @@ def _names(attributes: dict[str, str]) -> set[str]:
 
 
 def _mark(root: Node) -> None:
-    """marks = (dropped, in an article or main)."""
+    """marks = (dropped, in an article or main, named like boilerplate)."""
     nodes = list(root.walk())
     weak: dict[int, set[str]] = {}
     holds: set[int] = set()  # nodes with a usable article below
@@ -82,7 +86,7 @@ def _mark(root: Node) -> None:
         strong = node.tag in DROPPED_TAGS or not whole and (role in DROPPED_ROLES or hidden)
         if node.tag == "header" and not within:
             strong = True
-        node.marks = (strong, within)
+        node.marks = (strong, within, False)
         if a.get("class") or a.get("id"):
             names = _names(a)
             found = names & DROPPED_NAMES
@@ -90,6 +94,7 @@ def _mark(root: Node) -> None:
                 found |= names & HEADER_NAMES
             if found and node.tag not in ("html", "body", "main"):
                 weak[id(node)] = found
+                node.marks = (strong, within, True)
         if (node.tag in _ARTICLE or role in ("main", "article")) and not (weak.get(id(node), set()) & COMMENT_NAMES) and not strong:
             own.add(id(node))
     # articles inside a comment thread are comments
@@ -117,7 +122,7 @@ def _mark(root: Node) -> None:
         if id(node) in holds or id(node) in own:
             continue  # it wraps the article
         if names & COMMENT_NAMES or 2 * size[id(node)] <= body or not node.marks[1] and (holds or own):
-            node.marks = (True, node.marks[1])
+            node.marks = (True, *node.marks[1:])
 
 
 def _density(c: int, t: int, lc: int, lt: int, share: float) -> float:
@@ -173,11 +178,45 @@ def main_text(html: str | None) -> str:
         path.append(node)
         node = node.parent
     articles = [n for n in path if n.tag == "article"] or [n for n in path if n.tag == "main"]
+
+    def joined(scope: Node, chosen: Node, beside: bool) -> str:
+        """The outermost articles under scope; with beside, what heads them too. Named like boilerplate, a block counts only if it holds the chosen one."""
+        tops, holders, stack = set(), {id(scope)}, [scope]
+        around = {id(n) for n in _upward(chosen)}
+        while stack:
+            for x in stack.pop().children:
+                if isinstance(x, str) or x.marks[0]:
+                    continue
+                # a name that the chosen article has as well says nothing
+                if x.marks[2] and id(x) not in around and not (x.tag in _ARTICLE and chosen.marks[2]):
+                    continue
+                if x.tag not in _ARTICLE:
+                    stack.append(x)
+                    continue
+                tops.add(id(x))
+                for up in _upward(x.parent):
+                    if id(up) in holders:
+                        break
+                    holders.add(id(up))
+        parts, stack = [], [scope]
+        while stack:
+            x = stack.pop()
+            if id(x) in tops:
+                parts.append(text_of(x, skipped))
+            elif id(x) in holders:
+                stack.extend(y for y in reversed(x.children) if not isinstance(y, str))
+            elif beside and x.tag in HEADINGS and not x.marks[0] and not x.marks[2] and 2 * counts[id(x)][2] <= counts[id(x)][0]:
+                parts.append(text_of(x, outside))
+        return " ".join(x for x in parts if x)
+
     if articles:
-        return text_of(articles[-1] if articles[-1].tag == "article" else articles[0], skipped)
+        if articles[-1].tag == "main":
+            return text_of(articles[0], skipped)
+        main = next((n for n in _upward(articles[-1]) if n.tag == "main" and not n.marks[0]), None)
+        return joined(main or articles[-1].parent, articles[-1], main is not None)
     within = [n for n in nodes if n.tag in _ARTICLE and _under(n, best)]
     if within:
-        return text_of(max(within, key=lambda n: counts[id(n)][0]), skipped)
+        return joined(best, max(within, key=lambda n: counts[id(n)][0]), True)
     threshold = min(density[id(n)] for n in path)
 
     def piece(x: Node | str, good: bool) -> str:
@@ -197,6 +236,13 @@ def main_text(html: str | None) -> str:
     return " ".join(text.split())
 
 
+def _upward(node: Node) -> Iterator[Node]:
+    """The node and all that it lies in."""
+    while node is not None:
+        yield node
+        node = node.parent
+
+
 def _under(node: Node, top: Node) -> bool:
     while node is not None and node is not top:
         node = node.parent

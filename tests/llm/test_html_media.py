@@ -43,6 +43,24 @@ def test_main_text(html, text):
     assert extract.main_text(html) == text
 
 
+#: The densest node of a page is this one's parent.
+BLOCKS, FOUR = f"<div>{P}{P}</div>" * 2, " ".join([PLAIN] * 4)
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><article>{P}</article><article><p>Second one.</p></article></body>", f"{PLAIN} Second one."),
+        (f"<body><main><h1>T</h1><p>Lead.</p><article><p>First one.</p></article><div><article>{BLOCKS}</article></div></main></body>", f"T Lead. First one. {FOUR}"),
+        (f"<body><div><h2>T</h2><article>{P}</article><article>{P}</article></div></body>", f"T {PLAIN} {PLAIN}"),
+        (f"<body><main><article>{BLOCKS}</article><section class='related'><h2>More</h2><article><p>Card.</p></article></section><p><a href=1>Next</a></p></main></body>", FOUR),
+        (f"<body><main><article>{BLOCKS}</article><div class='comments'><article><p>{'Reader says. ' * 200}</p></article></div></main></body>", FOUR),
+    ],
+)
+def test_articles_beside_each_other(html, text):
+    assert extract.main_text(html) == text
+
+
 def test_all_boilerplate_is_empty():
     assert extract.main_text("<body><nav>a</nav><footer>b</footer></body>") == ""
 

@@ -22,8 +22,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without letters and those whose language stays undecided."""
+    """Rejects documents without letters and those whose language stays undecided; where no labelled
+    row was there to learn from, only those without letters (or text)."""
     model = langid.fit_on_documents(docs)
+    if not model.langs:
+        model = langid.Model.of_any()
     packed = docs.select(F.struct("*").alias("doc"), "text")
     found = langid.identify(packed, model)
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("doc.*")

@@ -143,6 +143,11 @@ class Model:
         prior = np.log(table[BUCKETS] / table[BUCKETS].sum()) if rows else np.zeros(0)
         return Model([r["lang"] for r in rows], matrix.astype(np.float32), prior)
 
+    @staticmethod
+    def of_any() -> Model:
+        """Tells apart only texts with a letter (language "", score 1) and others."""
+        return Model([""], np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
+
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         sums = np.zeros((len(texts), len(self.langs)))
         grams = np.zeros(len(texts), np.int64)

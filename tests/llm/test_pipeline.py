@@ -67,3 +67,10 @@ def test_repeated_rows_leave_one(spark, tmp_path):
     rows_in = [(1, "the very same words in every copy", "en", "a", 1)] * 5 + [(2, "quite other words that nobody repeats here", "en", "a", 1)]
     docs = spark.createDataFrame(rows_in, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r.doc_id for r in p.near_duplicates(spark, docs, "").collect()) == [1, 2]
+
+
+def test_an_unlabelled_corpus_keeps_its_documents(spark):
+    texts = [(1, "words of a text"), (2, None), (3, ""), (4, "12 !? 34"), (5, "é"), (6, "漢字")]
+    docs = spark.createDataFrame([(i, t, None, "a", 1) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.language_id(spark, docs, "")
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 5, 6]

@@ -4,8 +4,9 @@ Features are the 1-, 2- and 3-grams of a text's letters (lower case; every run o
 characters is one space), hashed to BUCKETS. Training counts them per language over all labelled
 rows: each partition adds up numpy counters and emits its non-zero cells, Spark sums those. The
 log-probability matrix (languages x BUCKETS, float32) is a broadcast of a size that does not depend
-on the corpus; more than MAX_LANGUAGES labels are refused. Scoring adds, for a batch of texts, the
-matrix columns of their n-grams.
+on the corpus. Scoring adds, for a batch of texts, the matrix columns of their n-grams. More than
+MAX_LANGUAGES labels are scored in blocks of that many: each block is a pass over the texts that
+carries the best language and the sum of the likelihoods so far, and is checkpointed.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0. So is everything
 when no row is labelled. Ties go to the first language by code point. Repeated rows get equal
@@ -14,15 +15,17 @@ results. Extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import widened
+from .common import materialise, stored, widened
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -122,25 +125,41 @@ def train_counts(labelled: DataFrame) -> DataFrame:
 class Model:
     """langs, in code-point order, and the matrix buckets x languages; priors apart."""
 
-    def __init__(self, langs: list[str], matrix: np.ndarray, prior: np.ndarray):
-        self.langs, self.matrix, self.prior = langs, matrix, prior
+    def __init__(self, langs: list[str], matrix: np.ndarray, prior: np.ndarray, rest: Iterable[Model] = ()):
+        """rest: the models of the languages after langs, made as they are asked for."""
+        self.langs, self.matrix, self.prior, self.rest = langs, matrix, prior, rest
 
     @staticmethod
     def fit(labelled: DataFrame) -> Model:
         """Learns from all rows of (text, lang) whose lang isn't null."""
-        # At most MAX_LANGUAGES x (BUCKETS + 1) cells come to the driver, whatever the corpus' size.
+        # At most MAX_LANGUAGES x (BUCKETS + 1) cells come to the driver at once, whatever the corpus' size.
         counts = train_counts(labelled.where(F.col("lang").isNotNull()))
-        cells = counts.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n"))
-        rows = cells.limit(MAX_LANGUAGES + 1).toArrow().to_pylist()
-        if len(rows) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        rows = _cells(counts).limit(MAX_LANGUAGES + 1).toArrow().to_pylist()
+        if len(rows) <= MAX_LANGUAGES:
+            return Model.of_cells(rows, None)
+        del rows
+        counts = stored(counts, "languages")
+        sizes = counts.where(F.col("bucket") == BUCKETS).select("lang", "n").toArrow().to_pydict()
+        langs, total = sorted(sizes["lang"], key=str.encode), sum(sizes["n"])
+
+        def block(k: int) -> Model:
+            own = F.col("lang").between(langs[k], langs[min(k + MAX_LANGUAGES, len(langs)) - 1])  # in the order of UTF-8 as well
+            return Model.of_cells(_cells(counts.where(own)).toArrow().to_pylist(), total)
+
+        first = block(0)
+        first.rest = _Blocks(block, range(MAX_LANGUAGES, len(langs), MAX_LANGUAGES))
+        return first
+
+    @staticmethod
+    def of_cells(rows: list[dict], total: int | None) -> Model:
+        """Of the cells of some languages; total: the labelled documents of all, if these aren't all."""
         rows.sort(key=lambda r: r["lang"].encode())
         table = np.zeros((BUCKETS + 1, len(rows)))
         for k, row in enumerate(rows):
             table[row["b"], k] = row["n"]
         seen = table[:BUCKETS] + SMOOTHING
         matrix = np.log(seen / seen.sum(axis=0)) if rows else seen
-        prior = np.log(table[BUCKETS] / table[BUCKETS].sum()) if rows else np.zeros(0)
+        prior = np.log(table[BUCKETS] / (total or table[BUCKETS].sum())) if rows else np.zeros(0)
         return Model([r["lang"] for r in rows], matrix.astype(np.float32), prior)
 
     @staticmethod
@@ -148,7 +167,8 @@ class Model:
         """Tells apart only texts with a letter (language "", score 1) and others."""
         return Model([""], np.zeros((BUCKETS, 1), np.float32), np.zeros(1))
 
-    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihoods, texts x languages, and the number of n-grams of each text."""
         sums = np.zeros((len(texts), len(self.langs)))
         grams = np.zeros(len(texts), np.int64)
         for rows, cells in features(texts):
@@ -159,20 +179,76 @@ class Model:
             for k in range(len(self.langs)):
                 sums[row[start], k] += np.add.reduceat(self.matrix[cell, k].astype(float) * n, start)
             grams[row[start]] += np.add.reduceat(n, start)
+        return sums + self.prior, grams
+
+    def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         if not self.langs:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        sums += self.prior
+        sums, grams = self.sums(texts)
         best = sums.argmax(axis=1)
         share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
         found = grams > 0
         return [self.langs[b] if f else UNDETERMINED for b, f in zip(best, found, strict=True)], np.where(found, share, 0.0)
 
 
+class _Blocks:
+    """Models made as they are iterated over, any number of times."""
+
+    def __init__(self, make: Callable[[int], Model], starts: range):
+        self.make, self.starts = make, starts
+
+    def __iter__(self) -> Iterator[Model]:
+        return map(self.make, self.starts)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+
+def _cells(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("lang").agg(F.collect_list("bucket").alias("b"), F.collect_list("n").alias("n"))
+
+
+#: Carried from block to block: the best language, its log-likelihood, all likelihoods' sum over that one, any n-gram.
+_STATE = {"_sx_best": "string", "_sx_top": "double", "_sx_sum": "double", "_sx_any": "boolean"}
+
+
+def _in_blocks(docs: DataFrame, model: Model, at: int) -> DataFrame:
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in _STATE.items())).fields])
+    start = {"_sx_best": F.lit(None), "_sx_top": F.lit(float("-inf")), "_sx_sum": F.lit(0.0), "_sx_any": F.lit(False)}
+    state = docs.withColumns({k: v.cast(_STATE[k]) for k, v in start.items()})
+    for block in itertools.chain([model], model.rest):
+        shipped = docs.sparkSession.sparkContext.broadcast((block.langs, block.matrix, block.prior))
+
+        def further(batches: Iterator[pa.RecordBatch], shipped: Broadcast = shipped) -> Iterator[pa.RecordBatch]:
+            own = Model(*shipped.value)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                before, top, total = batch.column(len(names)).to_pylist(), *(batch.column(len(names) + k).to_numpy() for k in (1, 2))
+                sums, grams = own.sums(batch.column(at).to_pylist())
+                best, most = sums.argmax(axis=1), np.maximum(top, sums.max(axis=1))
+                langs = [own.langs[b] if new else x for b, new, x in zip(best, sums.max(axis=1) > top, before, strict=True)]
+                total = total * np.exp(top - most) + np.exp(sums - most[:, None]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns[: len(names)], pa.array(langs, pa.string()), pa.array(most), pa.array(total), pa.array(grams > 0)], schema.names
+                )
+
+        state = materialise(state.mapInArrow(further, schema))
+        shipped.unpersist()
+    found = F.col("_sx_any")
+    return state.select(
+        *names, F.when(found, F.col("_sx_best")).otherwise(UNDETERMINED).alias("lang_pred"), F.when(found, 1 / F.col("_sx_sum")).otherwise(0.0).alias("score")
+    )
+
+
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred and score after its columns (which must not hold those names)."""
     names = docs.columns
-    shipped = docs.sparkSession.sparkContext.broadcast((model.langs, model.matrix, model.prior))
     at = names.index(text)
+    if model.rest:
+        return _in_blocks(docs, model, at)
+    shipped = docs.sparkSession.sparkContext.broadcast((model.langs, model.matrix, model.prior))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shipped.value)

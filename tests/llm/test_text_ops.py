@@ -235,3 +235,15 @@ def test_emit_repeats_documents(spark):
     taken = {r.source: r.n for r in mixed.groupBy("doc.source").agg(F.sum("copies").alias("n")).collect()}
     emitted = {r.source: r.n for r in mixing.emit(mixed).groupBy("doc.source").agg(F.count("*").alias("n")).collect()}
     assert taken == emitted and abs(emitted["a"] / (400 / 3) - 1) < 0.2 and abs(emitted["b"] / (800 / 3) - 1) < 0.2
+
+
+def test_op7_scores_languages_in_blocks(spark, monkeypatch):
+    words = {"de": "der die das und nicht", "en": "the and not of", "fr": "le la les et ne pas", "it": "il lo gli che non", "é": "ça là où"}
+    rows = [(i, f"{w} {w}", k) for k, w in words.items() for i in range(3 if k == "en" else 2)] + [(9, None, "de"), (9, "1 2", None), (9, "the la", None), (9, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    answers = lambda: sorted((str(r.text), r.lang_pred, round(r.score, 9)) for r in langid.identify(docs, langid.Model.fit(docs.where("lang is not null"))).collect())
+    whole = answers()
+    assert {x[1] for x in whole} == {*words, langid.UNDETERMINED}
+    for most in (4, 2, 1):
+        monkeypatch.setattr(langid, "MAX_LANGUAGES", most)
+        assert answers() == whole

@@ -18,6 +18,10 @@ NUMBERS = r"(?i)\bIS\s*(\d{1,5}(?:\s*\(Part\s*\d+\))?(?:\s*\(Sec\s*\d+\))?)\b"
 NUMBERS_LOOSE = r"(?i)\bIS\s*(\d{1,5}(?:\s*\(Part\s*\d+\))?)"
 REFERENCE = r"(?i)IS\s+(\d{1,5}(?:\s*\(Part\s+\d+\))?(?:\s*:\s*\d{4})?)"
 SUPERSEDED = r"(?i)(?:superseded|replaced|revised)\s+by\s+IS\s+(\d+(?:\s*:\s*\d{4})?)"
+# A number, a year at the end or anywhere, white space and other than digits, what precedes a bracket.
+NUMBER_OF_ID, NUMBER_OF_TEXT = r"(?i)IS\s+(\d+)", r"(?i)IS\s*(\d+)"
+YEAR_AT_END, YEAR_ANYWHERE = r":\s*(\d{4})\s*$", r"\b(19\d{2}|20\d{2})\b"
+SPACES, NOT_DIGITS, BEFORE_BRACKET = r"\s+", r"[^\d]", r"^([^(]*)"
 # A part's number in an id, in a text, and in what the reranker reads.
 PART_OF_ID, PART_OF_TEXT, PART_LOOSE = r"(?i)\(Part\s+(\d+)\)", r"(?i)part\s*(\d+)", r"(?i)part[\s\-]*(\d+)"
 
@@ -27,7 +31,6 @@ def extract(x: Column, pattern: str, group: int = 1) -> Column:
     return full(F.regexp_extract(x, pattern, group))
 
 
-
 def _table(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(v) for v in chain.from_iterable(pairs.items())])
 
@@ -62,16 +65,16 @@ def is_valid(x: Column) -> Column:
 
 def base_key(x: Column) -> Column:
     """Number, and part if any: versions of one standard share it."""
-    num = extract(x, r"(?i)IS\s+(\d+)")
+    num = extract(x, NUMBER_OF_ID)
     return F.when(num.isNull(), F.lower(x)).otherwise(F.concat_ws("_part", num, extract(x, PART_OF_ID)))
 
 
 def year_at_end(x: Column) -> Column:
-    return extract(x, r":\s*(\d{4})\s*$").try_cast("int")
+    return extract(x, YEAR_AT_END).try_cast("int")
 
 
 def year_anywhere(x: Column) -> Column:
-    return extract(x, r"\b(19\d{2}|20\d{2})\b").try_cast("int")
+    return extract(x, YEAR_ANYWHERE).try_cast("int")
 
 
 def part(x: Column, pattern: str = PART_OF_ID) -> Column:
@@ -79,7 +82,7 @@ def part(x: Column, pattern: str = PART_OF_ID) -> Column:
 
 
 def standard_number(x: Column) -> Column:
-    return F.regexp_extract(x, r"(?i)IS\s*(\d+)", 1)
+    return F.regexp_extract(x, NUMBER_OF_TEXT, 1)
 
 
 def is_numbers(x: Column, pattern: str = NUMBERS) -> Column:
@@ -88,7 +91,7 @@ def is_numbers(x: Column, pattern: str = NUMBERS) -> Column:
     each = F.transform(
         all_of,
         lambda m: F.array(
-            F.lower(F.regexp_replace(m, r"\s+", "")), F.regexp_replace(F.regexp_extract(m, r"^([^(]*)", 1), r"[^\d]", "")
+            F.lower(F.regexp_replace(m, SPACES, "")), F.regexp_replace(F.regexp_extract(m, BEFORE_BRACKET, 1), NOT_DIGITS, "")
         ),
     )
     return F.array_sort(F.array_distinct(F.filter(F.flatten(each), lambda v: v != "")))
@@ -97,7 +100,7 @@ def is_numbers(x: Column, pattern: str = NUMBERS) -> Column:
 def related_standards(text: Column, own_id: Column, most: int = 15) -> Column:
     """Other standards that a text mentions, in order of their names."""
     refs = F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1))
-    named = F.transform(refs, lambda m: F.concat(F.lit("IS "), strip(F.regexp_replace(m, r"\s+", " "))))
+    named = F.transform(refs, lambda m: F.concat(F.lit("IS "), strip(F.regexp_replace(m, SPACES, " "))))
     own = standard_number(own_id)
     return F.slice(F.array_sort(F.array_distinct(F.filter(named, lambda r: standard_number(r) != own))), 1, most)
 

@@ -56,10 +56,10 @@ def normalize_query(x: Column) -> Column:
     return strip(F.regexp_replace(q, r"\s+", " "))
 
 
-def longest_first(pairs: dict[str, str], q: Column, most: int | None = None) -> Column:
+def longest_first(pairs: dict[str, str] | dict[str, list[str]], q: Column, most: int | None = None) -> Column:
     """Values of the phrases that occur in q, longest phrase first, then in the map's order."""
     rows = [
-        F.struct(F.lit(-len(p)).alias("n"), F.lit(i).alias("ord"), F.lit(p).alias("phrase"), F.lit(v).alias("value"))
+        F.struct(F.lit(-len(p)).alias("n"), F.lit(i).alias("ord"), F.lit(p).alias("phrase"), (literals(v) if isinstance(v, list) else F.lit(v)).alias("value"))
         for i, (p, v) in enumerate(pairs.items())
     ]
     hit = F.array_sort(F.filter(F.array(*rows), lambda s: F.contains(q, s["phrase"])))
@@ -116,8 +116,7 @@ def domain_hints(x: Column, enabled: bool = False) -> Column:
     """Hinted standards, longest phrase first, each once; none unless enabled."""
     if not enabled:
         return F.array().cast("array<string>")
-    joined = longest_first({p: ";".join(ids) for p, ids in lex.DOMAIN_HINTS.items()}, normalize_query(x))
-    return F.array_distinct(F.flatten(F.transform(joined, lambda v: F.split(v, ";"))))
+    return F.array_distinct(F.flatten(longest_first(lex.DOMAIN_HINTS, normalize_query(x))))
 
 
 def scope(text: Column) -> Column:

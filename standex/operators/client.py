@@ -21,16 +21,16 @@ FALLBACK = {
 FALLBACK_CARDS = [
     ("IS 269 : 2015", "Ordinary Portland Cement — Specification",
      "IS 269 covers the specification for ordinary portland cement. Matches your query on: cement, 33 grade, portland.",
-     0.95, 1, "cement_opc", True, "IS 8112; IS 12269; IS 4032", "cement; 33 grade; portland; opc"),
+     0.95, 1, "cement_opc", True, ["IS 8112", "IS 12269", "IS 4032"], ["cement", "33 grade", "portland", "opc"]),
     ("IS 8112 : 2013", "Ordinary Portland Cement, 43 Grade — Specification",
      "Matches your query's context of Portland cement manufacturing, though specifies 43 grade.",
-     0.82, 2, "cement_opc", False, "IS 269; IS 12269", "cement; portland"),
+     0.82, 2, "cement_opc", False, ["IS 269", "IS 12269"], ["cement", "portland"]),
     ("IS 12269 : 2013", "Ordinary Portland Cement, 53 Grade — Specification",
      "Related standard for higher grade OPC cement manufacturing.",
-     0.75, 3, "cement_opc", False, "IS 269; IS 8112", "cement; portland"),
+     0.75, 3, "cement_opc", False, ["IS 269", "IS 8112"], ["cement", "portland"]),
     ("IS 4032 : 1985", "Method of Chemical Analysis of Hydraulic Cement",
      "Relevant for testing requirements of the manufactured cement product.",
-     0.60, 4, "testing_methods", False, "IS 269", "cement"),
+     0.60, 4, "testing_methods", False, ["IS 269"], ["cement"]),
 ]
 # The graph's geometry.
 CENTRE, RADIUS, OUTER, TURN = 150.0, 90.0, 60.0, 0.4
@@ -38,8 +38,7 @@ CENTRE, RADIUS, OUTER, TURN = 150.0, 90.0, 60.0, 0.4
 
 def canned(spark: SparkSession) -> DataFrame:
     """(ord, id, query, keywords, expected, retrieved, latency, category)."""
-    lists = lambda s: [x.strip() for x in s.split(";")]
-    rows = [(i, a, q, lists(k), lists(e), lists(r), float(t), c) for i, (a, q, k, e, r, t, c) in enumerate(lex.CANNED)]
+    rows = [(i, *row) for i, row in enumerate(lex.CANNED)]
     schema = "ord int, id string, query string, keywords array<string>, expected array<string>, retrieved array<string>, latency double, category string"
     return spark.createDataFrame(rows, schema)
 
@@ -71,7 +70,7 @@ def cards(known: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Result cards of the canned queries, with defaults for standards that the catalogue lacks."""
     each = known.select("id", "keywords", "expected", "retrieved", F.posexplode("retrieved").alias("i", "std_id"))
     meta = catalogue.select(F.col("id").alias("std_id"), "title", F.col("category").alias("cat"), "description")
-    joined = each.join(F.broadcast(meta), "std_id", "left")
+    joined = each.join(meta, "std_id", "left")  # the caller's catalogue: the planner broadcasts it if it is small
     primary = F.array_contains("expected", F.col("std_id"))
     about = F.coalesce("description", F.lit(UNKNOWN_TEXT))
     base = F.when(primary, 0.97 - F.col("i") * 0.04).otherwise(0.75 - F.col("i") * 0.06)
@@ -86,13 +85,11 @@ def cards(known: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 def fallback_cards(spark: SparkSession) -> DataFrame:
     """The cards shown where no canned query matches."""
-    lists = lambda x: x.split("; ")
-    rows = [(*card[:7], lists(card[7]), lists(card[8])) for card in FALLBACK_CARDS]
     schema = (
         "std_id string, title string, rationale string, confidence double, rank int, category string, is_primary boolean, "
         "related_standards array<string>, matched_keywords array<string>"
     )
-    return spark.createDataFrame(rows, schema)
+    return spark.createDataFrame(FALLBACK_CARDS, schema)
 
 
 def answer_cards(queries: DataFrame, known: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -107,7 +104,7 @@ def answer_meta(queries: DataFrame, known: DataFrame) -> DataFrame:
     """(qid, ...): the metadata of each query's answer, from its match or the fallback."""
     q = text.strip(F.col("query"))
     facts = known.select(F.col("id").alias("matched_id"), "keywords", "expected", "retrieved", "latency", "category")
-    found = queries.join(match(queries, known), "qid").join(F.broadcast(facts), "matched_id", "left")
+    found = queries.join(match(queries, known), "qid").join(facts, "matched_id", "left")
     hit = F.col("matched_id").isNotNull()
     pick = lambda mine, key: F.when(hit, mine).otherwise(F.lit(FALLBACK[key])).alias(key)
     return found.select(

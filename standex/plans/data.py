@@ -98,7 +98,7 @@ def scale_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 PUBLIC = [(i, row[1]) for i, row in enumerate(lex.CANNED)]
 #: (qid, id, query, expected, retrieved, latency): a published run.
 RUN = [
-    (i, c[0], c[1], c[3], s[1], float(s[2])) for i, (c, s) in enumerate(zip(lex.CANNED, lex.SNAPSHOT, strict=True))
+    (i, c[0], c[1], "; ".join(c[3]), "; ".join(s[1]), s[2]) for i, (c, s) in enumerate(zip(lex.CANNED, lex.SNAPSHOT, strict=True))
 ]
 RUN_COLUMNS = "qid, id, query, expected, retrieved, latency"
 

@@ -423,10 +423,17 @@ def format_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Words of an item from which its words 2 to 6 are whole words of every document that holds it.
 LONG_WORDS = 7
+#: Bytes of the items' texts that may be broadcast; beyond it they are joined by shuffle.
+PROBE_BYTES = 64 << 20
 #: Shorter items that are broadcast at once (on average: they are dealt by their hash).
 SHORT_ITEMS = 10_000
 
 
+def _bounded(probe: DataFrame) -> DataFrame:
+    size = probe.agg(F.sum(F.octet_length("sought") + 100)).first()[0] or 0
+    return F.broadcast(probe) if size <= PROBE_BYTES else probe
+
+
 @query(
     "WITH rel AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT b.item_id, count(rel.doc_id)::BIGINT AS n_relevant, min(rel.doc_id) AS first_doc "
     "FROM benchmark b LEFT JOIN rel USING (item_id) GROUP BY b.item_id"
@@ -443,7 +450,7 @@ def benchmark_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = items.where(F.size(words("sought")) >= LONG_WORDS).withColumn("key", F.array_join(F.slice(words("sought"), 2, n), " "))
     grams = docs.withColumn("w", words("text")).where(F.size("w") >= n)
     each = grams.select("doc_id", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("s"), "w")
-    keyed = each.select("doc_id", F.array_join(F.slice("w", F.col("s"), n), " ").alias("key")).join(F.broadcast(probe), "key").select("doc_id", "item_id", "sought").distinct()
+    keyed = each.select("doc_id", F.array_join(F.slice("w", F.col("s"), n), " ").alias("key")).join(_bounded(probe), "key").select("doc_id", "item_id", "sought").distinct()
     found = keyed.join(docs, "doc_id").where(F.contains("text", F.col("sought"))).select("item_id", "doc_id")
     short = items.where(F.size(words("sought")) < LONG_WORDS).where(F.col("sought").isNotNull()).distinct()
     blocks = -(-short.count() // SHORT_ITEMS)
@@ -522,7 +529,7 @@ def llm_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- the client --------------------------------------------------------------------------------
 
-CANNED = data.values("c0", "ord, id, query, k, e, r, latency, category", [(i, a, q, k, e, r, float(t), c) for i, (a, q, k, e, r, t, c) in enumerate(lex.CANNED)])
+CANNED = data.values("c0", "ord, id, query, k, e, r, latency, category", [(i, a, q, "; ".join(k), "; ".join(e), "; ".join(r), t, c) for i, (a, q, k, e, r, t, c) in enumerate(lex.CANNED)])
 CANNED_SQL = f"{CANNED}, canned AS (SELECT ord, id, query, string_split(k, '; ') AS keywords, string_split(e, '; ') AS expected, string_split(r, '; ') AS retrieved, latency::DOUBLE AS latency, category FROM c0)"
 MATCH = f"""
 {QUERIES_9}, {CANNED_SQL},

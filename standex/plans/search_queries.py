@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,10 +95,25 @@ def superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("key", ids.superseded_by(F.col("raw")).alias("superseded_by"))
 
 
+#: Indexes by application, lane and tables: an index is built once and asked many times. The tables
+#: of a folder aren't expected to change while an application runs.
+_BUILT: dict[tuple[str, str, str], index.Index] = {}
+
+
+def _built(spark: SparkSession, lane: str, sf_dir: str, corpus: Callable[[SparkSession, str], DataFrame]) -> index.Index:
+    key = (spark.sparkContext.applicationId, lane, sf_dir)
+    if key not in _BUILT:
+        _BUILT[key] = index.build(corpus(spark, sf_dir), data.vectors(spark, sf_dir, "doc_idx"))
+    return _BUILT[key]
+
+
+def scale_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index over documents, with embeddings as vectors."""
+    return _built(spark, "scale", sf_dir, data.scale_corpus)
+
+
 def _scale(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, index.Index]:
-    """The queries, and the index over documents with embeddings as vectors."""
-    corpus = data.scale_corpus(spark, sf_dir)
-    return data.scale_queries(spark, sf_dir), index.build(corpus, data.vectors(spark, sf_dir, "doc_idx"))
+    return data.scale_queries(spark, sf_dir), scale_index(spark, sf_dir)
 
 
 @query(f"WITH {g.SCALE}, {g.LEXICAL} SELECT term, df::BIGINT AS df FROM vocab")
@@ -188,7 +205,7 @@ def domain_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_index(spark: SparkSession, sf_dir: str) -> index.Index:
-    return index.build(data.domain_corpus(spark, sf_dir), data.vectors(spark, sf_dir, "doc_idx"))
+    return _built(spark, "domain", sf_dir, data.domain_corpus)
 
 
 @query(f"WITH {g.CORPUS} SELECT doc_idx, search_text FROM corpus")

@@ -9,21 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary
+    folder, and a cluster an error: a folder of the driver's machine is of no use to executors."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not root and current.isDefined():
         root = current.get()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='standex-')}"
     if current.isEmpty():
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+def own_root(spark: SparkSession) -> str:
+    """What this application keeps below the shared folder."""
+    return f"{shared_root(spark)}/standex-{spark.sparkContext.applicationId}"
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder's URI below the shared one. Unique, so that concurrent runs don't meet."""
-    return f"{shared_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+    return f"{own_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
 def drop_folder(spark: SparkSession, uri: str) -> None:
@@ -31,6 +39,12 @@ def drop_folder(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Drops all that this application has kept (indexes without a path, media, archives, tables between
+    stages). Frames that read them can't be used afterwards; checkpoints are Spark's to clean."""
+    drop_folder(spark, own_root(spark))
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: lineage is cut at files that outlive a lost executor."""
     shared_root(df.sparkSession)

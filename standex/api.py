@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from .operators import evaluate as evaluating
 from .operators import index as indexing
 from .operators import ingest as ingesting
 from .operators import rank, rationale, search
+from .sources.shared import materialise
 
 #: Dimensions of the default encoder.
 DIMENSIONS = 64
@@ -33,8 +35,6 @@ def encode(rows: DataFrame, key: str, body: str, model: Callable[[list[str]], np
     into DIMENSIONS signed cells, which needs no download and gives equal texts equal vectors."""
 
     def hashed(texts: list[str]) -> np.ndarray:
-        import zlib
-
         out = np.zeros((len(texts), DIMENSIONS), np.float32)
         for i, t in enumerate(texts):
             for word in (t or "").lower().split():
@@ -68,12 +68,30 @@ def recommend(queries: DataFrame, indexes: indexing.Index, scorer: rank.Scorer |
     return rank.recommend(queries, encode(queries, "qid", "query", model), indexes, scorer)
 
 
-def explain(queries: DataFrame, rows: DataFrame, indexes: indexing.Index) -> DataFrame:
-    """Rationales of recommended rows (qid, std_id, doc_idx, pos)."""
+def explain(queries: DataFrame, rows: DataFrame, indexes: indexing.Index, model: Callable[[str], str] | None = None) -> DataFrame:
+    """(qid, id, rationale, confidence, rank) of recommended rows (qid, std_id, doc_idx, pos): by a language
+    model (prompt to reply, called on the executors once a query) or, without one, by templates."""
+    if model is not None:
+        return rationale.explained(queries, rows, indexes.corpus, model)
     docs = indexes.corpus.select("doc_idx", "title", "text")
     ranked = rows.join(docs, "doc_idx").join(queries.select("qid", "query"), "qid")
     return rationale.rationales(ranked.select("qid", "query", F.col("pos").alias("rank"), F.col("std_id").alias("id"), "title", "text"))
 
 
+def recommend_with_rationale(
+    queries: DataFrame, indexes: indexing.Index, scorer: rank.Scorer | None = rank.overlap_model, model: Callable[[list[str]], np.ndarray] | None = None,
+    writer: Callable[[str], str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """(recommended rows (qid, std_id, doc_idx, pos), their rationales)."""
+    rows = materialise(rank.recommend_rows(queries, encode(queries, "qid", "query", model), indexes, scorer))
+    return rows, explain(queries, rows, indexes, writer)
+
+
+def score_single(query: str, chunk: DataFrame, scorer: rank.Scorer | None = rank.overlap_model) -> float:
+    """The reranker's score of one chunk (a frame of one row) for one query; 0 where it has nothing to read."""
+    found = rank.rerank(chunk.select(F.lit(0).alias("qid"), F.lit(query).alias("query"), F.lit(1).alias("rank"), "*"), scorer).first()
+    return float(found.score) if found else 0.0
+
+
 def evaluate(results: DataFrame) -> DataFrame:
     return evaluating.summary(results)

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
+from ..sources.shared import materialise
+
+# What validation says.
+MISSING, INVALID, DUPLICATE = "Missing '{}' field", "Invalid standard at position ", "Duplicate query ID"
 
 
 def hits(results: DataFrame) -> DataFrame:
@@ -30,19 +34,20 @@ def summary(results: DataFrame) -> DataFrame:
     )
 
 
-def sorted_at(values: Column, share: float) -> Column:
-    """The element at int(n x share) of the sorted values, counted from 0."""
-    return F.element_at(F.sort_array(F.collect_list(values)), F.floor(F.count(values) * share).cast("int") + 1)
-
-
 def latency_statistics(results: DataFrame) -> DataFrame:
-    """One row. Median and p95 are elements of the sorted list, found by their rank: nothing is gathered
-    in one place but the sorted run of one column."""
+    """One row. Median and p95 are elements of the sorted list, found by their rank: distinct values are
+    dealt out by ranges, and each adds up its own after the sum of the ranges before it. A single-partition
+    window sees one row a range."""
     x = F.coalesce("latency_seconds", F.lit(0.0))
-    base = results.select(x.alias("x"))
-    counts = base.groupBy("x").agg(F.count("*").alias("c"))
-    upto = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("c").over(upto)).crossJoin(F.broadcast(base.agg(F.count("*").alias("n"))))
+    counts = results.groupBy(x.alias("x")).agg(F.count("*").alias("c"))
+    # written once: the ranges are sampled, and a second run might draw others
+    dealt = materialise(counts.repartitionByRange("x").withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy()
+    ranges = dealt.groupBy("_range").agg(F.sum("c").alias("_sum"))
+    ranges = ranges.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_start"), F.sum("_sum").over(every).alias("n"))
+    upto = Window.partitionBy("_range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = dealt.withColumn("_own", F.sum("c").over(upto)).join(ranges, "_range").withColumn("upto", F.col("_start") + F.col("_own"))
     at = lambda share: F.min(F.when(F.col("upto") > F.floor(F.col("n") * share), F.col("x")))
     return ranked.agg(
         F.sum("c").alias("n"), F.min("x").alias("min_s"), F.max("x").alias("max_s"), (F.sum(F.col("x") * F.col("c")) / F.sum("c")).alias("mean_s"),
@@ -67,14 +72,14 @@ def clean_results(results: DataFrame) -> DataFrame:
 def validation_issues(results: DataFrame) -> DataFrame:
     """(id, issue): missing fields, repeated ids, blank standards. No row means the set is valid."""
     fields = ["id", "query", "expected_standards", "retrieved_standards", "latency_seconds"]
-    missing = [F.when(F.col(c).isNull(), F.concat(F.lit("Missing '"), F.lit(c), F.lit("' field"))) for c in fields]
+    missing = [F.when(F.col(c).isNull(), F.lit(MISSING.format(c))) for c in fields]
     blank = F.transform(
         F.coalesce("retrieved_standards", F.array().cast("array<string>")),
-        lambda s, i: F.when(s.isNull() | (text.strip(s) == ""), F.concat(F.lit("Invalid standard at position "), i.cast("string"))),
+        lambda s, i: F.when(s.isNull() | (text.strip(s) == ""), F.concat(F.lit(INVALID), i.cast("string"))),
     )
     own = results.select("id", F.explode(F.array_compact(F.concat(F.array(*missing), blank))).alias("issue"))
     repeated = results.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 and id is not null")
-    again = repeated.select("id", F.explode(F.array_repeat(F.lit("Duplicate query ID"), F.col("n").cast("int") - 1)).alias("issue"))
+    again = repeated.select("id", F.explode(F.array_repeat(F.lit(DUPLICATE), F.col("n").cast("int") - 1)).alias("issue"))
     return own.unionByName(again)
 
 

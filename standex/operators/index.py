@@ -144,7 +144,8 @@ def build(corpus: DataFrame, vectors: DataFrame, path: str | None = None) -> Ind
     tokened = keep(tokens(corpus), "tokens")
     posted = postings(tokened)
     vocab = keep(vocabulary(posted), "vocab")
-    posted = keep(posted.join(vocab, "term"), "postings")  # with each term's df
+    # with each term's df, in order of the terms: a file holds a range of them, so that a search for given terms skips row groups
+    posted = keep(posted.join(vocab, "term").repartitionByRange("term", "doc_idx").sortWithinPartitions("term", "doc_idx"), "postings")
     stats = keep(statistics(tokened, vocab), "stats")
     signals = keep(category_signals(posted, corpus), "signals")
     return Index(corpus, tokened, posted, vocab, stats, signals, vectors)

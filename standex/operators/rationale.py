@@ -67,6 +67,22 @@ def prompt(query: Column, std_ids: Column, docs: Column) -> Column:
     return F.concat(F.lit(head + "Query: "), query, F.lit("\n\nStandards:\n"), listed, F.lit("\n\nContext:\n"), context, F.lit(tail))
 
 
+def explained(queries: DataFrame, rows: DataFrame, docs: DataFrame, model: Callable[[str], str] | None = None) -> DataFrame:
+    """(qid, id, rationale, confidence, rank) of rows (qid, std_id, doc_idx, pos): one prompt a query with its
+    standards in order (at most five), one reply, and a reason for every standard, from the reply or
+    the fallbacks of parse_reply."""
+    own = rows.join(docs.select("doc_idx", "title", "text"), "doc_idx", "left")
+    listed = F.array_sort(F.collect_list(F.struct("pos", F.col("std_id").alias("id"), "title", "text")))
+    grouped = own.groupBy("qid").agg(listed.alias("docs")).join(queries.select("qid", "query"), "qid")
+    std_ids, titles = F.transform("docs", lambda d: d["id"]), F.transform("docs", lambda d: d["title"])
+    asked = grouped.select("qid", std_ids.alias("std_ids"), titles.alias("titles"), prompt(F.col("query"), std_ids, F.col("docs")).alias("prompt"))
+    parsed = answered(asked, model).withColumn("reasons", parse_reply(F.col("reply"), F.col("std_ids"), F.col("titles")))
+    each = parsed.select("qid", F.posexplode("std_ids").alias("i", "id"), "reasons")
+    mine = F.filter("reasons", lambda r: ids.normalize_id(r["standard"]) == ids.normalize_id(F.col("id")))
+    rank = F.col("i") + 1
+    return each.select("qid", "id", F.get(mine, F.lit(0))["reason"].alias("rationale"), confidence(rank).alias("confidence"), rank.alias("rank"))
+
+
 def unfenced(reply: Column) -> Column:
     """The inside of the first fenced block, if there is one."""
     json_block = F.split(F.element_at(F.split(reply, FENCE + "json"), 2), FENCE)[0]

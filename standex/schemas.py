@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+#: doc_idx is null where a file does not number its chunks.
 CHUNK = (
-    "id string, title string, text string, category string, keywords array<string>, part_number int, standard_year int, "
+    "doc_idx long, id string, title string, text string, category string, keywords array<string>, part_number int, standard_year int, "
     "is_summary_chunk boolean, chunk_index int"
 )
 ENRICHED = CHUNK + (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -31,11 +32,22 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
 
 
+def is_parquet(spark: SparkSession, path: str) -> bool:
+    """Whether a path is, or is a folder that holds, Parquet files."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop.suffix("/*.parquet"))
+    return path.endswith(".parquet") or bool(files)
+
+
 def read_chunks(spark: SparkSession, *paths: str) -> DataFrame:
-    """Chunks from the first path that exists: enriched ones, then plain ones."""
+    """Chunks from the first path that exists: enriched ones, then plain ones; Parquet or JSON. Chunks
+    that bring no doc_idx (a JSON array from elsewhere) are numbered in the file's order."""
     for path in paths:
         if exists(spark, path):
-            return read_array(spark, path, schemas.ENRICHED)
+            found = spark.read.parquet(path) if is_parquet(spark, path) else read_array(spark, path, schemas.ENRICHED)
+            if "doc_idx" in found.columns and (found.isEmpty() or not found.where(F.col("doc_idx").isNotNull()).isEmpty()):
+                return found
+            return found.withColumn("doc_idx", F.monotonically_increasing_id())
     raise FileNotFoundError(f"none of {', '.join(paths)} exists")
 
 
@@ -57,6 +69,7 @@ def write_array(df: DataFrame, path: str) -> None:
     n = df.count()
     if n > ARRAY_ROWS:
         raise ValueError(f"{n} rows are too many for one array; write a table")
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with open(path, "w", encoding="utf-8") as out:
         out.write("[")
         for i, row in enumerate(df.toJSON().toLocalIterator()):
@@ -83,9 +96,7 @@ def plain_text(data: bytes) -> list[str]:
 
 
 def environment(spark: SparkSession, name: str, default: str | None = None) -> str | None:
-    """A setting from the session, else from the environment."""
-    import os
-
+    """A setting from the session (spark.standex.<name>), else from the environment."""
     return spark.conf.get(f"spark.standex.{name.lower()}", None) or os.environ.get(name, default)
 
 

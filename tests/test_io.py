@@ -48,11 +48,23 @@ def test_command_line(spark, tmp_path, capsys):
     body = "IS 269: 1989 Ordinary Portland Cement 33 grade\nportland cement fineness soundness\nIS 383: 1970 Coarse aggregate\ncoarse aggregate gravel sand crushed stone\n"
     (tmp_path / "src" / "s.txt").write_text(body)
     assert cli.main(["ingest", f"{tmp_path}/src", f"{tmp_path}/chunks"]) == 0
-    spark.read.parquet(f"{tmp_path}/chunks").drop("doc_idx").write.json(f"{tmp_path}/plain")
-    assert cli.main(["enrich", f"{tmp_path}/plain", f"{tmp_path}/rich"]) == 0
+    assert cli.main(["enrich", f"{tmp_path}/chunks", f"{tmp_path}/rich"]) == 0
+    numbered = lambda df: sorted((r.doc_idx, r.id, r.text) for r in df.collect())
+    assert numbered(io.read_chunks(spark, f"{tmp_path}/rich")) == numbered(spark.read.parquet(f"{tmp_path}/chunks"))
     queries = [{"id": "q1", "query": "33 grade portland cement", "expected_standards": ["IS 269: 1989"]}]
     (tmp_path / "q.json").write_text(json.dumps(queries))
     assert cli.main(["infer", "-i", f"{tmp_path}/q.json", "-o", f"{tmp_path}/out.json", "--chunks", f"{tmp_path}/rich"]) == 0
     assert json.load(open(f"{tmp_path}/out.json"))[0]["retrieved_standards"][0] == "IS 269: 1989"
     assert cli.main(["evaluate", "--results", f"{tmp_path}/out.json"]) == 0
     assert "100.0" in capsys.readouterr().out
+    assert cli.main(["infer", "-i", f"{tmp_path}/q.json", "-o", f"{tmp_path}/new/out.json", "--sequential", "--chunks", f"{tmp_path}/none", f"{tmp_path}/rich"]) == 0
+    again = json.load(open(f"{tmp_path}/new/out.json"))[0]
+    assert again["retrieved_standards"][0] == "IS 269: 1989" and again["latency_seconds"] > 0 and "1 of 1" in capsys.readouterr().err
+    assert cli.main(["analyze", f"{tmp_path}/rich"]) == 0
+
+
+def test_settings_come_from_the_session_then_the_environment(spark, monkeypatch):
+    monkeypatch.setenv("MODEL", "of the environment")
+    assert io.environment(spark, "MODEL") == "of the environment" and io.environment(spark, "UNSET", "x") == "x"
+    spark.conf.set("spark.standex.model", "of the session")
+    assert io.environment(spark, "MODEL") == "of the session"

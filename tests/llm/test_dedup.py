@@ -15,6 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from standex.llm import graph, line_dedup, queries, simhash, sql, substring_dedup
+from standex.llm.common import row_key
 
 # ---- op10
 
@@ -159,6 +160,77 @@ def test_components_of_chains_and_stars(spark):
     assert {got[i] for i in range(1, 51)} == {0} and {got[1000 + i] for i in range(1, 60)} == {1000} and got[2001] == 2000
 
 
+# ---- near duplicates of a similarity (the pipeline's)
+
+
+def plain_bits(hashes):
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in hashes) > len(hashes))
+
+
+def plain_mixed(h, i):
+    top = 2**64 - 1
+    z = (h + (i + 1) * 0x9E3779B97F4A7C15) & top
+    z = ((z ^ (z >> 30)) * 0xBF58476D1CE4E5B9) & top
+    z = ((z ^ (z >> 27)) * 0x94D049BB133111EB) & top
+    return z ^ (z >> 31)
+
+
+def plain_similar(rows, distance=4, wide=167):
+    """The classes, as sets of ids, by comparing all pairs of texts."""
+    found = {}
+    for _, text in rows:
+        w = (text or "").translate({i: i + 32 for i in range(65, 91)})
+        w = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", w)]
+        words = [xxhash.xxh3_64_intdigest(x, 42) for x in set(w)]
+        shingles = [xxhash.xxh3_64_intdigest(x, 42) for x in {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}]
+        if w:
+            found.setdefault(text, ([plain_bits([plain_mixed(h, i) for h in words]) for i in range(4)], [plain_bits([plain_mixed(h, i) for h in shingles]) for i in range(16)]))
+        else:
+            found.setdefault(text, ([0] * 4, [0] * 16))
+    parent = {t: t for t in found}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(found, 2):
+        (va, wa), (vb, wb) = found[a], found[b]
+        if any((x ^ y).bit_count() <= distance for x, y in zip(va, vb, strict=True)) and sum((x ^ y).bit_count() for x, y in zip(wa, wb, strict=True)) <= wide:
+            parent[find(a)] = find(b)
+    groups = defaultdict(set)
+    for d, t in rows:
+        groups[find(t)].add(d)
+    return list(groups.values())
+
+
+def some_near_texts(n):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    rows = []
+    for base in range(n):
+        words = [word() for _ in range(rng.randint(30, 200))]
+        for copy in range(6):
+            own = list(words)
+            for _ in range(copy * len(own) // 100):
+                own[rng.randrange(len(own))] = word()
+            rows.append((6 * base + copy, " ".join(own)))
+    return [*rows, (1000, None), (1001, ""), (1002, " \t"), (1003, rows[0][1]), (1004, rows[0][1].upper()), (1005, "one two"), (1006, "One  two\n")]
+
+
+@pytest.mark.parametrize("run", [20_000, 3])
+def test_similar_classes_against_all_pairs(spark, monkeypatch, run):
+    monkeypatch.setattr(simhash, "RUN", run)
+    rows = some_near_texts(25)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns(row_key())
+    groups = defaultdict(set)
+    for r in simhash.similar_classes(docs).collect():
+        groups[r["class"]].add(r.doc_id)
+    want = {frozenset(x) for x in plain_similar(rows)}
+    assert {frozenset(x) for x in groups.values()} == want and max(map(len, want)) >= 5
+    assert frozenset({1000, 1001, 1002}) in want and frozenset({1005, 1006}) in want
+
+
 # ---- op2
 
 

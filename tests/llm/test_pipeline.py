@@ -1,9 +1,12 @@
 """The pipeline, stage by stage, against plain versions over the same input."""
 
+from collections import Counter, defaultdict
+from itertools import combinations
+
 import corpus_pipeline as p
 from conftest_llm import save
 from pyspark.sql import functions as F
-from test_dedup import plain_classes, plain_line_dedup
+from test_dedup import plain_line_dedup, plain_similar
 from test_text_ops import plain_contamination
 
 
@@ -35,8 +38,8 @@ def test_stages_against_plain(spark, small, tmp_path):
     assert two.where(F.length("text") != F.col("n_chars")).count() == 0
 
     three = step("near_duplicates", two)
-    want = {d for d, _, c in plain_classes(rows(two)) if d == c}
-    assert three.columns == columns and sorted(str(d) for d, _ in rows(three)) == sorted(want)
+    want = {min(group) for group in plain_similar(rows(two))}
+    assert three.columns == columns and sorted(d for d, _ in rows(three)) == sorted(want)
 
     four = step("decontamination", three)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
@@ -63,6 +66,51 @@ def test_edges_and_empty(spark, edge, empty, tmp_path):
     assert survivors.count() == 0  # of the empty table
 
 
+def test_extra_columns_go_through(spark, edge, tmp_path):
+    save(spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string"), tmp_path, "benchmark")
+    docs = edge.withColumnRenamed("size", "class").withColumn("node", F.lit(7)).withColumn("wide", F.lit("y"))
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns[: len(docs.columns)] == docs.columns or name == "mixing" and set(docs.columns) <= set(out.columns)
+        out.write.parquet(f"{tmp_path}/extra-{name}")
+        docs = spark.read.parquet(f"{tmp_path}/extra-{name}")
+    assert docs.where("node = 7 and wide = 'y' and class = 'x' and doc = 'x'").count() == docs.count() > 0
+
+
+def test_a_language_that_nobody_labelled_is_rejected(spark):
+    own = [(i, f"the quick brown fox number {i} jumps over the lazy dog and runs away from the house", "en") for i in range(600)]
+    own += [(1000 + i, f"der schnelle braune Fuchs Nummer {i} springt über den faulen Hund und läuft aus dem Haus", "de") for i in range(600)]
+    other = [(2000, "Съешь же ещё этих мягких французских булок, да выпей же чаю", None), (2001, "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία", None)]
+    docs = spark.createDataFrame([(i, t, x, "a", 1) for i, t, x in own + other], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in p.language_id(spark, docs, "").collect()} == {i for i, _, _ in own}
+
+
+def near_pairs(texts):
+    """Pairs (smaller id, larger id) whose sets of five-word shingles are at least 0.8 alike."""
+    sets, owners = {}, defaultdict(list)
+    for d, t in texts:
+        w = (t or "").lower().split()
+        if w:
+            sets[d] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+            for s in sets[d]:
+                owners[s].append(d)
+    shared = Counter((a, b) for ds in owners.values() for a, b in combinations(sorted(ds), 2))
+    return [(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+
+
+def test_near_duplicates_by_exact_similarity(spark):
+    """Of the documents with a partner at least 0.8 alike, nine of ten are in its class, and a document that
+    goes has a partner of at least 0.6 among those that it is linked to."""
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in p.near_duplicates(spark, docs, "").collect()}
+    pairs = near_pairs(texts)
+    late = {b for _, b in pairs}
+    assert len(late) > 50 and len(late - kept) >= 0.9 * len(late)
+    clean = {d for d, _ in texts} - {d for pair in pairs for d in pair}
+    assert len(clean - kept) <= 0.01 * len(clean)
+
+
 def test_repeated_rows_leave_one(spark, tmp_path):
     rows_in = [(1, "the very same words in every copy", "en", "a", 1)] * 5 + [(2, "quite other words that nobody repeats here", "en", "a", 1)]
     docs = spark.createDataFrame(rows_in, "doc_id long, text string, lang string, source string, n_chars long")

@@ -2,20 +2,26 @@
 
 1. Words are maximal runs of digits, letters a-z (A-Z in lower case) and non-ASCII characters.
    An item's windows are its runs of 13 words; an item of fewer words is one window.
-2. Over all documents, the benchmark's words are counted (one row a word and task is shuffled).
-   Each window takes its rarest words as anchors.
-3. The index holds a posting for every occurrence of an anchor in the training documents: term,
-   document, position, and the words around it.
-4. The lists of a window's anchors, each shifted by the anchor's offset, are intersected: what is
-   left are starts at which all anchors stand in the right places. The words around settle the
-   rest of the window (phrase_matches), or the words that must occur near by (proximity_matches).
-
-A posting list is never gathered in one task: the lists are dealt out by document and start. The
-benchmark's side is broadcast only up to BOUND rows, else joined by shuffle.
-
-Defined results: null texts have no words, and items without words no windows. Items of null id
-count for n_hit but are not listed. Repeated documents and items change nothing. With an empty
-benchmark no word is hit.
+2. The index is a table of postings (term, document, position) of every occurrence of any window's
+   word in the training documents, written once; texts aren't read again. It is kept in the order of the
+   documents, so that it is written without a shuffle and a document costs a few bytes a posting. Each
+   document has one more posting, of the empty word, at its end: its number of words.
+3. The postings are counted by term, and each window's words are ranked from the rarest.
+4. Lists are intersected from the rarest. A document is seen as ranges of 2 x SPAN words, one beginning
+   every SPAN words, so whatever stands within SPAN words is whole in one range. The postings of each
+   window's ANCHORS rarest words meet by document, window and range: ranges that lack one are out. For
+   the ranges left, the postings of all the window's words are read.
+5. Exact phrases: the list of each word, shifted by its offset in the window, is intersected with
+   what the rarer words left. Proximity: all words of the window stand, in any order, within SPAN
+   words. A range holds at most 2 x SPAN positions, so neither depends on the document's length.
+
+No list of a term is ever gathered: postings are dealt out by document and range. The benchmark's side is
+broadcast only up to BOUND bytes, else joined by shuffle, as are the ranges left by step 4.
+
+Defined results: null texts have no words, and items without words no windows. Items of null id count for
+n_hit but are not listed. Repeated documents and items change nothing but the number of rows. Ties among a
+window's words go to the earlier one and change no result. Texts of any length are indexed whole. With an
+empty benchmark no word is hit. Extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -23,19 +29,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, materialise, row_key
+from .common import KEY, NULL_ID, drop_folder, materialise, row_key, shared_folder, stored
 
 LENGTH = 13
 ANCHORS = 2
-#: Rows of the benchmark's side that may be broadcast (terms, or windows of at most LENGTH words).
-BOUND = 1_000_000
-#: Files that the benchmark's tables are kept in; they are small beside the corpus.
-FILES = 8
+#: Words within which a window's words must stand to be near each other.
+SPAN = 2 * LENGTH
+#: Bytes that may be broadcast, and what a row of a hashed table takes beside its strings.
+BOUND, ROW = 64 << 20, 64
+#: Files that the benchmark's tables are kept in at least, and items of a file.
+FILES, ITEMS = 8, 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Word characters are 0-9, A-Z, a-z and all non-ASCII ones. As a class of two parts, which the regex
-#: engine tests far faster than a negated union of ranges.
-WORD = r"[\p{Alnum}[^\x00-\x7F]]+"
+#: Word characters are 0-9, A-Z, a-z and all non-ASCII ones, as a class that the regex engine tests fast.
 BREAK = r"[^\p{Alnum}[^\x00-\x7F]]+"
+#: The term of the posting that ends a document.
+END = ""
 
 
 def lowered(x: Column) -> Column:
@@ -47,96 +55,121 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered(text), BREAK), "")
 
 
-def n_words(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-
-
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BOUND else df
+def _small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BOUND else df
 
 
 def windows(items: DataFrame, length: int = LENGTH) -> DataFrame:
     """(window, item_id, n, words) of every item; equal windows of different items are apart."""
     cut = items.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - length + 1, F.lit(1)))
-    own = cut.select("item_id", F.explode(starts).alias("s"), "w")
-    own = own.select("item_id", F.slice("w", F.col("s"), length).alias("words")).distinct()
+    own = cut.select("item_id", F.explode(F.transform(starts, lambda s: F.slice("w", s, length))).alias("words")).distinct()
     return own.select(F.xxhash64("item_id", "words").alias("window"), "item_id", F.size("words").alias("n"), "words")
 
 
-def term_counts(docs: DataFrame, wanted: DataFrame, n_wanted: int) -> DataFrame:
-    """(term, cf): occurrences in all documents of the wanted terms."""
-    seen = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    return seen.join(_small(wanted.select("term"), n_wanted), "term").groupBy("term").agg(F.count("*").alias("cf"))
-
-
-def anchored(wins: DataFrame, counts: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """Each window's `anchors` rarest terms: (window, a, offset, term, need)."""
-    terms = wins.select("window", "n", F.posexplode("words").alias("offset", "term"))
-    rated = terms.join(counts, "term", "left")
-    order = Window.partitionBy("window").orderBy(F.coalesce("cf", F.lit(0)), "offset")
-    ranked = rated.withColumn("a", F.row_number().over(order) - 1).where(F.col("a") < anchors)
-    return ranked.select("window", "a", "offset", "term", F.least(F.col("n"), F.lit(anchors)).alias("need"))
-
-
-def postings(docs: DataFrame, terms: DataFrame, n_terms: int, around: int) -> DataFrame:
-    """The index: (term, KEY, pos, first, context) of every occurrence of the terms, where context
-    are the words from position `first` to `around` after pos."""
-    wanted = _small(terms.select("term"), n_terms)
-    keyed = docs.select(*[v.alias(k) for k, v in row_key().items()], words(F.col("text")).alias("_sx_words"))
-    found = keyed.select(*KEY, "_sx_words", F.posexplode("_sx_words").alias("pos", "term")).join(wanted, "term")
-    first = F.greatest(F.col("pos") - around, F.lit(0))
-    near = F.slice("_sx_words", first + 1, F.col("pos") - first + around + 1)
-    return found.select("term", *KEY, "pos", first.alias("first"), near.alias("context"))
-
-
-def _index(docs: DataFrame, wins: DataFrame, anchors: int, around: int) -> tuple[DataFrame, DataFrame]:
-    """(anchored windows, postings of their anchors)."""
-    vocabulary = wins.select(F.explode("words").alias("term")).distinct()
-    counts = term_counts(docs, vocabulary, vocabulary.count())
-    marked = materialise(anchored(wins, counts, anchors).coalesce(FILES))
-    terms = marked.select("term").distinct()
-    return marked, postings(docs, terms, terms.count(), around)
-
-
-def phrase_matches(docs: DataFrame, wins: DataFrame, anchors: int = ANCHORS) -> DataFrame:
-    """(KEY, window, start, n) of every exact occurrence of a window in a document."""
-    longest = wins.agg(F.max("n")).first()[0]
-    if longest is None:
-        return docs.sparkSession.createDataFrame([], f"{KEY[0]} long, {KEY[1]} long, window long, start int, n int")
-    marked, index = _index(docs, wins, anchors, longest)
-    sought = marked.join(wins.select("window", "n", "words"), "window")
-    lists = index.join(_small(sought, marked.count()), "term")
-    start = F.col("pos") - F.col("offset")
-    lists = lists.withColumn("start", start).where("start >= 0")
-    # bit a: anchor a stands here; bit 30: so does the whole window, by the words around anchor 0
-    whole = (F.col("a") == 0) & (F.slice("context", F.col("start") - F.col("first") + 1, F.col("n")) == F.col("words"))
-    bits = F.expr("shiftleft(1, a)").bitwiseOR(F.when(whole, F.lit(1 << 30)).otherwise(F.lit(0)))
-    met = lists.groupBy(*KEY, "window", "start").agg(F.bit_or(bits).alias("bits"), F.max("need").alias("need"), F.max("n").alias("n"))
-    return met.where(F.col("bits") == F.expr("shiftleft(1, need)") - 1 + (1 << 30)).select(*KEY, "window", "start", "n")
-
-
-def proximity_matches(docs: DataFrame, wins: DataFrame, slop: int) -> DataFrame:
-    """(KEY, window, pos) where all of a window's words stand, in any order, within `slop` words
-    of its rarest word's occurrence at pos."""
-    marked, index = _index(docs, wins, 1, slop)
-    sought = marked.join(wins.select("window", "words"), "window")
-    lists = index.join(_small(sought, marked.count()), "term")
-    near = F.size(F.array_except("words", "context")) == 0
-    return lists.where(near).select(*KEY, "window", "pos").distinct()
-
-
-def hits(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(KEY, n_hit, items): for each document with an occurrence, its words inside any, and the ids
-    of the items, as sorted strings."""
-    wins = materialise(windows(items, length).coalesce(FILES))
-    found = phrase_matches(docs, wins)
-    n = wins.count()
-    named = found.join(_small(wins.select("window", "item_id"), n), "window")
+def index(docs: DataFrame, vocabulary: DataFrame, size: int) -> tuple[DataFrame, str]:
+    """The postings (doc_id, KEY, pos, term) of the vocabulary (word) and the folder they are kept in. A
+    term is its word's hash."""
+    wanted = _small(vocabulary.select("word", F.xxhash64("word").alias("term")), size)
+    ended = F.concat(F.coalesce(words(F.col("text")), F.array().cast("array<string>")), F.array(F.lit(END)))
+    each = docs.select("doc_id", row_key()[KEY[1]].alias(KEY[1]), F.posexplode(ended).alias("pos", "word"))
+    uri = shared_folder(docs.sparkSession, "postings")
+    each.join(wanted, "word").select("doc_id", KEY[1], "pos", "term").write.parquet(uri)
+    kept = docs.sparkSession.read.parquet(uri)
+    return kept.withColumn(KEY[0], F.coalesce("doc_id", F.lit(NULL_ID))), uri
+
+
+def ranked(wins: DataFrame, postings: DataFrame) -> DataFrame:
+    """(window, a, term, offsets, need): a window's distinct words, a = 0 for the rarest in the index, with
+    all places in the window; need is how many there are."""
+    counts = postings.groupBy("term").agg(F.count("*").alias("cf"))
+    each = wins.select("window", F.posexplode("words").alias("offset", "word"))
+    own = each.groupBy("window", F.xxhash64("word").alias("term")).agg(F.array_sort(F.collect_set("offset")).alias("offsets"))
+    rated = own.join(counts, "term", "left")
+    every = Window.partitionBy("window")  # of at most LENGTH rows
+    order = every.orderBy(F.coalesce("cf", F.lit(0)), F.element_at("offsets", 1))
+    return rated.select("window", (F.row_number().over(order) - 1).alias("a"), "term", "offsets", F.count("*").over(every).cast("int").alias("need"))
+
+
+def in_ranges(postings: DataFrame, span: int) -> DataFrame:
+    """Each posting once for each of the two ranges that hold it."""
+    own = F.floor(F.col("pos") / span).cast("int")
+    return postings.withColumn("range", F.explode(F.array(own - 1, own)))
+
+
+def matches(postings: DataFrame, wins: DataFrame, anchors: int = ANCHORS, span: int = SPAN) -> DataFrame:
+    """(KEY, window, item_id, n, starts, near) of the documents' ranges that have all words of a window:
+    the starts of its exact occurrences (in the first half of the range, so none is found twice), and
+    whether all its words stand within span words."""
+    order = stored(ranked(wins, postings), "ranked")
+    bits = F.bit_or(F.expr("shiftleft(1, a)"))
+    heads = order.where(F.col("a") < anchors).select("window", "a", "term", F.least("need", F.lit(anchors)).alias("least"))
+    met = in_ranges(postings.join(_small(heads, heads.count() * ROW), "term"), span)
+    met = met.groupBy(*KEY, "window", "range").agg(bits.alias("bits"), F.first("least").alias("least"))
+    left = stored(met.where(F.col("bits") == F.expr("shiftleft(1, least)") - 1).select(*KEY, "window", "range"), "ranges")
+    n_left = left.count()
+    terms = order.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("a", "term", "offsets"))).alias("terms"))
+    sought = left.join(terms, "window").select(*KEY, "range", "window", F.explode("terms").alias("t"))
+    sought = sought.select(*KEY, "range", "window", F.col("t.term").alias("term"))
+    near_by = in_ranges(postings.join(_small(left.select(*KEY).distinct(), n_left * ROW), list(KEY), "left_semi"), span)
+    found = near_by.join(_small(sought, n_left * LENGTH * ROW), [*KEY, "range", "term"])
+    own = found.groupBy(*KEY, "window", "range").agg(F.collect_set(F.struct("term", "pos")).alias("posts"))
+    whole = own.join(terms, "window").join(wins.select("window", "item_id", "n"), "window")
+    distinct = F.size(F.array_distinct(F.transform("posts", lambda p: p["term"])))
+    whole = whole.where(distinct == F.size("terms"))
+
+    def of(term: Column) -> Column:
+        return F.transform(F.filter("posts", lambda p: p["term"] == term), lambda p: p["pos"])
+
+    # each word's list, shifted, against what the rarer ones left; a word that a window has twice counts twice
+    places = F.flatten(F.transform("terms", lambda t: F.transform(t["offsets"], lambda o: F.struct(t["term"].alias("term"), o.alias("o")))))
+    shifted = lambda t: F.transform(of(t["term"]), lambda p: p - t["o"])
+    rest = F.slice("places", 2, F.size("places"))
+    whole = whole.withColumn("places", places)
+    starts = F.aggregate(rest, shifted(F.element_at("places", 1)), lambda acc, t: F.array_intersect(acc, shifted(t)))
+    starts = F.filter(starts, lambda s: (s >= F.col("range") * span) & (s < (F.col("range") + 1) * span))
+    within = lambda t, s: F.exists("posts", lambda p: (p["term"] == t["term"]) & (p["pos"] >= s) & (p["pos"] < s + span))
+    near = F.exists("posts", lambda first: F.forall("terms", lambda t: within(t, first["pos"])))
+    return whole.select(*KEY, "window", "item_id", "n", starts.alias("starts"), near.alias("near"))
+
+
+def _indexed(docs: DataFrame, items: DataFrame, length: int) -> tuple[DataFrame, DataFrame, str]:
+    """(windows, postings, their folder)."""
+    files = max(FILES, items.count() // ITEMS)
+    wins = stored(windows(items, length).coalesce(files), "windows")
+    vocabulary = wins.select(F.explode("words").alias("word")).distinct()
+    vocabulary = stored(vocabulary.unionByName(docs.sparkSession.createDataFrame([(END,)], "word string")).coalesce(files), "vocabulary")
+    size = vocabulary.agg(F.sum(F.octet_length("word") + ROW)).first()[0]
+    return wins, *index(docs, vocabulary, size)
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(KEY, window, start, n) of every exact occurrence of a window of the items in a document."""
+    wins, postings, _ = _indexed(docs, items, length)
+    return matches(postings, wins, span=2 * length).select(*KEY, "window", F.explode("starts").alias("start"), "n")
+
+
+def proximity_matches(docs: DataFrame, items: DataFrame, span: int = SPAN, length: int = LENGTH) -> DataFrame:
+    """(KEY, window) where all of a window's words stand, in any order, within span words (at least as
+    many as a window has)."""
+    wins, postings, _ = _indexed(docs, items, length)
+    return matches(postings, wins, span=max(span, length)).where("near").select(*KEY, "window").distinct()
+
+
+def contamination(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(doc_id, KEY, n_words, n_hit, items, contaminated, near), one row a document: items are the ids, as
+    sorted strings, of those with an occurring window, near how many have a window whose words are near.
+
+    The index and what it was asked are dropped at the end; the rows are checkpointed."""
+    spark = docs.sparkSession
+    wins, postings, folder = _indexed(docs, items, length)
+    found = matches(postings, wins, span=2 * length)
     # sets of (start, length) and of items: no larger than the document or the benchmark
-    own = named.groupBy(*KEY).agg(
-        F.array_sort(F.collect_set(F.struct("start", "n"))).alias("spans"), F.collect_set("item_id").alias("ids")
-    )
+    spans = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("starts", lambda s: F.struct(s.alias("start"), F.col("n").alias("n")))))))
+    own = found.groupBy(*KEY).agg(
+        spans.alias("spans"), F.collect_set(F.when(F.size("starts") > 0, F.col("item_id"))).alias("ids"),
+        F.count_distinct(F.when(F.col("near"), F.col("item_id"))).alias("near"),
+    )
     zero = F.struct(F.lit(0).alias("upto"), F.lit(0).alias("hit"))
 
     def add(acc: Column, x: Column) -> Column:
@@ -146,14 +179,12 @@ def hits(docs: DataFrame, items: DataFrame, length: int = LENGTH) -> DataFrame:
 
     hit = F.aggregate("spans", zero, add, lambda acc: acc["hit"].cast("long"))
     ids = F.array_sort(F.transform("ids", lambda x: x.cast("string")))
-    return own.select(*KEY, hit.alias("n_hit"), ids.alias("items"))
-
-
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, KEY, n_words, n_hit, items, contaminated), one row a document."""
-    keyed = docs.select("doc_id", *[v.alias(k) for k, v in row_key().items()], n_words(F.col("text")).alias("n_words"))
-    joined = keyed.join(hits(docs, items), list(KEY), "left")
-    out = joined.withColumns(
-        {"n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>"))}
-    )
+    hits = own.select(*KEY, hit.alias("n_hit"), ids.alias("items"), "near")
+    ends = postings.where(F.col("term") == F.xxhash64(F.lit(END))).select("doc_id", *KEY, F.col("pos").cast("long").alias("n_words"))
+    out = materialise(ends.join(hits, list(KEY), "left"))
+    drop_folder(spark, folder)
+    out = out.withColumns({
+        "n_hit": F.coalesce("n_hit", F.lit(0)).cast("long"), "items": F.coalesce("items", F.array().cast("array<string>")),
+        "near": F.coalesce("near", F.lit(0)).cast("long"),
+    })
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -34,13 +34,26 @@ hit AS (
 n_hit AS (
   SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit
   FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT doc_id, s, n FROM hit)) GROUP BY doc_id),
+wt AS (
+  SELECT wid, item_id, unnest(list_distinct(w)) AS term, len(list_distinct(w)) AS need
+  FROM (SELECT row_number() OVER () AS wid, item_id, string_split(k, ' ') AS w FROM win)),
+vocab AS (SELECT DISTINCT term FROM wt),
+post AS (SELECT doc_id, s, w[s] AS term FROM pos WHERE w[s] IN (SELECT term FROM vocab)),
+pair AS (
+  SELECT p.doc_id, wt.wid FROM (SELECT DISTINCT doc_id, term FROM post) p JOIN wt USING (term)
+  GROUP BY p.doc_id, wt.wid, wt.need HAVING count(*) = wt.need),
+own AS (SELECT pair.doc_id, wt.wid, wt.item_id, wt.need, wt.term, post.s FROM pair JOIN wt USING (wid) JOIN post ON post.doc_id = pair.doc_id AND post.term = wt.term),
+close AS (
+  SELECT a.doc_id, a.item_id FROM own a JOIN own b ON a.doc_id = b.doc_id AND a.wid = b.wid AND b.s >= a.s AND b.s < a.s + 26
+  GROUP BY a.doc_id, a.wid, a.item_id, a.need, a.s HAVING count(DISTINCT b.term) = a.need),
+nears AS (SELECT doc_id, count(DISTINCT item_id)::BIGINT AS n_near FROM close GROUP BY doc_id),
 its AS (
   SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(i, ',' ORDER BY i) AS ids
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
-SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+SELECT w.doc_id, coalesce(n_near, 0)::BIGINT AS n_near, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) AS contaminated
-FROM w LEFT JOIN n_hit ON w.doc_id = n_hit.doc_id LEFT JOIN its ON w.doc_id = its.doc_id
+FROM w LEFT JOIN n_hit ON w.doc_id = n_hit.doc_id LEFT JOIN its ON w.doc_id = its.doc_id LEFT JOIN nears ON w.doc_id = nears.doc_id
 """
 
 MIXING = """

@@ -94,14 +94,20 @@ def plain_contamination(docs, items):
                     hit.update(range(k, k + n))
                     found |= windows[g]
         ids = sorted(str(i) for i in found if i is not None)
-        out.append((str(d), len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+        near = set()
+        for g, owners in windows.items():
+            if not owners <= near and set(g) <= set(w):
+                at = [k for k, x in enumerate(w) if x in g]
+                if any(set(w[k : k + 26]) >= set(g) for k in at):
+                    near |= owners
+        out.append((str(d), len(w), len(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w), len(near - {None})))
     return sorted(out)
 
 
 def check_contamination(spark, sf):
     pairs = lambda name, key: [(r[key], r.text) for r in spark.read.parquet(f"{sf}/{name}.parquet").collect()]
     got = queries.op6_decontamination(spark, sf).collect()
-    rows = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got)
+    rows = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated, r.n_near) for r in got)
     assert rows == plain_contamination(pairs("documents", "doc_id"), pairs("benchmark", "item_id"))
 
 
@@ -138,10 +144,21 @@ def test_op6_is_native(spark, small):
 
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta x gamma"), (2, "gamma x x x x x x x x alpha beta"), (3, "beta alpha gamma")], "doc_id long, text string")
-    wins = decontam.windows(spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string"))
-    found = lambda slop: sorted({r[0] for r in decontam.proximity_matches(docs, wins, slop).select("_sx_id").collect()})
-    assert found(5) == [1, 3] and found(10) == [1, 2, 3]
-    assert decontam.phrase_matches(docs, wins).count() == 0
+    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    found = lambda span: sorted({r[0] for r in decontam.proximity_matches(docs, items, span, 3).select("_sx_id").collect()})
+    assert found(3) == [3] and found(6) == [1, 3] and found(10) == [1, 3] and found(11) == [1, 2, 3]
+    assert decontam.phrase_matches(docs, items).count() == 0
+
+
+def test_the_intersection_decides(spark):
+    """Documents that have all words of the phrase, shifted by one, or the rarest two in place only."""
+    phrase = "alpha beta gamma delta"
+    docs = spark.createDataFrame([(1, f"x {phrase} y {phrase}"), (2, "alpha gamma beta delta"), (3, "x alpha beta x delta gamma"), (4, "beta gamma delta alpha")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, phrase), (2, "to be to be")], "item_id long, text string")
+    got = sorted((r._sx_id, r.start, r.n) for r in decontam.phrase_matches(docs, items).collect())
+    assert got == [(1, 1, 4), (1, 6, 4)]
+    again = spark.createDataFrame([(5, "to be to be to be"), (6, "to be or to be")], "doc_id long, text string")
+    assert sorted((r._sx_id, r.start) for r in decontam.phrase_matches(again, items).collect()) == [(5, 0), (5, 2)]
 
 
 # ---- op7

@@ -16,7 +16,10 @@
    words. A range holds at most 2 x SPAN positions, so neither depends on the document's length.
 
 No list of a term is ever gathered: postings are dealt out by document and range. The benchmark's side is
-broadcast only up to BOUND bytes, else joined by shuffle, as are the ranges left by step 4.
+broadcast only up to BOUND bytes, else joined by shuffle. The ranges that step 4 leaves grow with the corpus,
+so they are joined by shuffle; before it, postings are held against two bitmaps of SLOTS bits (of the
+documents and of the ranges left, by hash), which are broadcast and of a fixed size. Bits set by others
+let postings through that the join then drops.
 
 Defined results: null texts have no words, and items without words no windows. Items of null id count for
 n_hit but are not listed. Repeated documents and items change nothing but the number of rows. Ties among a
@@ -37,6 +40,8 @@ ANCHORS = 2
 SPAN = 2 * LENGTH
 #: Bytes that may be broadcast, and what a row of a hashed table takes beside its strings.
 BOUND, ROW = 64 << 20, 64
+#: Bits of a bitmap; its rows of 64 bits take at most SLOTS / 64 * ROW = 16 MB as a hashed table.
+SLOTS = 1 << 24
 #: Files that the benchmark's tables are kept in at least, and items of a file.
 FILES, ITEMS = 8, 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -97,6 +102,19 @@ def in_ranges(postings: DataFrame, span: int) -> DataFrame:
     return postings.withColumn("range", F.explode(F.array(own - 1, own)))
 
 
+def _slots(*key: str) -> dict[str, Column]:
+    slot = F.pmod(F.xxhash64(*key), F.lit(SLOTS))
+    return {"_sx_word": F.floor(slot / 64).cast("int"), "_sx_bit": F.pmod(slot, F.lit(64)).cast("int")}
+
+
+def _only_of(rows: DataFrame, left: DataFrame, *key: str) -> DataFrame:
+    """Rows whose key is, by its slot, among those of left."""
+    bitmap = left.select(*[c.alias(n) for n, c in _slots(*key).items()])
+    bitmap = bitmap.groupBy("_sx_word").agg(F.bit_or(F.expr("shiftleft(1L, _sx_bit)")).alias("_sx_bits"))
+    held = rows.withColumns(_slots(*key)).join(F.broadcast(bitmap), "_sx_word")
+    return held.where("shiftright(_sx_bits, _sx_bit) & 1 = 1").drop("_sx_word", "_sx_bit", "_sx_bits")
+
+
 def matches(postings: DataFrame, wins: DataFrame, anchors: int = ANCHORS, span: int = SPAN) -> DataFrame:
     """(KEY, window, item_id, n, starts, near) of the documents' ranges that have all words of a window:
     the starts of its exact occurrences (in the first half of the range, so none is found twice), and
@@ -107,12 +125,11 @@ def matches(postings: DataFrame, wins: DataFrame, anchors: int = ANCHORS, span:
     met = in_ranges(postings.join(_small(heads, heads.count() * ROW), "term"), span)
     met = met.groupBy(*KEY, "window", "range").agg(bits.alias("bits"), F.first("least").alias("least"))
     left = stored(met.where(F.col("bits") == F.expr("shiftleft(1, least)") - 1).select(*KEY, "window", "range"), "ranges")
-    n_left = left.count()
     terms = order.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("a", "term", "offsets"))).alias("terms"))
-    sought = left.join(terms, "window").select(*KEY, "range", "window", F.explode("terms").alias("t"))
-    sought = sought.select(*KEY, "range", "window", F.col("t.term").alias("term"))
-    near_by = in_ranges(postings.join(_small(left.select(*KEY).distinct(), n_left * ROW), list(KEY), "left_semi"), span)
-    found = near_by.join(_small(sought, n_left * LENGTH * ROW), [*KEY, "range", "term"])
+    near_by = _only_of(in_ranges(_only_of(postings, left, *KEY), span), left, *KEY, "range")
+    met = near_by.join(left, [*KEY, "range"]).select(*KEY, "range", "window", "term", "pos")
+    words_of = order.select("window", "term")
+    found = met.join(_small(words_of, words_of.count() * ROW), ["window", "term"])
     own = found.groupBy(*KEY, "window", "range").agg(F.collect_set(F.struct("term", "pos")).alias("posts"))
     whole = own.join(terms, "window").join(wins.select("window", "item_id", "n"), "window")
     distinct = F.size(F.array_distinct(F.transform("posts", lambda p: p["term"])))

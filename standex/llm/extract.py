@@ -1,20 +1,23 @@
 """Main text of a page by composite text density.
 
 1. Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and comment
-   threads are marked by their elements, roles and names, unless they hold the page's article.
+   threads are marked by their elements, roles and names and take no further part, unless they hold an
+   article, or (forms, blocks named so) more than half of the page's text.
 2. Every other node gets its characters per tag, adjusted for links:
    C/T x log base ln(C/NLC x LC + LCb/Cb x C + e) of (C/LC x T/LT), with C characters, T tags, L those
-   in links, N not, b of the body; zero denominators count as 1.
-3. The node with the largest sum of its children's densities heads the main text. The threshold is
-   the least density on the path from it to the body: what stands beside that path is taken if it
-   is as dense, or lies between two blocks that are. If the node lies in an article (or holds
-   one), the whole article is taken, and so are, in page order, the other articles beside it: those
-   of the main element, else of the article's parent (or of the node that holds them). Headings and
-   paragraphs beside them come along if a main element or the node holds them.
+   in links, N not, b of the whole body; zero denominators count as 1, and the base as e at least (where
+   a page has hardly a link, it would approach 1 and the shortest blocks win).
+3. The node with the largest sum of its blocks' densities heads the main text. Its blocks are the nearest nodes
+   below that aren't inline (a, b, span, ...), so that a paragraph isn't preferred to what holds it. No
+   element's name picks it. If it is the body, blocks beside the dense ones are left out as in 4.
+4. The threshold is the least density on the path from it to the body: at each node of that path, what
+   is as dense, or lies between two blocks that are, is taken too; and so are headings, paragraphs
+   and articles next to what is taken, unless most of them is links.
 
 Defined results: null and empty pages, and pages without text, give the empty string. Pages of any
-length are parsed whole. Rows are independent: repeated rows get equal texts, and nothing is
-shuffled.
+length are parsed whole, in linear time. Rows are independent: repeated rows get equal texts, and nothing is
+shuffled. Of nodes with equal sums the first in page order is taken. Columns named text and n_chars
+must not be among those given.
 """
 
 from __future__ import annotations
@@ -28,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import widened
-from .html import Node, parse, text_of
+from .html import Node, parse, text_of, written
 
 #: Elements that never hold main text.
 DROPPED_TAGS = frozenset(
-    "head script style noscript template iframe object embed svg math canvas audio video map nav aside footer form fieldset "
+    "head script style noscript template iframe object embed svg math canvas audio video map nav aside footer "
     "button select option input textarea label dialog menu noframes noembed xmp".split()
 )
+#: Elements that some pages are wrapped in whole.
+FORMS = frozenset(["form", "fieldset"])
 #: Roles of such parts.
 DROPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split()
@@ -55,8 +60,13 @@ HEADER_NAMES = frozenset(["header"])
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ARTICLE = frozenset(["article", "main"])
-#: Titles and leads that stand beside articles.
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header p".split())
+#: Text that may be short and yet belong to what it stands next to.
+TEXTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header p article blockquote pre".split())
+#: Elements within a line.
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub "
+    "sup time tt u var wbr".split()
+)
 #: Blocks that may be menus without a name that says so.
 LINK_BLOCKS = frozenset("ul ol dl div section table p center span".split())
 
@@ -75,78 +85,59 @@ def _mark(root: Node) -> None:
     """marks = (dropped, in an article or main, named like boilerplate)."""
     nodes = list(root.walk())
     weak: dict[int, set[str]] = {}
-    holds: set[int] = set()  # nodes with a usable article below
-    own: set[int] = set()
+    threads: set[int] = set()  # in a comment thread, or in something dropped
+    holds: set[int] = set()  # usable articles, and nodes with one below
+    articles: list[Node] = []
     for node in nodes:
         a = node.attributes() if node.raw else {}
-        within = node.parent is not None and (node.parent.marks[1] or node.parent.tag in _ARTICLE)
+        up = node.parent
+        within = up is not None and (up.marks[1] or up.tag in _ARTICLE)
         role = a.get("role", "").lower()
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))
         whole = node.tag in ("html", "body")  # some pages hide these until a script has run
-        strong = node.tag in DROPPED_TAGS or not whole and (role in DROPPED_ROLES or hidden)
-        if node.tag == "header" and not within:
-            strong = True
-        node.marks = (strong, within, False)
-        if a.get("class") or a.get("id"):
+        strong = node.tag in DROPPED_TAGS or node.tag == "header" and not within or not whole and (role in DROPPED_ROLES or hidden)
+        named = False
+        if (a.get("class") or a.get("id")) and node.tag not in ("html", "body", "main"):
             names = _names(a)
-            found = names & DROPPED_NAMES
-            if not within:
-                found |= names & HEADER_NAMES
-            if found and node.tag not in ("html", "body", "main"):
+            if found := names & DROPPED_NAMES | (names & HEADER_NAMES if not within else set()):
                 weak[id(node)] = found
-                node.marks = (strong, within, True)
-        if (node.tag in _ARTICLE or role in ("main", "article")) and not (weak.get(id(node), set()) & COMMENT_NAMES) and not strong:
-            own.add(id(node))
-    # articles inside a comment thread are comments
-    for node in nodes:
-        if id(node) in own:
-            up, thread = node.parent, False
-            while up is not None:
-                thread |= bool(weak.get(id(up), set()) & COMMENT_NAMES) or up.marks[0]
-                up = up.parent
-            if thread:
-                own.discard(id(node))
-                continue
-            up = node.parent
-            while up is not None and id(up) not in holds:
-                holds.add(id(up))
-                up = up.parent
+                named = True
+        node.marks = (strong, within, named)
+        comments = bool(weak.get(id(node), set()) & COMMENT_NAMES)
+        in_thread = up is not None and id(up) in threads
+        if strong or comments or in_thread:
+            threads.add(id(node))
+        if (node.tag in _ARTICLE or role in ("main", "article")) and not comments and not strong and not in_thread:
+            articles.append(node)
+    for node in articles:
+        while node is not None and id(node) not in holds:
+            holds.add(id(node))
+            node = node.parent
     size: dict[int, int] = {}
     for node in reversed(nodes):
         size[id(node)] = sum(len(x) if isinstance(x, str) else size[id(x)] for x in node.children) if not node.marks[0] else 0
     body = size[id(root)]
     for node in nodes:
-        names = weak.get(id(node))
-        if not names or node.marks[0]:
-            continue
-        if id(node) in holds or id(node) in own:
-            continue  # it wraps the article
-        if names & COMMENT_NAMES or 2 * size[id(node)] <= body or not node.marks[1] and (holds or own):
+        if node.marks[0] or id(node) in holds:
+            continue  # or it wraps an article
+        small = 2 * size[id(node)] <= body
+        names = weak.get(id(node), set())
+        if node.tag in FORMS and small or names and (names & COMMENT_NAMES or small or not node.marks[1] and holds):
             node.marks = (True, *node.marks[1:])
 
 
 def _density(c: int, t: int, lc: int, lt: int, share: float) -> float:
     if not c:
         return 0.0
-    base = math.log(c / max(c - lc, 1) * lc + share * c + math.e)
-    x = c / max(lc, 1) * t / max(lt, 1)
-    return c / max(t, 1) * (math.log(x) / math.log(base) if base > 1 else math.log(x)) if x > 1 else 0.0
+    base = max(math.log(c / max(c - lc, 1) * lc + share * c + math.e), math.e)
+    x = c / max(lc, 1) * max(t, 1) / max(lt, 1)
+    return c / max(t, 1) * math.log(x) / math.log(base) if x > 1 else 0.0
 
 
-def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    root = parse(html)
-    _mark(root)
-    skipped = lambda n: n.marks[0]
-    body = next((n for n in root.walk() if n.tag == "body"), root)
-    nodes, stack = [], [body]
-    while stack:
-        node = stack.pop()
-        nodes.append(node)
-        stack.extend(x for x in reversed(node.children) if not isinstance(x, str) and not x.marks[0])
+def _counted(body: Node) -> dict[int, tuple[int, int, int, int]]:
+    """(characters, tags, characters in links, links) of every node, without what is dropped below it."""
     counts: dict[int, tuple[int, int, int, int]] = {}
-    for node in reversed(nodes):
+    for node in reversed(list(body.walk())):
         c = t = lc = lt = 0
         for x in node.children:
             if isinstance(x, str):
@@ -157,96 +148,110 @@ def main_text(html: str | None) -> str:
         if node.tag == "a":
             lc, lt = c, lt + 1
         counts[id(node)] = (c, t, lc, lt)
-    c, _, lc, _ = counts[id(body)]
-    if not c:
+    return counts
+
+
+def _link_share(body: Node) -> float:
+    """Of all the body's characters, menus included, those in links."""
+    c = lc = 0
+    stack: list[tuple[Node | str, bool]] = [(body, False)]
+    while stack:
+        x, link = stack.pop()
+        if isinstance(x, str):
+            n = len(" ".join(x.split()))
+            c, lc = c + n, lc + n * link
+        elif x.tag not in ("script", "style"):
+            stack.extend((y, link or x.tag == "a") for y in x.children)
+    return lc / max(c, 1)
+
+
+def densities(body: Node) -> tuple[list[Node], dict[int, tuple[int, int, int, int]], dict[int, float]]:
+    """The nodes that aren't dropped, in page order, the counts, and each one's density."""
+    nodes, stack = [], [body]
+    while stack:
+        node = stack.pop()
+        nodes.append(node)
+        stack.extend(x for x in reversed(node.children) if not isinstance(x, str) and not x.marks[0])
+    counts, share = _counted(body), _link_share(body)
+    return nodes, counts, {id(n): _density(*counts[id(n)], share) for n in nodes}
+
+
+def _sums(nodes: list[Node], density: dict[int, float]) -> dict[int, float]:
+    """The sum of the densities of each node's blocks; inline nodes hand theirs on."""
+    sums: dict[int, float] = {}
+    for node in reversed(nodes):
+        sums[id(node)] = sum(
+            sums[id(x)] if x.tag in INLINE else density[id(x)] for x in node.children if not isinstance(x, str) and not x.marks[0]
+        )
+    return sums
+
+
+def main_text(html: str | None) -> str:
+    if not html:
+        return ""
+    root = parse(html)
+    _mark(root)
+    body = next((n for n in root.walk() if n.tag == "body"), root)
+    nodes, counts, density = densities(body)
+    if not counts[id(body)][0]:
         return ""
-    density = {id(n): _density(*counts[id(n)], lc / c) for n in nodes}
-    sums = {id(n): sum(density[id(x)] for x in n.children if not isinstance(x, str) and not x.marks[0]) for n in nodes}
-    best = max(nodes, key=lambda n: sums[id(n)])  # the first in page order on ties
 
     def outside(node: Node) -> bool:
-        """Outside of an article, blocks that are mostly links are menus too."""
+        """Dropped, or by its links a menu without a name that says so."""
         if node.marks[0]:
             return True
         c, _, lc, lt = counts[id(node)]
         return lt > 1 and 5 * lc >= 3 * c and node.tag in LINK_BLOCKS
 
+    sums = _sums(nodes, density)
+    best = max((n for n in nodes if n.tag not in INLINE or n is body), key=lambda n: sums[id(n)])  # the first in page order on ties
+    path, node = [best], best
+    while node is not body:
+        node = node.parent
+        path.append(node)
     if not sums[id(best)]:
         return text_of(body, outside)
-    path, node = [], best
-    while node is not None and node is not body.parent:
-        path.append(node)
-        node = node.parent
-    articles = [n for n in path if n.tag == "article"] or [n for n in path if n.tag == "main"]
-
-    def joined(scope: Node, chosen: Node, beside: bool) -> str:
-        """The outermost articles under scope; with beside, what heads them too. Named like boilerplate, a block counts only if it holds the chosen one."""
-        tops, holders, stack = set(), {id(scope)}, [scope]
-        around = {id(n) for n in _upward(chosen)}
-        while stack:
-            for x in stack.pop().children:
-                if isinstance(x, str) or x.marks[0]:
-                    continue
-                # a name that the chosen article has as well says nothing
-                if x.marks[2] and id(x) not in around and not (x.tag in _ARTICLE and chosen.marks[2]):
-                    continue
-                if x.tag not in _ARTICLE:
-                    stack.append(x)
-                    continue
-                tops.add(id(x))
-                for up in _upward(x.parent):
-                    if id(up) in holders:
-                        break
-                    holders.add(id(up))
-        parts, stack = [], [scope]
-        while stack:
-            x = stack.pop()
-            if id(x) in tops:
-                parts.append(text_of(x, skipped))
-            elif id(x) in holders:
-                stack.extend(y for y in reversed(x.children) if not isinstance(y, str))
-            elif beside and x.tag in HEADINGS and not x.marks[0] and not x.marks[2] and 2 * counts[id(x)][2] <= counts[id(x)][0]:
-                parts.append(text_of(x, outside))
-        return " ".join(x for x in parts if x)
-
-    if articles:
-        if articles[-1].tag == "main":
-            return text_of(articles[0], skipped)
-        main = next((n for n in _upward(articles[-1]) if n.tag == "main" and not n.marks[0]), None)
-        return joined(main or articles[-1].parent, articles[-1], main is not None)
-    within = [n for n in nodes if n.tag in _ARTICLE and _under(n, best)]
-    if within:
-        return joined(best, max(within, key=lambda n: counts[id(n)][0]), True)
     threshold = min(density[id(n)] for n in path)
 
-    def piece(x: Node | str, good: bool) -> str:
-        if isinstance(x, str):
-            return x
-        c, _, lc, _ = counts[id(x)]
-        return f" {text_of(x, outside)} " if good or 2 * lc <= c else " "
+    def level(outer: Node, inner: Node | None) -> tuple[str, str]:
+        """The text taken of outer's children, before and after inner."""
+        beside = list(outer.children)
+        out = [not isinstance(x, str) and outside(x) for x in beside]
+        good = [x is inner or not isinstance(x, str) and not o and density[id(x)] >= threshold for x, o in zip(beside, out, strict=True)]
+        if True not in good:
+            return written(outer, outside), ""
+        first, last = good.index(True), len(good) - 1 - good[::-1].index(True)
+        while first and (out[first - 1] or _goes_along(beside[first - 1], counts)):
+            first -= 1
+        while last + 1 < len(beside) and (out[last + 1] or _goes_along(beside[last + 1], counts)):
+            last += 1
+        parts, side = ([], []), 0
+        for x, dense, gone in zip(beside[first : last + 1], good[first : last + 1], out[first : last + 1], strict=True):
+            if x is inner:
+                side = 1
+            elif isinstance(x, str):
+                parts[side].append(x)
+            elif gone or not dense and 2 * counts[id(x)][2] > counts[id(x)][0]:
+                parts[side].append(" ")
+            else:
+                parts[side].append(written(x, outside))
+        return "".join(parts[0]), "".join(parts[1])
 
-    text = text_of(best, outside)
+    middle = [written(best, outside)] if best is not body else list(level(body, None))
+    before, after = [], []
     for inner, outer in zip(path, path[1:], strict=False):
-        beside = [x for x in outer.children if isinstance(x, str) or not x.marks[0]]
-        good = [x is inner or not isinstance(x, str) and density[id(x)] >= threshold for x in beside]
-        at, first, last = beside.index(inner), good.index(True), len(good) - 1 - good[::-1].index(True)
-        left = "".join(piece(x, g) for x, g in zip(beside[first:at], good[first:at], strict=True))
-        right = "".join(piece(x, g) for x, g in zip(beside[at + 1 : last + 1], good[at + 1 : last + 1], strict=True))
-        text = f"{left} {text} {right}"
-    return " ".join(text.split())
-
-
-def _upward(node: Node) -> Iterator[Node]:
-    """The node and all that it lies in."""
-    while node is not None:
-        yield node
-        node = node.parent
+        left, right = level(outer, inner)
+        before.append(left)
+        after.append(right)
+    return " ".join(" ".join([*reversed(before), *middle, *after]).split())
 
 
-def _under(node: Node, top: Node) -> bool:
-    while node is not None and node is not top:
-        node = node.parent
-    return node is top
+def _goes_along(x: Node | str, counts: dict[int, tuple[int, int, int, int]]) -> bool:
+    """Text next to what is taken: headings, paragraphs, articles, and loose text, if most of it isn't links."""
+    if isinstance(x, str):
+        return True
+    c, _, lc, _ = counts[id(x)]
+    return (x.tag in TEXTS and not x.marks[2] or x.tag in INLINE) and 2 * lc <= c
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:

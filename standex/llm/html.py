@@ -1,14 +1,17 @@
-"""A small, tolerant HTML tree: one pass over the tags with a regular expression, no recursion."""
+"""A small, tolerant HTML tree: one pass over the markup, no recursion, in time linear in its length.
+
+Defined results: anything parses. The empty text is a root without children; a "<" that begins no tag, and a
+tag that never ends, are text; an end tag without an open one is dropped; what is open at the end is closed.
+Once a quote in a tag turns out never to end, quotes no longer hide the ">" of the tags after it.
+"""
 
 from __future__ import annotations
 
 import re
 from html import unescape
 
-_TAG = re.compile(
-    r"""<!--.*?(?:--!?>|\Z)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
-    re.S,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_QUOTE = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>`]+)))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -20,25 +23,29 @@ BLOCK = frozenset(
     "tbody td tfoot th thead title tr ul video audio".split()
 )
 _ENDS_P = BLOCK - frozenset("br option optgroup select title body html head".split())
-#: An opening tag closes an open one of the first set, unless one of the second set lies between.
-_SIBLINGS = {
+#: An opening tag closes an open one of the first set, the outermost that no one of the second encloses.
+_CLOSES = {
+    "p": (frozenset(["p"]), frozenset("td th caption button object table html body div section article main aside li dd dt form fieldset blockquote".split())),
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
-    "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])),
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-#: An open p inside one of these is not closed by a block outside of it.
-_SCOPE = frozenset("td th caption button object table html body div section article main aside li dd dt form fieldset blockquote".split())
+_RULE = {"li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td", "option": "option"}
+_RULES = list(_CLOSES)
+_MATTERS = frozenset().union(*[a | b for a, b in _CLOSES.values()])
 
 
 class Node:
-    __slots__ = ("tag", "raw", "parent", "children", "marks")
+    __slots__ = ("tag", "raw", "parent", "children", "marks", "open")
 
     def __init__(self, tag: str, raw: str, parent: Node | None):
         self.tag, self.raw, self.parent = tag, raw, parent
+        #: While the tree is built: for each of _RULES, the node that it would close.
+        self.open: tuple[Node | None, ...] = parent.open if parent is not None else (None,) * len(_RULES)
+        if tag in _MATTERS:
+            self.open = tuple(None if tag in stops else x or (self if tag in closes else None) for x, (closes, stops) in zip(self.open, _CLOSES.values(), strict=True))
         self.children: list[Node | str] = []
         self.marks: tuple = ()
 
@@ -57,45 +64,78 @@ class Node:
             stack.extend(x for x in reversed(node.children) if not isinstance(x, str))
 
 
+def _tag_end(html: str, pos: int, quotes: bool) -> tuple[int, bool]:
+    """The place of the ">" that ends the tag whose attributes begin at pos, -1 without; and whether quotes
+    still hide others. There is a ">" after pos."""
+    at = pos
+    while quotes:
+        m = _QUOTE.search(html, at)
+        if m is None:
+            quotes = False
+        elif m[0] == ">":
+            return m.start(), True
+        else:
+            at = html.find(m[0], m.end()) + 1
+            quotes = at > 0
+    return html.find(">", pos), False
+
+
 def parse(html: str) -> Node:
     root = Node("#root", "", None)
-    at, pos, end = root, 0, len(html)
-    search = _TAG.search
-    while pos < end:
-        m = search(html, pos)
+    at, pos, text, end, last = root, 0, 0, len(html), html.rfind(">")
+    open_tags: dict[str, int] = {}
+    quotes = comments = True
+
+    def up_to(node: Node) -> Node:
+        """Closes all that is open, the node included; each is closed once."""
+        x = at
+        while True:
+            open_tags[x.tag] -= 1
+            if x is node:
+                return x.parent
+            x = x.parent
+
+    def flush(stop: int) -> None:
+        if stop > text:
+            at.children.append(unescape(html[text:stop]))
+
+    while (pos := html.find("<", pos)) >= 0 and pos < last:
+        start, c = pos, html[pos + 1 : pos + 2]
+        if c in ("!", "?"):
+            stop = -1
+            if comments and html.startswith("<!--", pos):
+                stop = min((x for x in (html.find("-->", pos + 2), html.find("--!>", pos + 4)) if x >= 0), default=-1)
+                comments = stop >= 0  # one that never ends holds all the rest
+                flush(start)
+                text = pos = end if stop < 0 else html.find(">", stop) + 1
+                continue
+            flush(start)
+            text = pos = html.find(">", pos) + 1
+            continue
+        closing = c == "/"
+        m = _NAME.match(html, pos + 1 + closing)
         if m is None:
-            at.children.append(unescape(html[pos:]))
-            break
-        if m.start() > pos:
-            at.children.append(unescape(html[pos : m.start()]))
-        pos = m.end()
-        name = m[2] or m[5]
-        if name is None:
+            pos += 1
             continue
-        tag = name.lower()
-        if m[1] or m[4]:
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                at = node.parent
+        stop, quotes = _tag_end(html, m.end(), quotes)
+        if stop < 0:
+            pos += 1
             continue
-        raw = m[3] or m[6] or ""
-        if tag in _ENDS_P:
-            node = at
-            while node is not root and node.tag != "p" and node.tag not in _SCOPE:
-                node = node.parent
-            if node.tag == "p":
-                at = node.parent
-        if tag in _SIBLINGS:
-            closes, stops = _SIBLINGS[tag]
-            node, found = at, None
-            while node is not root and node.tag not in stops:
-                if node.tag in closes:
-                    found = node
-                node = node.parent
-            if found is not None:
-                at = found.parent
+        flush(start)
+        text = pos = stop + 1
+        tag = m[0].lower()
+        if closing:
+            if open_tags.get(tag):
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                at = up_to(node)
+            continue
+        raw = html[m.end() : stop]
+        if tag in _ENDS_P and at.open[0] is not None:
+            at = up_to(at.open[0])
+        if tag in _RULE and (closed := at.open[_RULES.index(_RULE[tag])]) is not None:
+            at = up_to(closed)
         node = Node(tag, raw, at)
         at.children.append(node)
         if tag in VOID:
@@ -105,17 +145,17 @@ def parse(html: str) -> Node:
             stop = close.start() if close else end
             if stop > pos:
                 node.children.append(unescape(html[pos:stop]) if tag in ("title", "textarea") else html[pos:stop])
-            pos = stop
-            if close:
-                pos = html.find(">", stop) + 1 or end
+            text = pos = (html.find(">", stop) + 1 or end) if close else end
             continue
         if not raw.endswith("/") or tag not in ("svg", "path", "g"):
             at = node
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+    flush(end)
     return root
 
 
-def text_of(node: Node, skipped) -> str:
-    """The subtree's text: blocks in page order, white space collapsed, one space between blocks."""
+def written(node: Node, skipped) -> str:
+    """The subtree's text in page order, with a space where a block begins, ends, or is skipped."""
     parts: list[str] = []
     stack: list[Node | str] = [node]
     while stack:
@@ -130,4 +170,9 @@ def text_of(node: Node, skipped) -> str:
             parts.append(" ")
             stack.append(" ")
         stack.extend(reversed(x.children))
-    return " ".join("".join(parts).split())
+    return "".join(parts)
+
+
+def text_of(node: Node, skipped) -> str:
+    """The subtree's text: white space collapsed, one space between blocks."""
+    return " ".join(written(node, skipped).split())

@@ -1,8 +1,11 @@
 """op1 and op4: main text, interleaved sequences, the media store."""
 
 import hashlib
+import math
 import re
+import time
 import zlib
+from collections import Counter
 from html import unescape
 
 import pytest
@@ -61,6 +64,96 @@ def test_articles_beside_each_other(html, text):
     assert extract.main_text(html) == text
 
 
+def test_no_element_name_picks_the_text(spark):
+    """Without article and main, all pages together give the same words but for a thousandth."""
+    shared = mine = theirs = 0
+    for p in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        without = Counter(extract.main_text(re.sub(r"(</?)(article|main)\b", r"\1div", p.html)).split())
+        words = Counter(extract.main_text(p.html).split())
+        shared, mine, theirs = shared + (without & words).total(), mine + words.total(), theirs + without.total()
+    assert shared >= 0.999 * mine and shared >= 0.999 * theirs
+
+
+#: A dense text in a div, beside blocks that only their density tells from it.
+TAGGY = "<div><span>Some</span> <span>words</span> <i>in</i> <b>many</b> <u>tags</u> <em>each</em> <i>of</i> <b>one</b> <u>word</u></div>"
+SPARSE = f"<body><div>{TAGGY}{TAGGY}{TAGGY}{TAGGY}</div><div><p>{PLAIN}</p><p>{PLAIN}</p><p>{PLAIN}</p></div><div>{TAGGY}</div></body>"
+
+
+def test_density_picks_the_text(monkeypatch):
+    assert extract.main_text(SPARSE) == " ".join([PLAIN] * 3)
+    monkeypatch.setattr(extract, "_density", lambda c, t, lc, lt, share: 1.0)
+    assert extract.main_text(SPARSE) != " ".join([PLAIN] * 3)
+
+
+def plain_densities(body):
+    """Node by node, each from its whole subtree."""
+    squeeze = lambda x: len(" ".join(x.split()))
+
+    def below(node, link, dropped):
+        for x in node.children:
+            if isinstance(x, str):
+                yield squeeze(x), 0, squeeze(x) * link, 0
+            elif dropped or not x.marks[0]:
+                yield 0, 1, 0, int(x.tag == "a")
+                yield from below(x, link or x.tag == "a", dropped)
+
+    every = [x for x in below(body, False, True) if x]
+    share = sum(x[2] for x in every) / max(sum(x[0] for x in every), 1)
+    out = {}
+
+    def visit(node):
+        rows = list(below(node, node.tag == "a", False))
+        c, t, lc, lt = (sum(x[k] for x in rows) for k in range(4))
+        lt += node.tag == "a"
+        one = lambda x: max(x, 1)
+        x = c / one(lc) * one(t) / one(lt)
+        base = max(math.e, math.log(c / one(c - lc) * lc + share * c + math.e))
+        out[id(node)] = c / one(t) * math.log(x, base) if c and x > 1 else 0.0
+        for y in node.children:
+            if not isinstance(y, str) and not y.marks[0]:
+                visit(y)
+
+    visit(body)
+    return out
+
+
+def test_densities_node_by_node(spark, small):
+    pages = [p.html for p in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    for html in [*pages, SPARSE, "<body><p>one <a href=1>two</a> three</p><nav><a>x y</a></nav><div><a>only</a></div><form>q</form></body>"]:
+        root = parse(html)
+        extract._mark(root)
+        body = next(n for n in root.walk() if n.tag == "body")
+        got, want = extract.densities(body)[2], plain_densities(body)
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        (f"<body><form action=x><div>{P}{P}</div><select><option>o</select><input></form></body>", f"{PLAIN} {PLAIN}"),
+        (f"<body><div>{P}<form>Your name <input><button>Send</button></form>{P}</div></body>", f"{PLAIN} {PLAIN}"),
+        (f"<body><div><article>{P}{P}</article><article>{P}</article></div></body>", f"{PLAIN} {PLAIN} {PLAIN}"),
+        (f"<body><div class='page'><h1>T</h1><div class='text'>{P}{P}</div><ul><li><a href=1>a</a><li><a href=2>b</a></ul></div></body>", f"T {PLAIN} {PLAIN}"),
+        (f"<body>un<b>bro</b>ken<p>{PLAIN}</p></body>", f"unbroken {PLAIN}"),
+        ("<body>loose words <i>only</i></body>", "loose words only"),
+    ],
+)
+def test_forms_articles_and_loose_text(html, text):
+    assert extract.main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "html",
+    ["<a " * 300_000, "<a " * 300_000 + ">", "<h1>" * 250_000, "<b></i>" * 140_000, "<p><object>" + "<b>" * 160_000 + "<div>" * 100_000, "<a \"" * 250_000 + ">",
+     "<article><p>word " * 60_000, "<div class=comments><article>hi " * 30_000, "<li>x" * 200_000, "<!-- x " * 140_000 + ">", "<" * 1_000_000 + ">"],
+    ids=lambda x: x[:12],
+)
+def test_hostile_pages_take_linear_time(html):
+    began = time.process_time()
+    extract.main_text(html)
+    assert time.process_time() - began < 20  # 1 to 2 s here; minutes if it were quadratic
+
+
 def test_all_boilerplate_is_empty():
     assert extract.main_text("<body><nav>a</nav><footer>b</footer></body>") == ""
 

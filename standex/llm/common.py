@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import drop_folder, materialise, shared_folder, stored
 
-__all__ = ["KEY", "as_bytes", "drop_folder", "materialise", "row_key", "shared_folder", "stored", "table", "widened"]
+__all__ = ["KEY", "NULL_ID", "ROW", "SLOTS", "as_bytes", "drop_folder", "materialise", "only_of", "row_key", "shared_folder", "stored", "table", "widened"]
 
 #: Internal columns: the document's id with a stand-in for null, and a hash of its text.
 KEY = ("_sx_id", "_sx_hash")
@@ -26,6 +26,25 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> dict[str, Column]:
     }
 
 
+#: Bits of a bitmap, and the bytes of a row of a hashed table of numbers; at 64 bits a row a bitmap
+#: takes at most SLOTS / 64 * ROW = 16 MB when it is broadcast.
+SLOTS, ROW = 1 << 24, 64
+
+
+def _slots(*key: str) -> dict[str, Column]:
+    slot = F.pmod(F.xxhash64(*key), F.lit(SLOTS))
+    return {"_sx_word": F.floor(slot / 64).cast("int"), "_sx_bit": F.pmod(slot, F.lit(64)).cast("int")}
+
+
+def only_of(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """rows whose key has the slot of one of wanted's, by a bitmap of a fixed size: to be held against a
+    table that is too large to broadcast, before a shuffle join with it drops those let through by chance."""
+    bitmap = wanted.select(*[c.alias(n) for n, c in _slots(*key).items()])
+    bitmap = bitmap.groupBy("_sx_word").agg(F.bit_or(F.expr("shiftleft(1L, _sx_bit)")).alias("_sx_bits"))
+    held = rows.withColumns(_slots(*key)).join(F.broadcast(bitmap), "_sx_word")
+    return held.where("shiftright(_sx_bits, _sx_bit) & 1 = 1").drop("_sx_word", "_sx_bit", "_sx_bits")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,16 +32,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, NULL_ID, drop_folder, materialise, row_key, shared_folder, stored
+from .common import KEY, NULL_ID, ROW, drop_folder, materialise, only_of, row_key, shared_folder, stored
 
 LENGTH = 13
 ANCHORS = 2
 #: Words within which a window's words must stand to be near each other.
 SPAN = 2 * LENGTH
-#: Bytes that may be broadcast, and what a row of a hashed table takes beside its strings.
-BOUND, ROW = 64 << 20, 64
-#: Bits of a bitmap; its rows of 64 bits take at most SLOTS / 64 * ROW = 16 MB as a hashed table.
-SLOTS = 1 << 24
+#: Bytes that may be broadcast.
+BOUND = 64 << 20
 #: Files that the benchmark's tables are kept in at least, and items of a file.
 FILES, ITEMS = 8, 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -102,19 +100,6 @@ def in_ranges(postings: DataFrame, span: int) -> DataFrame:
     return postings.withColumn("range", F.explode(F.array(own - 1, own)))
 
 
-def _slots(*key: str) -> dict[str, Column]:
-    slot = F.pmod(F.xxhash64(*key), F.lit(SLOTS))
-    return {"_sx_word": F.floor(slot / 64).cast("int"), "_sx_bit": F.pmod(slot, F.lit(64)).cast("int")}
-
-
-def _only_of(rows: DataFrame, left: DataFrame, *key: str) -> DataFrame:
-    """Rows whose key is, by its slot, among those of left."""
-    bitmap = left.select(*[c.alias(n) for n, c in _slots(*key).items()])
-    bitmap = bitmap.groupBy("_sx_word").agg(F.bit_or(F.expr("shiftleft(1L, _sx_bit)")).alias("_sx_bits"))
-    held = rows.withColumns(_slots(*key)).join(F.broadcast(bitmap), "_sx_word")
-    return held.where("shiftright(_sx_bits, _sx_bit) & 1 = 1").drop("_sx_word", "_sx_bit", "_sx_bits")
-
-
 def matches(postings: DataFrame, wins: DataFrame, anchors: int = ANCHORS, span: int = SPAN) -> DataFrame:
     """(KEY, window, item_id, n, starts, near) of the documents' ranges that have all words of a window:
     the starts of its exact occurrences (in the first half of the range, so none is found twice), and
@@ -126,7 +111,7 @@ def matches(postings: DataFrame, wins: DataFrame, anchors: int = ANCHORS, span:
     met = met.groupBy(*KEY, "window", "range").agg(bits.alias("bits"), F.first("least").alias("least"))
     left = stored(met.where(F.col("bits") == F.expr("shiftleft(1, least)") - 1).select(*KEY, "window", "range"), "ranges")
     terms = order.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("a", "term", "offsets"))).alias("terms"))
-    near_by = _only_of(in_ranges(_only_of(postings, left, *KEY), span), left, *KEY, "range")
+    near_by = only_of(in_ranges(only_of(postings, left, *KEY), span), left, *KEY, "range")
     met = near_by.join(left, [*KEY, "range"]).select(*KEY, "range", "window", "term", "pos")
     words_of = order.select("window", "term")
     found = met.join(_small(words_of, words_of.count() * ROW), ["window", "term"])

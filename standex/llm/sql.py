@@ -99,20 +99,17 @@ l AS (
   SELECT doc_id, line, k, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
   FROM l0),
 m AS (SELECT doc_id, k, a, regexp_extract_all(line, '[^.!?\n]*[.!?]+["'')\]]*\s*|[^.!?\n]+') AS parts FROM l WHERE line <> ''),
-s0 AS (SELECT doc_id, k, a, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM m WHERE len(parts) > 1),
+s0 AS (SELECT doc_id, k, a, unnest(parts) AS part, generate_subscripts(parts, 1) AS j FROM m),
 s AS (
-  SELECT doc_id, k, 0 AS kind, 8 AS least, part,
-         a + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  SELECT doc_id, part, a + coalesce(sum(length(part)) OVER (PARTITION BY doc_id, k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
   FROM s0),
-u0 AS (SELECT doc_id, k, kind, least, part, a FROM s UNION ALL SELECT doc_id, k, 1, 3, line, a FROM l WHERE line <> ''),
-u1 AS (SELECT *, list_filter(regexp_split_to_array(part, '\s+'), lambda w: w <> '') AS w FROM u0),
-u AS (SELECT doc_id, k, kind, a, a + length(part) AS b, lower(array_to_string(w, ' ')) AS unit FROM u1 WHERE len(w) >= least),
-r AS (
-  SELECT doc_id, a, b, min(doc_id) OVER (PARTITION BY unit) AS first_id, row_number() OVER (PARTITION BY doc_id, unit ORDER BY k, kind, a) AS nth FROM u),
-gone AS (SELECT DISTINCT doc_id, a, b FROM r WHERE nth > 1 OR doc_id <> first_id),
-edge AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM gone),
-isle AS (SELECT *, sum(CASE WHEN upto IS NULL OR a > upto THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM edge),
-span AS (SELECT doc_id, i, min(a)::BIGINT AS a, max(b)::BIGINT AS b FROM isle GROUP BY doc_id, i),
+u1 AS (SELECT *, list_filter(regexp_split_to_array(part, '\s+'), lambda w: w <> '') AS w FROM s),
+u AS (
+  SELECT doc_id, a, a + length(part) AS b, len(w) AS words, lower(array_to_string(w, ' ')) AS unit, row_number() OVER (PARTITION BY doc_id ORDER BY a) AS i
+  FROM u1 WHERE len(w) > 0),
+r AS (SELECT *, min(doc_id) OVER (PARTITION BY unit) AS first_id, row_number() OVER (PARTITION BY doc_id, unit ORDER BY a) AS nth FROM u),
+gone AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS isle FROM r WHERE nth > 1 OR doc_id <> first_id),
+span AS (SELECT doc_id, isle, min(a)::BIGINT AS a, max(b)::BIGINT AS b, count(*) AS n FROM gone GROUP BY doc_id, isle HAVING sum(words) >= 20),
 cut AS (
   SELECT s.doc_id, s.a, s.b, d.text,
          s.b + CASE WHEN (s.a = 0 OR substr(d.text, s.a, 1) = chr(10)) AND substr(d.text, s.b + 1, 1) = chr(10) THEN 1 ELSE 0 END AS onward
@@ -121,7 +118,7 @@ piece AS (SELECT *, coalesce(lag(onward) OVER (PARTITION BY doc_id ORDER BY a),
 own AS (
   SELECT doc_id, string_agg(substr(text, done + 1, a - done), '' ORDER BY a) || substr(any_value(text), max(onward) + 1) AS kept,
          string_agg(a || '-' || b, ',' ORDER BY a) AS spans, sum(b - a)::BIGINT AS n_chars FROM piece GROUP BY doc_id),
-n AS (SELECT doc_id, count(*)::BIGINT AS n FROM gone GROUP BY doc_id)
+n AS (SELECT doc_id, sum(n)::BIGINT AS n FROM span GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_removed, coalesce(own.n_chars, 0) AS n_chars_removed, coalesce(spans, '') AS removed_spans,
        length(coalesce(kept, d.text, ''))::BIGINT AS n_chars_kept, sha256(coalesce(kept, d.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN own USING (doc_id) LEFT JOIN n USING (doc_id)

@@ -234,28 +234,57 @@ def test_similar_classes_against_all_pairs(spark, monkeypatch, run):
 # ---- op2
 
 
+def plain_units(text):
+    """(normalised sentence, start, end) in the simplest way."""
+    at = 0
+    for line in text.split("\n"):
+        start = at
+        for k, c in enumerate(line):
+            ends = c in ".!?" or line[start - at : k].rstrip().rstrip("\"')]")[-1:] in (".", "!", "?")
+            follows = line[k + 1 : k + 2]
+            inside = c in ".!?\"')]" or c.isspace()
+            if ends and inside and not (follows and (follows in ".!?" and c in ".!?" or follows in "\"')]" and c in ".!?\"')]" or follows.isspace())):
+                yield text[start : at + k + 1], start, at + k + 1
+                start = at + k + 1
+        if start < at + len(line):
+            yield text[start : at + len(line)], start, at + len(line)
+        at += len(line) + 1
+
+
 def plain_substring(rows):
-    seen, keep = {}, []
+    """Repeats of whole sentences in one pass over the documents in order; runs of 20 words go."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
+    seen, keep = {}, []
     for i in order:
-        for digest, _, _ in substring_dedup.units(rows[i][1] or ""):
-            seen.setdefault(digest, rows[i][0])
+        for unit, _, _ in plain_units(rows[i][1] or ""):
+            seen.setdefault(" ".join(unit.lower().split()), rows[i][0])
     for d, text in rows:
-        spans, own = [], set()
-        for digest, a, b in substring_dedup.units(text or ""):
-            if digest in own or seen[digest] != d:
-                spans.append((a, b))
-            own.add(digest)
-        spans = substring_dedup.merged(spans)
-        kept = substring_dedup.without(text or "", spans)
-        keep.append((str(d), ",".join(f"{a}-{b}" for a, b in spans), hashlib.sha256(kept.encode()).hexdigest()))
+        own, spans, run, n, removed = set(), [], [], 0, 0
+        for unit, a, b in [*plain_units(text or ""), ("end of all", -1, -1)]:
+            name = " ".join(unit.lower().split())
+            if not name:
+                continue
+            if a >= 0 and (name in own or seen[name] != d):
+                run, n = [*run, (a, b)], n + len(name.split())
+            else:
+                if n >= 20:
+                    spans.append((run[0][0], run[-1][1]))
+                    removed += len(run)
+                run, n = [], 0
+            own.add(name)
+        kept, at = "", 0
+        for a, b in spans:
+            kept, at = kept + text[at:a], b
+            if (a == 0 or text[a - 1] == "\n") and text[b : b + 1] == "\n":
+                at += 1
+        keep.append((str(d), removed, ",".join(f"{a}-{b}" for a, b in spans), hashlib.sha256((kept + (text or "")[at:]).encode()).hexdigest()))
     return sorted(keep)
 
 
 def check_substring(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = queries.op2_substring_dedup(spark, sf).collect()
-    assert sorted((str(r.doc_id), r.removed_spans, r.kept_sha256) for r in got) == plain_substring(rows)
+    assert sorted((str(r.doc_id), r.n_removed, r.removed_spans, r.kept_sha256) for r in got) == plain_substring(rows)
 
 
 def test_op2_against_plain_and_sql(spark, small):
@@ -281,4 +310,13 @@ def test_op2_finds_a_passage_inside_a_paragraph(spark, tmp_path):
 
 def test_paragraph_units():
     text = "one two three\nfour five\n\nsix seven eight"
-    assert [(a, b) for _, a, b in substring_dedup.units(text, paragraphs=True)] == [(0, 24), (25, 40)]
+    assert [(a, b, n) for _, a, b, n in substring_dedup.units(text, paragraphs=True)] == [(0, 24, 5), (25, 40, 3)]
+
+
+def test_op2_leaves_short_repeats_and_takes_passages_of_short_sentences(spark, tmp_path):
+    short = "All rights reserved."
+    passage = " ".join(f"It was {w} then." for w in "cold warm dark light late soon wet dry loud calm far near new".split())
+    rows = [(1, f"One text.\n{short}"), (2, f"Another text.\n{short}"), (3, f"Some words before. {passage} Some words after."), (4, f"Words of a fourth kind. {passage} The end of four.")]
+    sf = save(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path)
+    got = {r.doc_id: (r.n_removed, r.n_chars_kept) for r in queries.op2_substring_dedup(spark, sf).collect()}
+    assert got[1][0] == got[2][0] == got[3][0] == 0 and got[4] == (13, len(rows[3][1]) - len(passage) - 1)

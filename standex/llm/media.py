@@ -2,8 +2,10 @@
 
 sequences(): an HTML document becomes an array of structs (position, kind, text, media, caption), in page
 order; kind is text or media, media is the reference's digest (or its address), and the caption
-is the figure's, else the image's alt. resolve(): media structs meet the store on their digest and
-return to their places; a reference without a payload stays, unresolved.
+is the figure's, else the image's alt. resolve(): the digests that a document refers to, each once, meet the
+store, and what it knows of them returns to the structs' places; texts don't travel. A digest that more than
+HOT documents refer to is split: its facts are repeated, and the documents dealt out among them. A reference
+without a payload stays, unresolved, or is an error if so asked.
 
 The store holds each payload as a lossless 8-bit greyscale PNG of WIDTH columns; store_media()
 writes it to the shared folder and read_media() reads the stored bytes back, checks them and
@@ -12,8 +14,12 @@ computes the payload's digests and features. Only those go on: no payload is shu
 Features: rows x columns, a 64-bit average hash (segment means against their mean), mean and
 entropy of the samples.
 
+document_media() makes an HTML document of each text: its first line, a figure of the whole text (the caption
+says how many lines that has), its last line, and the figure's image once more.
+
 Defined results: a null or empty text is one block of padding. Equal texts give equal values.
-Texts of any length are one image. Repeated rows are resolved alike; a store is unique by digest.
+Texts of any length are one image. Repeated rows are resolved alike; a store is unique by digest. Documents
+of one key are one (the first found). Extra columns aren't read by document_media() and stay in sequences().
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, shared_folder, widened
+from .common import KEY, as_bytes, row_key, shared_folder, stored, widened
 from .html import BLOCK, Node, parse
 
 UNIT = 576
@@ -41,6 +47,9 @@ _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MEDIA_TAGS = frozenset(["img", "audio", "video", "source", "embed"])
 _SKIPPED = frozenset(["head", "script", "style", "template", "noscript"])
 
+#: Documents that refer to one digest and are joined by one task.
+HOT = 1_000
+
 ITEM = "struct<position:int,kind:string,text:string,media:string,caption:string>"
 
 
@@ -217,40 +226,68 @@ def sequences(docs: DataFrame, html: str = "html", name: str = "sequence") -> Da
     return docs.select(*names, html).mapInArrow(run, schema)
 
 
-def resolved_items(documents: DataFrame, store: DataFrame, name: str = "sequence") -> DataFrame:
-    """One row for each item: the other columns, `item`, and `fact` (null where unresolved). Many
-    documents may refer to one digest: the store's side is unique, and AQE splits the other."""
-    others = [c for c in documents.columns if c != name]
-    flat = documents.select(*others, F.explode_outer(name).alias("item"))
-    fact = store.select(F.col("payload_sha256").alias("_sx_digest"), F.struct("*").alias("fact"))
-    return flat.join(fact, F.col("item.media") == F.col("_sx_digest"), "left").drop("_sx_digest")
-
-
-def resolve(documents: DataFrame, store: DataFrame, key: list[str], name: str = "sequence") -> DataFrame:
-    """(key, sequence) with `fact` in each item; key names a document. An array is no longer than
-    its document's own."""
-    flat = resolved_items(documents.select(*key, name).dropDuplicates(key), store, name)
-    item = F.struct(F.col("item.position"), F.col("item.kind"), F.col("item.text"), F.col("item.media"), F.col("item.caption"), F.col("fact"))
-    own = F.array_sort(F.collect_list(F.when(F.col("item").isNotNull(), item)))
-    return flat.groupBy(*key).agg(own.alias(name))
+def facts_of(refs: DataFrame, store: DataFrame, hot: int = HOT) -> DataFrame:
+    """refs (key..., digest) with `fact`, a struct of the store's columns; unknown digests are left out."""
+    facts = store.select(F.col("payload_sha256").alias("digest"), F.struct("*").alias("fact"))
+    counts = refs.groupBy("digest").agg(F.count("*").alias("_sx_n")).where(F.col("_sx_n") > hot)
+    often = stored(counts.select("digest", F.ceil(F.col("_sx_n") / hot).cast("int").alias("_sx_parts")), "often")
+    if often.isEmpty():
+        return refs.join(facts, "digest")
+    others = [c for c in refs.columns if c != "digest"]
+    parts = F.coalesce("_sx_parts", F.lit(1))
+    dealt = refs.join(often, "digest", "left").withColumn("_sx_part", F.pmod(F.xxhash64(*others), parts).cast("int")).drop("_sx_parts")
+    copies = facts.join(often, "digest", "left").select("digest", "fact", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_sx_part"))
+    return dealt.join(copies, ["digest", "_sx_part"]).drop("_sx_part")
+
+
+def resolve(documents: DataFrame, store: DataFrame, key: list[str], name: str = "sequence", strict: bool = False) -> DataFrame:
+    """documents, one of each key, with `fact` in each item of their sequence; strict: a media item
+    without one raises."""
+    once = documents.dropDuplicates(key)
+    media = F.array_distinct(F.transform(F.filter(name, lambda x: x["kind"] == "media"), lambda x: x["media"]))
+    refs = once.select(*key, F.explode(media).alias("digest"))
+    # no more than its document has media
+    known = facts_of(refs, store).groupBy(*key).agg(F.collect_list("fact").alias("_sx_facts"))
+
+    def placed(x: Column) -> Column:
+        fact = F.get(F.filter("_sx_facts", lambda f: f["payload_sha256"] == x["media"]), F.lit(0))
+        if strict:
+            lost = F.raise_error(F.concat(F.lit("no payload of "), x["media"])).cast(store_type)
+            fact = F.when((x["kind"] == "media") & fact.isNull(), lost).otherwise(fact)
+        return F.struct(*[x[c].alias(c) for c in ("position", "kind", "text", "media", "caption")], fact.alias("fact"))
+
+    store_type = T.StructType(store.schema.fields)
+    joined = once.join(known, key, "left").withColumn("_sx_facts", F.coalesce("_sx_facts", F.array().cast(T.ArrayType(store_type))))
+    return joined.withColumn(name, F.transform(name, placed)).drop("_sx_facts")
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:
-    """Each row of (doc_id, text) as an interleaved document: a sentence, and its text as media."""
+    """(KEY, sequence) of each row of (doc_id, text)."""
+    text = F.coalesce("text", F.lit(""))
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    safe = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    source = F.concat(F.lit("sha256:"), digest(F.col("text")))
     html = F.concat(
-        F.lit('<article><p>The text of document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")),
-        F.lit('.</p><figure><img src="sha256:'), digest(F.col("text")),
-        F.lit('"><figcaption>'), F.octet_length(F.coalesce("text", F.lit(""))).cast("string"), F.lit(" bytes</figcaption></figure></article>"),
+        F.lit("<article><p>"), safe(F.substring_index(text, "\n", 1)), F.lit('</p><figure><img src="'), source, F.lit('"><figcaption>Text of '),
+        lines.cast("string"), F.lit(" lines</figcaption></figure><p>"), safe(F.substring_index(text, "\n", -1)),
+        F.lit('</p><img alt="The same" src="'), source, F.lit('"></article>'),
     )
-    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    return sequences(docs.select("doc_id", n.alias("n_bytes"), html.alias("html")))
+    return sequences(docs.select(*[v.alias(k) for k, v in row_key().items()], html.alias("html")))
 
 
 def document_media(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, FACTS) of every row of (doc_id, text)."""
+    """(doc_id, n_bytes, FACTS, position, caption, n_items, n_media) of every row of (doc_id, text): its text's media, and
+    where its document refers to it first."""
     spark = docs.sparkSession
     uri = shared_folder(spark, "media")
     store_media(docs, uri)
-    facts = read_media(spark.read.schema("media binary").parquet(uri))
-    rows = resolved_items(documents_as_media(docs), facts).where("item.kind = 'media'")
-    return rows.select("doc_id", "n_bytes", *[f"fact.{n}" for n, _ in FACTS])
+    facts = stored(read_media(spark.read.schema("media binary").parquet(uri)), "facts")
+    found = resolve(stored(documents_as_media(docs), "sequences"), facts, list(KEY), strict=True)
+    media = F.filter("sequence", lambda x: x["kind"] == "media")
+    first = F.element_at(media, 1)
+    own = found.select(
+        *KEY, *[first["fact"][n].alias(n) for n, _ in FACTS], first["position"].alias("position"), first["caption"].alias("caption"),
+        F.size("sequence").alias("n_items"), F.size(media).alias("n_media"),
+    )
+    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return docs.select("doc_id", *[v.alias(k) for k, v in row_key().items()], n.alias("n_bytes")).join(own, list(KEY)).drop(*KEY)

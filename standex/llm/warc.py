@@ -14,7 +14,9 @@ deduplicated(): of records with equal payloads of at least LEAST bytes, that wit
 response and the others are revisits, stored without their payload. Only digests are shuffled for
 that; the pages meet the table of repeated digests, which the planner broadcasts if it is small.
 
-Defined results: a null html is an empty payload. Rows repeated with the smallest id are all
+Defined results: a null html is an empty payload. A record is held whole, however long; its archive is not, nor
+is its sidecar. Archives that end inside a member or a record, or whose payloads aren't what their headers say,
+raise ValueError. Extra columns aren't read. Rows repeated with the smallest id are all
 responses. A null id is never the response of others unless no id is known (then all are
 responses). No pages give no archives.
 """
@@ -22,6 +24,7 @@ responses). No pages give no archives.
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import uuid
 import zlib
@@ -106,14 +109,27 @@ def member(data: bytes, level: int = 6) -> bytes:
 
 
 def inflated(source) -> Iterator[bytes]:
-    """A gzip file's content in pieces, through one or several members, read once."""
-    z = zlib.decompressobj(31)
+    """A gzip file's content in pieces of at most READ bytes, through one or several members, read once.
+    Zeros after a member are padding. A file that ends inside a member raises ValueError."""
+    z, begun = zlib.decompressobj(31), False
     while data := source.read(READ):
         while data:
-            yield z.decompress(data)
-            data = z.unused_data
+            if not begun and not (data := data.lstrip(b"\0")):
+                break
+            begun = True
+            out = z.decompress(data, READ)
+            if out:
+                yield out
+            data = z.unconsumed_tail
             if z.eof:
-                z = zlib.decompressobj(31)
+                data, z, begun = z.unused_data, zlib.decompressobj(31), False
+            elif not data:  # all is read, but some may wait for its turn
+                while out := z.decompress(b"", READ):
+                    yield out
+                if z.eof:
+                    data, z, begun = z.unused_data, zlib.decompressobj(31), False
+    if begun:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def records_in(pieces: Iterator[bytes]) -> Iterator[bytes]:
@@ -227,11 +243,10 @@ def read_records(manifest: DataFrame) -> DataFrame:
             for archive, sidecar in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, path = open_store(archive)
                 _, side = open_store(sidecar)
-                with fs.open_input_stream(side, compression=None) as f:
-                    entries = [json.loads(x) for x in f.read().splitlines()]
                 rows = []
-                with fs.open_input_file(path) as data:
-                    for e in entries:
+                with fs.open_input_file(path) as data, fs.open_input_stream(side, compression=None) as f:
+                    for line in io.BufferedReader(f):
+                        e = json.loads(line)
                         data.seek(e["offset"])
                         rec = zlib.decompress(data.read(e["length"]), 31)
                         rows.append((archive, e["offset"], e["length"], *_facts(rec)))

@@ -191,18 +191,59 @@ def test_damage_is_noticed():
         media.decode(bytes(stored))
 
 
+def plain_feature(payload):
+    """rows x columns, 64 bits of segments above the mean, mean, entropy."""
+    n = len(payload)
+    edges = [int(n * k / 64) for k in range(65)]
+    bits = "".join("1" if sum(payload[a:b]) * n > sum(payload) * (b - a) else "0" for a, b in zip(edges, edges[1:], strict=False))
+    entropy = -sum(k / n * math.log2(k / n) for k in Counter(payload).values())
+    return f"{n // 24}x24", f"{int(bits, 2):016x}", sum(payload) / n, abs(entropy)
+
+
+def plain_png(media):
+    """(samples, rows, columns) of an 8-bit grey image without filters."""
+    assert media[:8] == b"\x89PNG\r\n\x1a\n" and media[12:16] == b"IHDR" and media[24:26] == b"\x08\x00"
+    columns, rows = int.from_bytes(media[16:20], "big"), int.from_bytes(media[20:24], "big")
+    data = zlib.decompress(media[41 : 41 + int.from_bytes(media[33:37], "big")])
+    return b"".join(data[k + 1 : k + 1 + columns] for k in range(0, len(data), columns + 1)), rows, columns
+
+
 def check_media(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
     got = queries.op4_media(spark, sf).collect()
-    want = []
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "position", "caption", "n_items", "n_media"]
+    want, by_digest = [], {}
     for r in docs:
         text = (r.text or "").encode()
-        payload = media.payload_of(text)
-        stored = media.encode(payload)
-        want.append((str(r.doc_id), len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest()))
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+        payload = text + b"\xff" * (-len(text) % 576 or 576 * (not text))
+        first, last = (bool((r.text or "").split("\n")[k].strip()) for k in (0, -1))
+        digest = hashlib.sha256(payload).hexdigest()
+        by_digest[digest] = payload
+        want.append((str(r.doc_id), len(text), len(payload), digest, zlib.crc32(payload[-32:]), int(first), f"Text of {(r.text or '').count(chr(10)) + 1} lines", 2 + first + last, 2))
     assert sorted((str(r.doc_id), *[r[n] for n in names]) for r in got) == sorted(want)
-    assert all(r.feature for r in got)
+    for r in got:
+        payload = by_digest[r.payload_sha256]
+        stored = media.encode(payload)
+        assert plain_png(stored) == (payload, len(payload) // 24, 24)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        size, bits, mean, entropy = r.feature.split(":")
+        a, b, c, d = plain_feature(payload)
+        assert (size, bits) == (a, b) and float(mean) == pytest.approx(c, abs=1e-4) and float(entropy) == pytest.approx(d, abs=1e-4)
+
+
+def test_op4_many_copies_of_a_text(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(media, "HOT", 10)
+    monkeypatch.setattr(media.facts_of, "__defaults__", (10,))
+    rows = [(i, "the very same text\nof two lines" if i % 3 else f"its own {i}\n<b>&amp;") for i in range(200)]
+    check_media(spark, save(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path))
+
+
+def test_a_lost_payload_is_an_error_if_asked(spark):
+    seqs = media.sequences(spark.createDataFrame([(1, "<img src='sha256:aa'>")], "doc_id long, html string"))
+    store = spark.createDataFrame([("bb", 10)], "payload_sha256 string, payload_bytes long")
+    assert media.resolve(seqs, store, ["doc_id"]).first().sequence[0].fact is None
+    with pytest.raises(Exception, match="no payload of aa"):
+        media.resolve(seqs, store, ["doc_id"], strict=True).collect()
 
 
 def test_op4_against_plain_python(spark, small):

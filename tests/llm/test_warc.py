@@ -62,3 +62,33 @@ def test_normaliser_reads_any_cut_and_many_members():
         assert list(warc.records_in(whole[i : i + step] for i in range(0, len(whole), step))) == recs
     with pytest.raises(ValueError):
         list(warc.records_in([whole[:-50]]))
+
+
+class Source:
+    """A file that gives n bytes at a time at most."""
+
+    def __init__(self, data, n):
+        self.data, self.n, self.at = data, n, 0
+
+    def read(self, n):
+        self.at += min(n, self.n)
+        return self.data[self.at - min(n, self.n) : self.at]
+
+
+@pytest.mark.parametrize("step", [1, 7, 1000, 1 << 20])
+def test_inflating_whole_and_cut_streams(step):
+    content = [b"abc" * 5000, b"", b"x", bytes(range(256)) * 100]
+    data = warc.member(content[0]) + warc.member(content[1]) + warc.member(content[2]) + bytes(512) + warc.member(content[3])
+    assert b"".join(warc.inflated(Source(data, step))) == b"".join(content)
+    assert b"".join(warc.inflated(Source(data + bytes(9), step))) == b"".join(content)
+    for cut in (1, 4, 8, 12):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc.inflated(Source(data[:-cut], step)))
+    assert list(warc.inflated(Source(b"", step))) == []
+
+
+def test_inflating_is_bounded():
+    bomb = warc.member(bytes(50_000_000), 9)
+    assert len(bomb) < 60_000
+    sizes = [len(x) for x in warc.inflated(Source(bomb, 1 << 20))]
+    assert sum(sizes) == 50_000_000 and max(sizes) <= warc.READ

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import drop_folder, materialise, shared_folder, stored
 
-__all__ = ["KEY", "NULL_ID", "ROW", "SLOTS", "as_bytes", "drop_folder", "materialise", "only_of", "row_key", "shared_folder", "stored", "table", "widened"]
+__all__ = ["HOT", "KEY", "NULL_ID", "ROW", "SLOTS", "as_bytes", "drop_folder", "materialise", "only_of", "row_key", "shared_folder", "split_join", "stored", "table", "widened"]
 
 #: Internal columns: the document's id with a stand-in for null, and a hash of its text.
 KEY = ("_sx_id", "_sx_hash")
@@ -45,6 +45,24 @@ def only_of(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
     return held.where("shiftright(_sx_bits, _sx_bit) & 1 = 1").drop("_sx_word", "_sx_bit", "_sx_bits")
 
 
+#: Rows of one key that a single task joins.
+HOT = 1_000
+
+
+def split_join(rows: DataFrame, facts: DataFrame, key: str, hot: int = HOT) -> DataFrame:
+    """rows inner-joined with facts, which have each key once. A key of more than `hot` rows is split: its
+    facts are repeated, and its rows dealt out among them, so no task gets them all."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("_sx_n")).where(F.col("_sx_n") > hot)
+    often = stored(counts.select(key, F.ceil(F.col("_sx_n") / hot).cast("int").alias("_sx_parts")), "often")
+    if often.isEmpty():
+        return rows.join(facts, key)
+    parts = F.coalesce("_sx_parts", F.lit(1))
+    others = [c for c in rows.columns if c != key]
+    dealt = rows.join(often, key, "left").withColumn("_sx_part", F.pmod(F.xxhash64(*others), parts).cast("int")).drop("_sx_parts")
+    copies = facts.join(often, key, "left").withColumn("_sx_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_sx_parts")
+    return dealt.join(copies, [key, "_sx_part"]).drop("_sx_part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,4 +75,8 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def widened(schema: T.StructType, *more: tuple[str, T.DataType]) -> T.StructType:
+    """The schema with more columns, of names that it doesn't have."""
+    clash = {n for n, _ in more} & set(schema.names)
+    if clash:
+        raise ValueError(f"the frame already has columns named {', '.join(sorted(clash))}")
     return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in more]])

@@ -3,6 +3,10 @@
 Each round is two joins on keys with their minimum (partial aggregation first, so a hub is no hot
 key in the aggregation, and the joins leave skew to AQE). The loop ends when the edges repeat; it
 takes about log^2 rounds. Lineage is cut by a reliable checkpoint each round.
+
+Defined results: repeated links and links of a node to itself change nothing; links with a null end are
+ignored. Without links there are no rows. If the edges still change after `most` rounds (a path would need more
+than 2^60 nodes), RuntimeError is raised.
 """
 
 from __future__ import annotations

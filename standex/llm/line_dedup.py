@@ -12,7 +12,8 @@
    shuffled for that; apply_bitmaps() cuts the texts.
 
 Defined results: a null or empty text is one empty line, kept. Documents with equal doc_id count
-as one document. A null doc_id sorts last. Repeated rows get equal results.
+as one document. A null doc_id sorts last. Repeated rows get equal results. Texts and lines of any length are
+read whole. Extra columns go through with_bitmaps(), but none may be named keep.
 """
 
 from __future__ import annotations

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEY, as_bytes, row_key, shared_folder, stored, widened
+from .common import HOT, KEY, as_bytes, row_key, shared_folder, split_join, stored, widened
 from .html import BLOCK, Node, parse
 
 UNIT = 576
@@ -47,9 +47,6 @@ _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MEDIA_TAGS = frozenset(["img", "audio", "video", "source", "embed"])
 _SKIPPED = frozenset(["head", "script", "style", "template", "noscript"])
 
-#: Documents that refer to one digest and are joined by one task.
-HOT = 1_000
-
 ITEM = "struct<position:int,kind:string,text:string,media:string,caption:string>"
 
 
@@ -226,28 +223,15 @@ def sequences(docs: DataFrame, html: str = "html", name: str = "sequence") -> Da
     return docs.select(*names, html).mapInArrow(run, schema)
 
 
-def facts_of(refs: DataFrame, store: DataFrame, hot: int = HOT) -> DataFrame:
-    """refs (key..., digest) with `fact`, a struct of the store's columns; unknown digests are left out."""
-    facts = store.select(F.col("payload_sha256").alias("digest"), F.struct("*").alias("fact"))
-    counts = refs.groupBy("digest").agg(F.count("*").alias("_sx_n")).where(F.col("_sx_n") > hot)
-    often = stored(counts.select("digest", F.ceil(F.col("_sx_n") / hot).cast("int").alias("_sx_parts")), "often")
-    if often.isEmpty():
-        return refs.join(facts, "digest")
-    others = [c for c in refs.columns if c != "digest"]
-    parts = F.coalesce("_sx_parts", F.lit(1))
-    dealt = refs.join(often, "digest", "left").withColumn("_sx_part", F.pmod(F.xxhash64(*others), parts).cast("int")).drop("_sx_parts")
-    copies = facts.join(often, "digest", "left").select("digest", "fact", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_sx_part"))
-    return dealt.join(copies, ["digest", "_sx_part"]).drop("_sx_part")
-
-
 def resolve(documents: DataFrame, store: DataFrame, key: list[str], name: str = "sequence", strict: bool = False) -> DataFrame:
     """documents, one of each key, with `fact` in each item of their sequence; strict: a media item
     without one raises."""
     once = documents.dropDuplicates(key)
     media = F.array_distinct(F.transform(F.filter(name, lambda x: x["kind"] == "media"), lambda x: x["media"]))
     refs = once.select(*key, F.explode(media).alias("digest"))
+    facts = store.select(F.col("payload_sha256").alias("digest"), F.struct("*").alias("fact"))
     # no more than its document has media
-    known = facts_of(refs, store).groupBy(*key).agg(F.collect_list("fact").alias("_sx_facts"))
+    known = split_join(refs, facts, "digest", HOT).groupBy(*key).agg(F.collect_list("fact").alias("_sx_facts"))
 
     def placed(x: Column) -> Column:
         fact = F.get(F.filter("_sx_facts", lambda f: f["payload_sha256"] == x["media"]), F.lit(0))

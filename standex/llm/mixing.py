@@ -9,8 +9,8 @@ floor(rate) times, and once more if a hash of its id, seen as a number in [0, 1)
 rate's fraction. Nothing is random: reruns agree.
 
 Defined results: a null text has size 0; a source of size 0 has target 0. A null source sorts last
-and is a source of its own. A null doc_id draws by its text, so equal rows draw alike. With no rows
-the result is empty.
+and is a source of its own. A null doc_id draws by its text, so equal rows draw alike. Texts of any length are
+counted whole. Extra columns, of any name, stay in the struct `doc`. With no rows the result is empty.
 """
 
 from __future__ import annotations

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEY, as_bytes, materialise, widened
+from .common import HOT, KEY, as_bytes, materialise, split_join, widened
 from .graph import components
 
 DISTANCE = 4
@@ -235,7 +235,7 @@ def classes(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     joined = components(links(nodes.select("fp"), distance))
     named = nodes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("class", F.coalesce("component", "fp"))
     least = named.groupBy("class").agg(F.min("least").alias("component_id"))
-    names = named.join(least, "class").select("fp", "class", "component_id")
+    names = split_join(named, least, "class", HOT).select("fp", "class", "component_id")
     return marked.join(names, "fp")
 
 

@@ -11,10 +11,11 @@ bytes (byte fallback) and splits the word; with every other character a piece, a
 fails. If a vocabulary lacks a needed piece all the same, the word counts as one unknown token.
 
 The automaton is broadcast: its size is the vocabulary's, of at most MAX_PIECES pieces. Rows are
-independent and nothing is shuffled. Counts of frequent words are remembered, up to MEMORY words a
-task.
+independent and nothing is shuffled. Counts of words are remembered, up to MEMORY words of at most SHORT characters a task.
 
-Defined results: null and empty texts have 0 words and 0 tokens.
+Defined results: null and empty texts have 0 words and 0 tokens. Texts and words of any length are read whole, a
+word without unknown characters in one pass. Repeated rows get equal counts. Columns named n_words and
+n_tokens must not be among those given. A vocabulary of more than MAX_PIECES pieces is refused.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .common import widened
 
 MARK = "▁"
 MAX_PIECES = 1_000_000
-MEMORY = 200_000
+MEMORY, SHORT = 200_000, 64
 UNKNOWN = -1
 
 
@@ -140,9 +141,11 @@ def with_counts(docs: DataFrame, automaton: Automaton, text: str = "text") -> Da
                 for w in words:
                     n = known.get(w)
                     if n is None:
-                        if len(known) >= MEMORY:
-                            known.clear()
-                        n = known[w] = own.count(w)
+                        n = own.count(w)
+                        if len(w) <= SHORT:
+                            if len(known) >= MEMORY:
+                                known.clear()
+                            known[w] = n
                     total += n
                 n_words.append(len(words))
                 n_tokens.append(total)

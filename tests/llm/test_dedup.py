@@ -320,3 +320,14 @@ def test_op2_leaves_short_repeats_and_takes_passages_of_short_sentences(spark, t
     sf = save(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path)
     got = {r.doc_id: (r.n_removed, r.n_chars_kept) for r in queries.op2_substring_dedup(spark, sf).collect()}
     assert got[1][0] == got[2][0] == got[3][0] == 0 and got[4] == (13, len(rows[3][1]) - len(passage) - 1)
+
+
+def test_op9_a_large_class_is_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 5)
+    sf = save(spark.createDataFrame(some_near_texts(12), "doc_id long, text string"), tmp_path)
+    check_simhash(spark, sf)
+
+
+def test_clashing_names_are_refused(spark):
+    with pytest.raises(ValueError, match="fp"):
+        simhash.fingerprints(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, fp long"))

@@ -233,7 +233,6 @@ def check_media(spark, sf):
 
 def test_op4_many_copies_of_a_text(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(media, "HOT", 10)
-    monkeypatch.setattr(media.facts_of, "__defaults__", (10,))
     rows = [(i, "the very same text\nof two lines" if i % 3 else f"its own {i}\n<b>&amp;") for i in range(200)]
     check_media(spark, save(spark.createDataFrame(rows, "doc_id long, text string"), tmp_path))
 

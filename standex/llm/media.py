@@ -18,8 +18,8 @@ document_media() makes an HTML document of each text: its first line, a figure o
 says how many lines that has), its last line, and the figure's image once more.
 
 Defined results: a null or empty text is one block of padding. Equal texts give equal values.
-Texts of any length are one image. Repeated rows are resolved alike; a store is unique by digest. Documents
-of one key are one (the first found). Extra columns aren't read by document_media() and stay in sequences().
+Texts of any length are one image. Repeated rows are resolved alike; a store is unique by digest. Extra columns
+aren't read by document_media() and stay in sequences() and resolve().
 """
 
 from __future__ import annotations
@@ -224,11 +224,10 @@ def sequences(docs: DataFrame, html: str = "html", name: str = "sequence") -> Da
 
 
 def resolve(documents: DataFrame, store: DataFrame, key: list[str], name: str = "sequence", strict: bool = False) -> DataFrame:
-    """documents, one of each key, with `fact` in each item of their sequence; strict: a media item
-    without one raises."""
-    once = documents.dropDuplicates(key)
+    """documents with `fact` in each item of their sequence; strict: a media item without one raises. Rows
+    of one key are expected to have one sequence."""
     media = F.array_distinct(F.transform(F.filter(name, lambda x: x["kind"] == "media"), lambda x: x["media"]))
-    refs = once.select(*key, F.explode(media).alias("digest"))
+    refs = documents.select(*key, F.explode(media).alias("digest")).distinct()
     facts = store.select(F.col("payload_sha256").alias("digest"), F.struct("*").alias("fact"))
     # no more than its document has media
     known = split_join(refs, facts, "digest", HOT).groupBy(*key).agg(F.collect_list("fact").alias("_sx_facts"))
@@ -241,12 +240,12 @@ def resolve(documents: DataFrame, store: DataFrame, key: list[str], name: str =
         return F.struct(*[x[c].alias(c) for c in ("position", "kind", "text", "media", "caption")], fact.alias("fact"))
 
     store_type = T.StructType(store.schema.fields)
-    joined = once.join(known, key, "left").withColumn("_sx_facts", F.coalesce("_sx_facts", F.array().cast(T.ArrayType(store_type))))
-    return joined.withColumn(name, F.transform(name, placed)).drop("_sx_facts")
+    joined = documents.join(known, key, "left").withColumn("_sx_facts", F.coalesce("_sx_facts", F.array().cast(T.ArrayType(store_type))))
+    return joined.withColumn(name, F.transform(name, placed)).select(*documents.columns)
 
 
 def documents_as_media(docs: DataFrame) -> DataFrame:
-    """(KEY, sequence) of each row of (doc_id, text)."""
+    """(doc_id, n_bytes, KEY, sequence) of each row of (doc_id, text)."""
     text = F.coalesce("text", F.lit(""))
     lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
     safe = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
@@ -256,7 +255,8 @@ def documents_as_media(docs: DataFrame) -> DataFrame:
         lines.cast("string"), F.lit(" lines</figcaption></figure><p>"), safe(F.substring_index(text, "\n", -1)),
         F.lit('</p><img alt="The same" src="'), source, F.lit('"></article>'),
     )
-    return sequences(docs.select(*[v.alias(k) for k, v in row_key().items()], html.alias("html")))
+    n = F.octet_length(text).cast("long")
+    return sequences(docs.select("doc_id", n.alias("n_bytes"), *[v.alias(k) for k, v in row_key().items()], html.alias("html")))
 
 
 def document_media(docs: DataFrame) -> DataFrame:
@@ -266,12 +266,13 @@ def document_media(docs: DataFrame) -> DataFrame:
     uri = shared_folder(spark, "media")
     store_media(docs, uri)
     facts = stored(read_media(spark.read.schema("media binary").parquet(uri)), "facts")
-    found = resolve(stored(documents_as_media(docs), "sequences"), facts, list(KEY), strict=True)
+    # a place, its kind and caption are all that is asked: the texts between stay where they are
+    item = lambda x: F.struct(*[x[c].alias(c) for c in ("position", "kind")], F.lit(None).cast("string").alias("text"), x["media"].alias("media"), x["caption"].alias("caption"))
+    light = documents_as_media(docs).withColumn("sequence", F.transform("sequence", item))
+    found = resolve(stored(light, "sequences"), facts, list(KEY), strict=True)
     media = F.filter("sequence", lambda x: x["kind"] == "media")
     first = F.element_at(media, 1)
-    own = found.select(
-        *KEY, *[first["fact"][n].alias(n) for n, _ in FACTS], first["position"].alias("position"), first["caption"].alias("caption"),
+    return found.select(
+        "doc_id", "n_bytes", *[first["fact"][n].alias(n) for n, _ in FACTS], first["position"].alias("position"), first["caption"].alias("caption"),
         F.size("sequence").alias("n_items"), F.size(media).alias("n_media"),
     )
-    n = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    return docs.select("doc_id", *[v.alias(k) for k, v in row_key().items()], n.alias("n_bytes")).join(own, list(KEY)).drop(*KEY)

@@ -54,6 +54,11 @@ def vocabulary(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def numbered(vocab: DataFrame) -> DataFrame:
+    """vocab with tid, a number in the order of the terms: pairs of terms are counted and ranked by it."""
+    return vocab.orderBy("term").withColumn("tid", F.monotonically_increasing_id())
+
+
 def statistics(tokened: DataFrame, vocab: DataFrame) -> DataFrame:
     """One row: n documents, avgdl, avg_idf (of the raw idf over the vocabulary)."""
     size = tokened.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
@@ -83,30 +88,36 @@ def expansions(posted: DataFrame, vocab: DataFrame, n_docs: DataFrame, terms: Da
     neighbour's score is at most least(df, df') x weight. A first pass over the STRONG terms with the
     highest bounds gives each term `top` scores; the second pass drops, before anything is
     counted, the neighbours whose bound is below them. The result is exact."""
-    weight = F.ln((F.col("n") + 1) / (F.col("df") + 1))
-    usable = vocab.crossJoin(F.broadcast(n_docs.select("n"))).where(F.col("df") <= MAX_SHARE * F.col("n"))
-    strong = usable.select(F.col("term").alias("neighbour"), weight.alias("w"), (F.col("df") * weight).alias("most"))
-    strong = F.broadcast(strong.orderBy(F.desc("most"), "neighbour").limit(STRONG).select("neighbour", "w"))
-    wanted = terms.select("term").distinct()
-    left = posted.select("doc_idx", "term", F.col("df").alias("df_t")).join(wanted, "term", "left_semi")
-    order = Window.partitionBy("term").orderBy(F.desc("score"), "neighbour")
+    def weight(df: str) -> Column:
+        return F.ln((F.col("n") + 1) / (F.col(df) + 1))
+
+    n = F.broadcast(n_docs.select("n"))  # one row
+    usable = vocab.crossJoin(n).where(F.col("df") <= MAX_SHARE * F.col("n"))
+    strong = usable.select(F.col("tid").alias("nid"), (F.col("df") * weight("df")).alias("most"))
+    strong = F.broadcast(strong.orderBy(F.desc("most"), "nid").limit(STRONG).select("nid"))
+    wanted = materialise(vocab.join(terms.select("term").distinct(), "term", "left_semi").select("tid", F.col("df").alias("df_t")))
+    left = posted.join(wanted, "tid").select("doc_idx", "tid", "df_t")
+    order = Window.partitionBy("tid").orderBy(F.desc("score"), "nid")
 
     def best(scored: DataFrame) -> DataFrame:
         return scored.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= top)
 
-    score = F.round(F.col("cnt") * F.col("w"), DIGITS).alias("score")
-    right = posted.select("doc_idx", F.col("term").alias("neighbour")).join(strong, "neighbour")
-    pairs = left.join(right, "doc_idx").where("term <> neighbour").groupBy("term", "neighbour", "w").agg(F.count("*").alias("cnt"))
-    first = materialise(best(pairs.select("term", "neighbour", score)))  # at most `top` rows a term
-    floor = first.groupBy("term").agg(F.when(F.count("*") == top, F.min("score")).otherwise(0.0).alias("floor"))
-    left = left.join(floor, "term", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
-    rest = posted.crossJoin(F.broadcast(n_docs.select("n"))).where(F.col("df") <= MAX_SHARE * F.col("n"))
-    rest = rest.select("doc_idx", F.col("term").alias("neighbour"), "df", weight.alias("w")).join(strong.select("neighbour"), "neighbour", "left_anti")
-    bound = F.least("df", "df_t") * F.col("w") + 10.0**-DIGITS
-    pairs = left.join(rest, "doc_idx").where((F.col("term") != F.col("neighbour")) & (bound >= F.col("floor")))
-    pairs = pairs.groupBy("term", "neighbour", "w").agg(F.count("*").alias("cnt"))
-    every = first.select("term", "neighbour", "score").unionByName(pairs.select("term", "neighbour", score))
-    return best(every).select("term", "neighbour", "score", "rnk")
+    def scored(pairs: DataFrame) -> DataFrame:
+        counts = pairs.where("tid <> nid").groupBy("tid", "nid", "df_n").agg(F.count("*").alias("cnt")).crossJoin(n)
+        return counts.select("tid", "nid", F.round(F.col("cnt") * weight("df_n"), DIGITS).alias("score"))
+
+    other = posted.select("doc_idx", F.col("tid").alias("nid"), F.col("df").alias("df_n"))
+    first = materialise(best(scored(left.join(other.join(strong, "nid"), "doc_idx"))).drop("rnk"))  # at most `top` rows a term
+    floor = first.groupBy("tid").agg(F.when(F.count("*") == top, F.min("score")).otherwise(0.0).alias("floor"))
+    floored = posted.join(wanted.join(floor, "tid", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))), "tid")
+    rest = other.join(strong, "nid", "left_anti").crossJoin(n).where(F.col("df_n") <= MAX_SHARE * F.col("n"))
+    rest = rest.select("doc_idx", "nid", "df_n", weight("df_n").alias("w"))
+    bound = F.least("df_n", "df_t") * F.col("w") + 10.0**-DIGITS
+    pairs = floored.select("doc_idx", "tid", "df_t", "floor").join(rest, "doc_idx").where(bound >= F.col("floor"))
+    every = best(first.unionByName(scored(pairs)))
+    names = vocab.select("tid", "term")
+    named = every.join(names, "tid").join(names.select(F.col("tid").alias("nid"), F.col("term").alias("neighbour")), "nid")
+    return named.select("term", "neighbour", "score", "rnk")
 
 
 @dataclass
@@ -143,8 +154,8 @@ def build(corpus: DataFrame, vectors: DataFrame, path: str | None = None) -> Ind
     corpus = keep(corpus.repartition("doc_idx"), "corpus")  # even parts, whatever files it came in
     tokened = keep(tokens(corpus), "tokens")
     posted = postings(tokened)
-    vocab = keep(vocabulary(posted), "vocab")
-    # with each term's df, in order of the terms: a file holds a range of them, so that a search for given terms skips row groups
+    vocab = keep(numbered(vocabulary(posted)), "vocab")
+    # with each term's df and number, in order of the terms: a file holds a range of them, so that a search for given terms skips row groups
     posted = keep(posted.join(vocab, "term").repartitionByRange("term", "doc_idx").sortWithinPartitions("term", "doc_idx"), "postings")
     stats = keep(statistics(tokened, vocab), "stats")
     signals = keep(category_signals(posted, corpus), "signals")

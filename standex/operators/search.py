@@ -75,6 +75,7 @@ def _block_best(vectors: DataFrame, shipped: Broadcast, kind: str, k: int) -> Da
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, q = shipped.value
         tops: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
+        least = np.full(len(q), -np.inf)  # each query's k-th best so far
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -83,10 +84,18 @@ def _block_best(vectors: DataFrame, shipped: Broadcast, kind: str, k: int) -> Da
             x = flat.reshape(len(docs), -1)
             for s in range(0, len(q), 1024):
                 sims = np.round(x @ q[s : s + 1024].T, 9)
-                for j in range(sims.shape[1]):
-                    sim, doc = np.r_[tops[s + j][0], sims[:, j]], np.r_[tops[s + j][1], docs]
+                if len(docs) > k:  # below a batch's own k-th best nothing counts; ties with it do
+                    floor = np.maximum(least[s : s + 1024], np.partition(sims, len(docs) - k, axis=0)[len(docs) - k])
+                else:
+                    floor = least[s : s + 1024]
+                hit = sims >= floor
+                for j in np.flatnonzero(hit.any(axis=0)):
+                    new = hit[:, j]
+                    sim, doc = np.r_[tops[s + j][0], sims[new, j]], np.r_[tops[s + j][1], docs[new]]
                     keep = np.lexsort((doc, -sim))[:k]
                     tops[s + j] = (sim[keep], doc[keep])
+                    if len(keep) == k:
+                        least[s + j] = sim[keep[-1]]
         for name, (sim, doc) in zip(names, tops, strict=True):
             if len(doc):
                 yield pa.RecordBatch.from_pydict({"qid": [name] * len(doc), "doc_idx": doc, "sim": sim})

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import drop_folder, materialise, shared_folder, stored
 
-__all__ = ["HOT", "KEY", "NULL_ID", "ROW", "SLOTS", "as_bytes", "drop_folder", "materialise", "only_of", "row_key", "shared_folder", "split_join", "stored", "table", "widened"]
+__all__ = ["HOT", "KEY", "NULL_ID", "ROW", "SLOTS", "as_bytes", "drop_folder", "materialise", "only_of", "row_key", "shared_folder", "split_join", "stored", "table", "widened", "without"]
 
 #: Internal columns: the document's id with a stand-in for null, and a hash of its text.
 KEY = ("_sx_id", "_sx_hash")
@@ -36,13 +36,27 @@ def _slots(*key: str) -> dict[str, Column]:
     return {"_sx_word": F.floor(slot / 64).cast("int"), "_sx_bit": F.pmod(slot, F.lit(64)).cast("int")}
 
 
+def _held(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
+    """rows with _sx_hit: whether its key has the slot of one of wanted's."""
+    bitmap = wanted.select(*[c.alias(n) for n, c in _slots(*key).items()])
+    bitmap = bitmap.groupBy("_sx_word").agg(F.bit_or(F.expr("shiftleft(1L, _sx_bit)")).alias("_sx_bits"))
+    held = rows.withColumns(_slots(*key)).join(F.broadcast(bitmap), "_sx_word", "left")
+    hit = F.coalesce(F.expr("shiftright(_sx_bits, _sx_bit) & 1 = 1"), F.lit(False))
+    return held.withColumn("_sx_hit", hit).drop("_sx_word", "_sx_bit", "_sx_bits")
+
+
 def only_of(rows: DataFrame, wanted: DataFrame, *key: str) -> DataFrame:
     """rows whose key has the slot of one of wanted's, by a bitmap of a fixed size: to be held against a
     table that is too large to broadcast, before a shuffle join with it drops those let through by chance."""
-    bitmap = wanted.select(*[c.alias(n) for n, c in _slots(*key).items()])
-    bitmap = bitmap.groupBy("_sx_word").agg(F.bit_or(F.expr("shiftleft(1L, _sx_bit)")).alias("_sx_bits"))
-    held = rows.withColumns(_slots(*key)).join(F.broadcast(bitmap), "_sx_word")
-    return held.where("shiftright(_sx_bits, _sx_bit) & 1 = 1").drop("_sx_word", "_sx_bit", "_sx_bits")
+    return _held(rows, wanted, *key).where("_sx_hit").drop("_sx_hit")
+
+
+def without(rows: DataFrame, unwanted: DataFrame, *key: str) -> DataFrame:
+    """rows whose key isn't among unwanted's. Rows that a bitmap of a fixed size clears aren't shuffled: where
+    few go, the texts stay where they are. rows is read twice."""
+    held = _held(rows, unwanted, *key)
+    doubtful = held.where("_sx_hit").drop("_sx_hit").join(unwanted, list(key), "left_anti")
+    return held.where("not _sx_hit").drop("_sx_hit").select(*rows.columns).unionByName(doubtful.select(*rows.columns))
 
 
 #: Rows of one key that a single task joins.

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standex.llm import decontam, langid, line_dedup, mixing, simhash
-from standex.llm.common import KEY, as_bytes, drop_folder, materialise, row_key, shared_folder, table
+from standex.llm.common import KEY, as_bytes, drop_folder, materialise, row_key, shared_folder, table, without
 
 #: Documents whose best language has a lower posterior are rejected, as are those of no language.
 LEAST_SCORE = 0.5
@@ -58,24 +58,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps of each class of near duplicates (five-word shingles about 0.8 alike or more, see
     simhash.similar_classes) the document with the smallest id, of equal ids the one with the smallest hash
     of its text, and of rows repeated whole one. Texts without words (null, empty) are one class."""
-    marked = simhash.similar_classes(docs.select("text", *[v.alias(k) for k, v in row_key().items()]))
+    keyed = docs.withColumns(row_key())
+    marked = simhash.similar_classes(keyed.select("text", *KEY))
     best = marked.groupBy("class").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*")
-    rows = materialise(marked.join(best, list(KEY), "left_semi").groupBy(*KEY).agg(F.count("*").alias("_sx_n")))
-    keyed = docs.withColumns(row_key()).join(rows, list(KEY))
-    if rows.where("_sx_n > 1").isEmpty():
-        return keyed.drop("_sx_n", *KEY)
-    once = keyed.where("_sx_n = 1").drop("_sx_n", *KEY)
+    n = F.count("*").alias("_sx_n")
+    again = materialise(marked.join(best, list(KEY), "left_semi").groupBy(*KEY).agg(n).where("_sx_n > 1").select(*KEY))
+    gone = materialise(marked.join(best, list(KEY), "left_anti").select(*KEY))
+    once = without(keyed, gone.unionByName(again), *KEY).drop(*KEY)
+    if again.isEmpty():
+        return once
     # rows that are repeated with the same id and text: one of them
-    again = keyed.where("_sx_n > 1").dropDuplicates(list(KEY)).drop("_sx_n", *KEY)
-    return once.unionByName(again)
+    return once.unionByName(keyed.join(again, list(KEY), "left_semi").dropDuplicates(list(KEY)).drop(*KEY))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes documents of which benchmark windows cover at least a twentieth of the words. Null and empty
     texts have none and stay, as does everything where the benchmark is empty."""
     found = decontam.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select(*KEY).distinct()
-    return docs.withColumns(row_key()).join(bad, list(KEY), "left_anti").drop(*KEY)
+    bad = materialise(found.where("contaminated").select(*KEY).distinct())
+    return without(docs.withColumns(row_key()), bad, *KEY).drop(*KEY)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

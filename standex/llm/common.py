@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import drop_folder, materialise, shared_folder, stored
 
-__all__ = ["HOT", "KEY", "NULL_ID", "ROW", "SLOTS", "as_bytes", "drop_folder", "materialise", "only_of", "row_key", "shared_folder", "split_join", "stored", "table", "widened", "without"]
+__all__ = ["HOT", "KEY", "NULL_ID", "ROW", "SLOTS", "as_bytes", "drop_folder", "materialise", "only_of", "row_key", "shared_folder", "small_batches", "split_join", "stored", "table", "widened", "without"]
 
 #: Internal columns: the document's id with a stand-in for null, and a hash of its text.
 KEY = ("_sx_id", "_sx_hash")
@@ -81,6 +81,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Texts that go to Python at once. Spark's own bound, 10,000 rows, is a hundred megabytes of ordinary documents,
+#: held once as Arrow and once as Python's objects in every worker.
+BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches at BATCH rows, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """A string column's UTF-8, without decoding it."""
     if pa.types.is_large_string(column.type):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standex.llm import decontam, langid, line_dedup, mixing, simhash
-from standex.llm.common import KEY, as_bytes, drop_folder, materialise, row_key, shared_folder, table, without
+from standex.llm.common import KEY, as_bytes, drop_folder, materialise, row_key, shared_folder, small_batches, table, without
 
 #: Documents whose best language has a lower posterior are rejected, as are those of no language.
 LEAST_SCORE = 0.5
@@ -28,6 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are null, empty or without letters, and those whose score is below LEAST_SCORE:
     in a language unlike any that the labelled rows are in, or undecided between some. Where no labelled row
     was there to learn from, only those without letters go. Ties in the score's languages change nothing."""
+    small_batches(spark)
     model = langid.fit_on_documents(docs)
     if not model.langs:
         model = langid.Model.of_any()
@@ -39,6 +40,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Removes the lines that an earlier document has; n_chars follows the text. A document that loses all its
     lines stays with an empty text (the next stage keeps one such); a null text stays null, with null n_chars.
     Of a line that several documents have, the smallest id keeps all its own; repeated rows keep the same."""
+    small_batches(spark)
     marked = line_dedup.with_bitmaps(docs.select("doc_id", "text", F.struct("*").alias("_sx_doc")), line_dedup.keep_bitmaps(docs))
 
     @F.arrow_udf("string")
@@ -58,6 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps of each class of near duplicates (five-word shingles about 0.8 alike or more, see
     simhash.similar_classes) the document with the smallest id, of equal ids the one with the smallest hash
     of its text, and of rows repeated whole one. Texts without words (null, empty) are one class."""
+    small_batches(spark)
     keyed = docs.withColumns(row_key())
     marked = simhash.similar_classes(keyed.select("text", *KEY))
     best = marked.groupBy("class").agg(F.min(F.struct(*KEY)).alias("k")).select("k.*")

@@ -101,8 +101,8 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 def widened(schema: T.StructType, *more: tuple[str, T.DataType]) -> T.StructType:
-    """The schema with more columns, of names that it doesn't have."""
-    clash = {n for n, _ in more} & set(schema.names)
+    """The schema with more columns, of names that it doesn't have, in whatever case: to Spark they are the same."""
+    clash = {n.lower() for n, _ in more} & {n.lower() for n in schema.names}
     if clash:
         raise ValueError(f"the frame already has columns named {', '.join(sorted(clash))}")
     return T.StructType([*schema.fields, *[T.StructField(n, t) for n, t in more]])

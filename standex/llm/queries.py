@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, extract, langid, line_dedup, media, mixing, simhash, sql, substring_dedup, token_count, warc
-from .common import as_bytes, drop_folder, shared_folder, table
+from . import decontam, extract, langid, line_dedup, media, mixing, simhash, spelling, sql, substring_dedup, token_count, url_filter, warc
+from .common import as_bytes, drop_folder, shared_folder, stored, table
 
 #: The vocabulary of op3, a parameter; the file is read by the driver alone.
 VOCABULARY = os.environ.get("STANDEX_VOCABULARY", "/opt/tokenizers/piece_bpe_32k.model")
@@ -91,6 +91,30 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "text", "keep").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
+#: The rules of op11: verdict, host and path.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = url_filter.judge(pages, url_filter.rule_table(spark, URL_RULES))
+    return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+#: One in so many of a document's words of op12 loses a code point.
+MISSPELT = 97
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h, run = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), "run").cast("binary")), F.col("run")
+    runs = spelling.runs(docs).withColumn("h", h)
+    gone = F.pmod("h", F.length("run")).cast("int")
+    word = F.when(F.col("h") % MISSPELT == 0, F.concat(F.substr(run, F.lit(1), gone), F.substr(run, gone + 2))).otherwise(run)
+    found = spelling.grouped(stored(spelling.counted(runs, word), "words"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_text": op1_html_text,
@@ -103,6 +127,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": op8_source_mix,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
+        "op11_url_filter": op11_url_filter,
+        "op12_spelling": op12_spelling,
     }
 
 
@@ -113,4 +139,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": sql.DECONTAMINATION,
         "op8_source_mix": sql.MIXING,
         "op10_line_dedup": sql.LINE_DEDUP,
+        "op11_url_filter": sql.URL_FILTER,
+        "op12_spelling": sql.SPELLING,
     }

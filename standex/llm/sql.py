@@ -123,3 +123,43 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_removed, coalesce(own.n_chars, 0) AS n_ch
        length(coalesce(kept, d.text, ''))::BIGINT AS n_chars_kept, sha256(coalesce(kept, d.text, '')) AS kept_sha256
 FROM documents d LEFT JOIN own USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+URL_FILTER = f"""
+WITH u AS (SELECT page_id, CASE WHEN position('://' IN url) > 0 THEN regexp_replace(substr(url, position('://' IN url) + 3), '[?#](.|\\n)*', '') ELSE '' END AS a FROM pages),
+p AS (SELECT page_id, translate(split_part(coalesce(a, ''), '/', 1), '{UPPER}', '{LOWER}') AS host, substr(coalesce(a, ''), length(split_part(coalesce(a, ''), '/', 1)) + 1) AS path FROM u),
+r(h, b, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+f AS (
+  SELECT page_id, h || b AS rule, v FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, b)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || b) DESC) = 1)
+SELECT p.page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM p LEFT JOIN f ON p.page_id = f.page_id
+"""
+
+# CRC-32 by its table of 256 entries, over the UTF-8 of code points below 256
+SPELLING = f"""
+WITH RECURSIVE t AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc FROM range(256) r(i)),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[A-Za-z\u00c0-\u00ff]+')) AS w FROM documents),
+each AS (SELECT doc_id, w, count(*) AS k FROM runs WHERE length(w) >= 5 GROUP BY ALL),
+bytes AS (
+  SELECT doc_id, w, k, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [(192 + (unicode(c) >> 6))::BIGINT, (128 + (unicode(c) & 63))::BIGINT] END)) AS b FROM each),
+hashed AS (
+  SELECT w, k, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS h FROM bytes, t),
+words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(k)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 5 AND n >= 3),
+cuts AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT DISTINCT a.word, b.word AS o, b.n AS o_n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN words b ON a.cut = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN words b ON a.cut = b.word),
+best AS (SELECT word, count(*) AS n_near, first(o ORDER BY o_n DESC, o) AS o, max(o_n) AS o_n FROM near GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN o_n >= 2 * w.n THEN o END AS form, CASE WHEN o_n >= 2 * w.n THEN o_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word),
+chain AS (
+  SELECT word, word AS root, form AS next FROM formed
+  UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN formed f ON c.next = f.word)
+SELECT f.word, form, root, n, n_near, form_n FROM formed f JOIN chain c ON f.word = c.word AND c.next IS NULL
+"""

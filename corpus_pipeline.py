@@ -84,10 +84,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Emits each document as often as the mix takes it, with its `size` in words and `copy`, which numbers the
-    repeats from 1 (columns of those names in the input are replaced). A null source is a source of its
+    repeats from 1 (columns of those names, in whatever case, in the input are replaced). A null source is a source of its
     own. Texts without words have size 0; they are taken as often as their source's rate says."""
     mixed = mixing.emit(mixing.mix(docs))
-    kept = [c for c in docs.columns if c not in ("size", "copy")]
+    kept = [c for c in docs.columns if c.lower() not in ("size", "copy")]
     return mixed.select(*[F.col("doc").getField(c).alias(c) for c in kept], "size", "copy")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..sources.shared import materialise
+from .contain import BOUND, holding
 
 # What validation says.
 MISSING, INVALID, DUPLICATE = "Missing '{}' field", "Invalid standard at position ", "Duplicate query ID"
@@ -87,3 +88,28 @@ def format_report(rows: DataFrame) -> DataFrame:
     """(qid, all_valid, invalid) of (qid, std_ids)."""
     invalid = F.filter("std_ids", lambda s: ~ids.is_valid(s))
     return rows.select("qid", (F.size(invalid) == 0).alias("all_valid"), invalid.alias("invalid"))
+
+
+def relevant(docs: DataFrame, items: DataFrame, bound: int = BOUND) -> DataFrame:
+    """(doc_id, sought): documents (doc_id, text) that hold the whole text `sought` of an item."""
+    return holding(docs, "text", ["doc_id"], items, "sought", bound)
+
+
+def judged(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Ranked answers (qid, rank, doc_idx) with `relevant`: whether the document holds the whole text of the item
+    (qid, sought). Only documents that are answers are looked into."""
+    texts = docs.select(F.col("doc_id").alias("doc_idx"), "text").join(found.select("doc_idx").distinct(), "doc_idx", "left_semi")
+    asked = found.join(items.select("qid", "sought"), "qid").join(texts, "doc_idx", "left")
+    holds = F.coalesce(F.contains("text", F.col("sought")), F.lit(False))
+    return asked.groupBy(*found.columns).agg(F.max(holds).alias("relevant"))
+
+
+def as_results(judged_rows: DataFrame) -> DataFrame:
+    """Results (id, query, expected_standards, retrieved_standards, latency_seconds) of judged answers. Expected
+    are the relevant ones among the answers: more can't change whether and where the first is met."""
+    rows = judged_rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("doc_idx").cast("string").alias("d"), "relevant"))).alias("r"))
+    named = lambda r: F.transform(r, lambda s: s["d"])
+    return rows.select(
+        F.col("qid").cast("string").alias("id"), F.lit(None).cast("string").alias("query"), named(F.filter("r", lambda s: s["relevant"])).alias("expected_standards"),
+        named(F.col("r")).alias("retrieved_standards"), F.lit(None).cast("double").alias("latency_seconds"),
+    )

@@ -78,13 +78,17 @@ def keywords_of(x: Column, category: Column) -> Column:
     return F.array_distinct(F.concat(head, *own, *others, text.found(lex.DOMAIN_NOUNS, low)))
 
 
-def chunks(standards: DataFrame) -> DataFrame:
-    """Chunks of (std_seq, id, title, text): for each standard an anchor, a core of 600 characters,
-    and windows of 1,200 characters every 800 over the rest. doc_idx numbers them in order.
+def chunk_count() -> Column:
+    """How many chunks a standard's text makes."""
+    return (F.lit(2) + F.ceil(F.greatest(F.length("text") - CORE, F.lit(0)) / STRIDE)).cast("long")
+
 
-    Category and keywords are computed once a standard, and no text is shuffled but for doc_idx."""
+def cut(standards: DataFrame) -> DataFrame:
+    """Chunks of (id, title, text, ...), numbered by k within their standard: an anchor, a core of 600 characters,
+    and windows of 1,200 characters every 800 over the rest. Further columns stay. Category and keywords are
+    computed once a standard; rows are independent, so a stream is cut as a table is."""
     length = F.length("text")
-    n = (F.lit(2) + F.ceil(F.greatest(length - CORE, F.lit(0)) / STRIDE)).cast("long")
+    others = [c for c in standards.columns if c not in ("id", "title", "text")]
     base = standards.withColumn("category", category_of(F.col("text")))
     base = base.withColumn("keys", keywords_of(F.col("text"), F.col("category")))
     anchor = F.concat_ws(
@@ -95,12 +99,18 @@ def chunks(standards: DataFrame) -> DataFrame:
     starts = F.when(length > CORE, F.sequence(F.lit(0), length - CORE - 1, F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
     windows = F.transform(starts, lambda s: F.concat_ws(" ", F.col("id"), F.coalesce("title", F.lit("")), F.substr(rest, s + 1, F.lit(WINDOW))))
     bodies = F.concat(F.array(anchor, F.substring("text", 1, CORE)), windows)
-    numbered = running_offset(base, "std_seq", n)
-    each = numbered.select("offset", "id", "title", "category", "keys", F.posexplode(bodies).alias("k", "text"))
+    each = base.select(*others, "id", "title", "category", "keys", F.posexplode(bodies).alias("k", "text"))
     first = F.col("k") == 0
     return each.select(
-        (F.col("offset") + F.col("k")).cast("long").alias("doc_idx"), "id", "title", "text", "category",
+        *others, "k", "id", "title", "text", "category",
         F.when(first, F.slice("keys", 1, 20)).otherwise(F.slice("keys", 1, 10)).alias("keywords"),
         ids.part(F.col("id")).alias("part_number"), ids.year_anywhere(F.col("id")).alias("standard_year"),
         first.alias("is_summary_chunk"), F.when(~first, F.col("k") - 1).cast("int").alias("chunk_index"),
     )
+
+
+def chunks(standards: DataFrame) -> DataFrame:
+    """Chunks of (std_seq, id, title, text), numbered through by doc_idx in order of std_seq. No text is
+    shuffled but for doc_idx."""
+    made = cut(running_offset(standards.select("std_seq", "id", "title", "text"), "std_seq", chunk_count()))
+    return made.withColumn("doc_idx", (F.col("offset") + F.col("k")).cast("long")).select("doc_idx", *[c for c in made.columns if c not in ("std_seq", "offset", "k")])

@@ -421,45 +421,16 @@ def format_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.format_report(listed).withColumn("invalid", joined("invalid"))
 
 
-#: Words of an item from which its words 2 to 6 are whole words of every document that holds it.
-LONG_WORDS = 7
-#: Bytes of the items' texts that may be broadcast; beyond it they are joined by shuffle.
-PROBE_BYTES = 64 << 20
-#: Shorter items that are broadcast at once (on average: they are dealt by their hash).
-SHORT_ITEMS = 10_000
-
-
-def _bounded(probe: DataFrame) -> DataFrame:
-    size = probe.agg(F.sum(F.octet_length("sought") + 100)).first()[0] or 0
-    return F.broadcast(probe) if size <= PROBE_BYTES else probe
-
-
 @query(
     "WITH rel AS (SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT b.item_id, count(rel.doc_id)::BIGINT AS n_relevant, min(rel.doc_id) AS first_doc "
     "FROM benchmark b LEFT JOIN rel USING (item_id) GROUP BY b.item_id"
 )
 def benchmark_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item's whole text: relevance for evaluation. Items of at least
-    LONG_WORDS words are looked up by their words 2 to 6, and only documents that have those in a row are
-    searched for the rest. Shorter items, empty ones too, are sought in every document, SHORT_ITEMS at once."""
+    """Documents that hold a benchmark item's whole text: relevance for evaluation."""
     items = data.table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("sought"))
-    docs = data.table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    n = LONG_WORDS - 2
-    # two words in: the first and last may be part of a longer word in the document
-    probe = items.where(F.size(words("sought")) >= LONG_WORDS).withColumn("key", F.array_join(F.slice(words("sought"), 2, n), " "))
-    grams = docs.withColumn("w", words("text")).where(F.size("w") >= n)
-    each = grams.select("doc_id", F.explode(F.sequence(F.lit(1), F.size("w") - n + 1)).alias("s"), "w")
-    keyed = each.select("doc_id", F.array_join(F.slice("w", F.col("s"), n), " ").alias("key")).join(_bounded(probe), "key").select("doc_id", "item_id", "sought").distinct()
-    found = keyed.join(docs, "doc_id").where(F.contains("text", F.col("sought"))).select("item_id", "doc_id")
-    short = items.where(F.size(words("sought")) < LONG_WORDS).where(F.col("sought").isNotNull()).distinct()
-    blocks = -(-short.count() // SHORT_ITEMS)
-    for k in range(blocks):
-        block = short.where(F.pmod(F.xxhash64("item_id", "sought"), F.lit(blocks)) == k)
-        pairs = docs.where(F.col("doc_id").isNotNull()).join(F.broadcast(block), F.contains("text", F.col("sought")))
-        found = found.unionByName(pairs.select("item_id", "doc_id"))
-    counts = found.groupBy("item_id").agg(F.count("*").alias("n_relevant"), F.min("doc_id").alias("first_doc"))
-    return items.select("item_id").join(counts, "item_id", "left").withColumn("n_relevant", F.coalesce("n_relevant", F.lit(0)).cast("long"))
+    counts = evaluate.relevant(data.table(spark, sf_dir, "documents"), items).groupBy("sought").agg(F.count("doc_id").alias("n_relevant"), F.min("doc_id").alias("first_doc"))
+    found = items.join(counts, "sought", "left")
+    return found.select("item_id", F.coalesce("n_relevant", F.lit(0)).cast("long").alias("n_relevant"), "first_doc")
 
 
 # ---- rationales --------------------------------------------------------------------------------

@@ -59,6 +59,13 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return read_array(spark, path, schemas.RESULT)
 
 
+def stream(spark: SparkSession, path: str, schema: str, files: int) -> DataFrame:
+    """A stream of the Parquet files of a path, which may be a folder or a single file: a pattern that
+    only the path itself fits. `files` are taken at once."""
+    path = path.rstrip("/")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def write(df: DataFrame, path: str, form: str = "parquet") -> None:
     """Overwrites a table of Parquet files, or of JSON lines."""
     df.write.mode("overwrite").format(form).save(path)

@@ -3,6 +3,7 @@
 from standex import api
 from standex.plans import data, search_queries
 from standex.streaming import extension
+from standex.streaming.progress import Progress
 
 
 def test_answers_of_a_stream_equal_those_of_a_batch(spark, small, tmp_path):
@@ -12,6 +13,11 @@ def test_answers_of_a_stream_equal_those_of_a_batch(spark, small, tmp_path):
         queries.where(f"qid % 2 = {k}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/asked")
     vectors_of = lambda batch: search_queries._scale_vectors(spark, small, batch)
     asked = spark.readStream.schema(queries.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/asked")
-    extension.answer_stream(asked, vectors_of, indexes, f"{tmp_path}/answers", f"{tmp_path}/state").awaitTermination()
+    with Progress(spark, total=8) as progress:
+        stream = extension.answer_stream(asked, vectors_of, indexes, f"{tmp_path}/answers", f"{tmp_path}/state")
+        stream.awaitTermination()
+        progress.wait(stream)
+        assert (progress.rows, progress.batches) == (4, 2) and progress.rate > 0
+        assert abs(progress.seconds_left * progress.rate - 4) < 0.1  # half of the rows are left
     rows = lambda df: sorted((r.qid, tuple(r.retrieved_standards)) for r in df.collect())
     assert rows(spark.read.parquet(f"{tmp_path}/answers")) == rows(api.rank.recommend(queries, vectors_of(queries), indexes))

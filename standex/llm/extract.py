@@ -1,8 +1,9 @@
 """Main text of a page by composite text density.
 
-1. Menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles and comment
-   threads are marked by their elements, roles and names and take no further part, unless they hold an
-   article, or (forms, blocks named so) more than half of the page's text.
+1. Menus, page headers and footers, sidebars, forms, scripts and styles are marked by their elements and roles,
+   and comment threads by structure (three or more like blocks, each with an author and a time) or by
+   a name that nothing else has; they take no further part, unless they hold an article, or (forms) more than
+   half of the page's text.
 2. Every other node gets its characters per tag, adjusted for links:
    C/T x log base ln(C/NLC x LC + LCb/Cb x C + e) of (C/LC x T/LT), with C characters, T tags, L those
    in links, N not, b of the whole body; zero denominators count as 1, and the base as e at least (where
@@ -13,6 +14,9 @@
 4. The threshold is the least density on the path from it to the body: at each node of that path, what
    is as dense, or lies between two blocks that are, is taken too; and so are headings, paragraphs
    and articles next to what is taken, unless most of them is links.
+5. A class or id never drops a block by itself. A block that is named like an advert, a notice or a menu has to be as
+   dense as the densest block of the chosen text, and small beside it; one whose name may also be a section's (discussion, related,
+   share) has to reach the threshold of 4 and half of the chosen node's density, wherever it stands.
 
 Defined results: null and empty pages, and pages without text, give the empty string. Pages of any
 length are parsed whole, in linear time. Rows are independent: repeated rows get equal texts, and nothing is
@@ -35,7 +39,7 @@ from .html import Node, parse, text_of, written
 
 #: Elements that never hold main text.
 DROPPED_TAGS = frozenset(
-    "head script style noscript template iframe object embed svg math canvas audio video map nav aside footer "
+    "head script style noscript template iframe object embed svg canvas audio video map nav aside footer annotation annotation-xml "
     "button select option input textarea label dialog menu noframes noembed xmp".split()
 )
 #: Elements that some pages are wrapped in whole.
@@ -44,28 +48,40 @@ FORMS = frozenset(["form", "fieldset"])
 DROPPED_ROLES = frozenset(
     "navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist status".split()
 )
-#: Words in a class or id that name such parts.
-DROPPED_NAMES = frozenset(
-    "ad ads adsbygoogle adv advert adverts advertisement advertisements advertising adsense adbox adslot banner breadcrumb breadcrumbs comment "
-    "comments commentlist consent cookie cookies copyright discussion disqus feedback footer gdpr guestbook login masthead menu "
-    "modal nav navbar navigation newsletter notice notices notification offcanvas overlay pager pagination paywall popup promo promoted promotion "
-    "rail recommendations recommended related replies reply respond responses share sharing sidebar sidenav signup social sponsor sponsored "
-    "subscribe subscription subnav toast toolbar topbar topnav widget widgets".split()
+#: Words in a class or id that name such parts and hardly a section of an article.
+BOILERPLATE_NAMES = frozenset(
+    "ad ads adsbygoogle adv advert adverts advertisement advertisements advertising adsense adbox adslot breadcrumb breadcrumbs gdpr "
+    "masthead modal nav navbar offcanvas pager pagination paywall popup promo sidebar sidenav subnav toast topbar topnav".split()
 )
-#: Of these, what names readers' words: dropped however long they are.
-COMMENT_NAMES = frozenset("comment comments commentlist discussion disqus guestbook replies reply respond responses".split())
+#: Words that name such parts or sections. Two of them in one name (cookie-banner) count as one of the above.
+DOUBTFUL_NAMES = frozenset(
+    "banner consent cookie cookies discussion feedback footer login menu navigation newsletter notice notification overlay recommended related "
+    "replies reply respond responses share sharing signup social sponsored subscribe toolbar widget".split()
+)
+#: Words that name readers' comments alone.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus guestbook".split())
+#: Words in a class, id, rel or itemprop that mark an entry's author, and its time.
+AUTHOR_NAMES = frozenset("author avatar by byline commenter name nick poster user username vcard".split())
+TIME_NAMES = frozenset("ago date datetime posted published time timestamp".split())
+#: A block named like an advert is at most one in so many of the chosen text's characters, or it isn't a part of it.
+PART = 4
+#: Like blocks that make a thread, and the longest name of an author.
+THREAD, AUTHOR = 3, 40
 #: Names that mean a page's head unless they stand in the article.
 HEADER_NAMES = frozenset(["header"])
 
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _ARTICLE = frozenset(["article", "main"])
+_NAMED = frozenset("a b cite em i span strong".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: Text that may be short and yet belong to what it stands next to.
 TEXTS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header p article blockquote pre".split())
 #: Elements within a line.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub "
-    "sup time tt u var wbr".split()
+    "sup time tt u var wbr math maction merror mfrac mi mn mo mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext mover munder "
+    "munderover semantics".split()
 )
 #: Blocks that may be menus without a name that says so.
 LINK_BLOCKS = frozenset("ul ol dl div section table p center span".split())
@@ -81,10 +97,44 @@ def _names(attributes: dict[str, str]) -> set[str]:
     return out
 
 
+def _words_of(node: Node, *attributes: str) -> set[str]:
+    a = node.attributes() if node.raw else {}
+    return {w.lower() for x in attributes for w in _NAME.findall(a.get(x, ""))}
+
+
+def _is_entry(node: Node) -> bool:
+    """Whether a block looks like a reader's comment: an author and a time, no heading."""
+    author = time = False
+    first = None
+    for x in node.walk():
+        if x.tag in HEADINGS:
+            return False
+        words = _words_of(x, "class", "id", "rel", "itemprop") if x is not node else set()
+        author = author or bool(words & AUTHOR_NAMES)
+        time = time or x.tag == "time" or bool(words & TIME_NAMES)
+        if first is None and x is not node and any(isinstance(y, str) and y.strip() for y in x.children):
+            first = x  # what a comment begins with, if not by its text
+            author = author or x.tag in _NAMED and len(" ".join(y for y in x.children if isinstance(y, str))) <= AUTHOR
+    return author and time
+
+
+def _is_thread(node: Node) -> bool:
+    """Whether a node's blocks are mostly like ones (by element and class) that look like comments."""
+    blocks = [x for x in node.children if not isinstance(x, str) and x.tag not in INLINE]
+    if len(blocks) < THREAD:
+        return False
+    like: dict[tuple[str, str], list[Node]] = {}
+    for x in blocks:
+        like.setdefault((x.tag, (x.attributes() if x.raw else {}).get("class", "")), []).append(x)
+    most = max(like.values(), key=len)
+    return len(most) >= max(THREAD, len(blocks) / 2) and all(_is_entry(x) for x in most[:THREAD])
+
+
 def _mark(root: Node) -> None:
-    """marks = (dropped, in an article or main, named like boilerplate)."""
+    """marks = (dropped, in an article or main, 2 if named like boilerplate or 1 if perhaps)."""
     nodes = list(root.walk())
-    weak: dict[int, set[str]] = {}
+    named: dict[int, int] = {}
+    comments: set[int] = set()
     threads: set[int] = set()  # in a comment thread, or in something dropped
     holds: set[int] = set()  # usable articles, and nodes with one below
     articles: list[Node] = []
@@ -95,19 +145,23 @@ def _mark(root: Node) -> None:
         role = a.get("role", "").lower()
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or bool(_HIDDEN.search(a.get("style", "")))
         whole = node.tag in ("html", "body")  # some pages hide these until a script has run
-        strong = node.tag in DROPPED_TAGS or node.tag == "header" and not within or not whole and (role in DROPPED_ROLES or hidden)
-        named = False
+        quoted = node.tag == "footer" and up is not None and up.tag == "blockquote"  # whom it quotes
+        strong = node.tag in DROPPED_TAGS and not quoted or node.tag == "header" and not within or not whole and (role in DROPPED_ROLES or hidden)
+        node.marks = (strong, within, 0)
         if (a.get("class") or a.get("id")) and node.tag not in ("html", "body", "main"):
             names = _names(a)
-            if found := names & DROPPED_NAMES | (names & HEADER_NAMES if not within else set()):
-                weak[id(node)] = found
-                named = True
-        node.marks = (strong, within, named)
-        comments = bool(weak.get(id(node), set()) & COMMENT_NAMES)
+            doubtful = len(names & DOUBTFUL_NAMES)
+            sure = names & BOILERPLATE_NAMES or doubtful > 1 or names & HEADER_NAMES and not within
+            if sure or doubtful:
+                named[id(node)] = 2 if sure else 1
+            if names & COMMENT_NAMES:
+                comments.add(id(node))
         in_thread = up is not None and id(up) in threads
-        if strong or comments or in_thread:
+        if not strong and not in_thread and not whole and id(node) not in comments and _is_thread(node):
+            comments.add(id(node))
+        if strong or id(node) in comments or in_thread:
             threads.add(id(node))
-        if (node.tag in _ARTICLE or role in ("main", "article")) and not comments and not strong and not in_thread:
+        elif node.tag in _ARTICLE or role in ("main", "article"):
             articles.append(node)
     for node in articles:
         while node is not None and id(node) not in holds:
@@ -121,9 +175,11 @@ def _mark(root: Node) -> None:
         if node.marks[0] or id(node) in holds:
             continue  # or it wraps an article
         small = 2 * size[id(node)] <= body
-        names = weak.get(id(node), set())
-        if node.tag in FORMS and small or names and (names & COMMENT_NAMES or small or not node.marks[1] and holds):
+        if node.tag in FORMS and small or id(node) in comments:
             node.marks = (True, *node.marks[1:])
+        elif kind := named.get(id(node)):
+            beside = not node.marks[1] and holds  # beside an article, which the page itself marks
+            node.marks = (*node.marks[:2], 2 if beside else kind if small else 0)
 
 
 def _density(c: int, t: int, lc: int, lt: int, share: float) -> float:
@@ -181,11 +237,24 @@ def _sums(nodes: list[Node], density: dict[int, float]) -> dict[int, float]:
     sums: dict[int, float] = {}
     for node in reversed(nodes):
         sums[id(node)] = sum(
-            sums[id(x)] if x.tag in INLINE else density[id(x)] for x in node.children if not isinstance(x, str) and not x.marks[0]
+            sums[id(x)] if x.tag in INLINE else density[id(x)] for x in node.children if not isinstance(x, str) and not x.marks[0] and x.marks[2] < 2
         )
     return sums
 
 
+def _blocks(node: Node) -> Iterator[Node]:
+    """What a node's sum is made of."""
+    stack = list(node.children)
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str) or x.marks[0] or x.marks[2] > 1:
+            continue
+        if x.tag in INLINE:
+            stack.extend(x.children)
+        else:
+            yield x
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -195,23 +264,28 @@ def main_text(html: str | None) -> str:
     nodes, counts, density = densities(body)
     if not counts[id(body)][0]:
         return ""
+    half = ceiling = part = math.inf
 
     def outside(node: Node) -> bool:
-        """Dropped, or by its links a menu without a name that says so."""
-        if node.marks[0]:
-            return True
+        """Dropped, by its links a menu, or named like one and not dense enough."""
         c, _, lc, lt = counts[id(node)]
+        if node.marks[0] or node.marks[2] and density[id(node)] < (ceiling if node.marks[2] > 1 else half) or node.marks[2] > 1 and c > part:
+            return True
         return lt > 1 and 5 * lc >= 3 * c and node.tag in LINK_BLOCKS
 
     sums = _sums(nodes, density)
-    best = max((n for n in nodes if n.tag not in INLINE or n is body), key=lambda n: sums[id(n)])  # the first in page order on ties
+    fit = [n for n in nodes if n.tag not in INLINE and n.marks[2] < 2]
+    best = max(fit or [body], key=lambda n: sums[id(n)])  # the first in page order on ties
+    if not sums[id(best)]:
+        return text_of(body, outside)
     path, node = [best], best
     while node is not body:
         node = node.parent
         path.append(node)
-    if not sums[id(best)]:
-        return text_of(body, outside)
     threshold = min(density[id(n)] for n in path)
+    part = counts[id(best)][0] / PART
+    half = max(threshold, density[id(best)] / 2)
+    ceiling = max(density[id(n)] for n in _blocks(best))
 
     def level(outer: Node, inner: Node | None) -> tuple[str, str]:
         """The text taken of outer's children, before and after inner."""

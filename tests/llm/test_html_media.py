@@ -18,16 +18,87 @@ P = "<p>" + "Real words of the article go on and on, as many as it takes to be d
 PLAIN = ("Real words of the article go on and on, as many as it takes to be dense. " * 3).strip()
 
 
+def inside_article(html):
+    inner = re.search("<article>(.*?)</article>", html, re.S)[1].replace("<b>", "")
+    return " ".join(unescape(re.sub("</?(?:p|h1|br)>", " ", inner)).split())
+
+
 def test_pages_give_their_articles(spark, small):
     got = {r.page_id: (r.text, r.n_chars) for r in queries.op1_html_text(spark, small).collect()}
     pages = spark.read.parquet(f"{small}/pages.parquet").collect()
     assert len(got) == len(pages)
     for p in pages:
-        inner = re.search("<article>(.*?)</article>", p.html, re.S)[1].replace("<b>", "")
-        want = " ".join(unescape(re.sub("</?(?:p|h1|br)>", " ", inner)).split())
+        want = inside_article(p.html)
         assert got[p.page_id] == (want, len(want))
 
 
+def test_density_decides_on_given_pages(spark, monkeypatch):
+    """All words of the articles and hardly another; with any node as good as any other, most texts are wrong."""
+    pages = [p.html for p in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    texts = [extract.main_text(h) for h in pages]
+    wanted = [Counter(inside_article(h).split()) for h in pages]
+    shared = sum((w & Counter(t.split())).total() for w, t in zip(wanted, texts, strict=True))
+    assert shared >= 0.999 * sum(w.total() for w in wanted) and shared >= 0.999 * sum(len(t.split()) for t in texts)
+    monkeypatch.setattr(extract, "_density", lambda c, t, lc, lt, share: 1.0 if c else 0.0)
+    assert sum(extract.main_text(h) != t for h, t in zip(pages, texts, strict=True)) >= 0.9 * len(pages)
+
+
+def long(name):
+    return " ".join(f"{name}{i}" for i in range(40))
+
+
+def page(inside="", behind="", tag="article"):
+    menu = "<nav><ul><li><a href=x>Home</a></li><li><a href=y>About</a></li></ul></nav>"
+    return f"<body>{menu}<{tag}><h1>T</h1><p>{long('a')}</p>{inside}<p>{long('z')}</p></{tag}>{behind}<footer>all rights</footer></body>"
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("name", ["id=discussion", "id=responses", "class=related-work", "class=share-prices", "class=social-history", "id=feedback", "id=consent", "id=cookies", "class=methods"])
+def test_sections_stay_whatever_their_name(tag, name):
+    section = f"<section {name}><h2>H</h2><p>{long('s')}</p><p>{long('t')}</p></section>"
+    assert extract.main_text(page(section, tag=tag)) == f"T {long('a')} H {long('s')} {long('t')} {long('z')}"
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+@pytest.mark.parametrize("name", ["class=thread", "class=user-opinions", "class=comments", "id=disqus_thread", "id=responses"])
+def test_comment_threads_go_whatever_their_name(tag, name):
+    entries = "".join(f"<div class=c><b>User {i}</b> <time>12:0{i}</time><p>{long('c')}</p></div>" for i in range(6))
+    want = f"T {long('a')} {long('z')}"
+    assert extract.main_text(page(behind=f"<div {name}>{entries}</div>", tag=tag)) == want
+    assert extract.main_text(page(inside=f"<div {name}>{entries}</div>", tag=tag)) == want
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_formulas_and_quotes_stay_and_what_is_not_text_goes(tag):
+    inside = f"<p>So <math><mi>E</mi><mo>=</mo><mi>m</mi></math> it is.</p><blockquote><p>{long('q')}</p><footer>An Author</footer></blockquote>"
+    inside += "<div class=share>Share this</div><div class=related><h3>Related</h3><ul><li><a href=1>Other one</a><li><a href=2>Other two</a></ul></div>"
+    behind = f"<div class=cookie-banner><p>{long('k')[:90]}</p></div><div class=ad>Buy this now</div>"
+    assert extract.main_text(page(inside, behind, tag)) == f"T {long('a')} So E=m it is. {long('q')} An Author {long('z')}"
+
+
+def plain_heaviest(html):
+    """The text of the node whose blocks' densities add up to most, each sum taken over the node's whole subtree."""
+    root = parse(html)
+    extract._mark(root)
+    body = next(n for n in root.walk() if n.tag == "body")
+    density = plain_densities(body)
+
+    def blocks(node):
+        for x in node.children:
+            if not isinstance(x, str) and not x.marks[0] and x.marks[2] < 2:
+                yield from blocks(x) if x.tag in extract.INLINE else [density[id(x)]]
+
+    usable = [n for n in body.walk() if id(n) in density and n.tag not in extract.INLINE and n.marks[2] < 2]
+    totals = [sum(blocks(n)) for n in usable]
+    return text_of(usable[totals.index(max(totals))], lambda x: x.marks[0])
+
+
+def test_the_heaviest_node_is_in_the_text(spark, small):
+    for p in spark.read.parquet(f"{small}/pages.parquet").collect():
+        heaviest = plain_heaviest(p.html)
+        assert heaviest and heaviest in extract.main_text(p.html)
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..sources.shared import drop_folder, materialise, shared_folder, stored
 
-__all__ = ["HOT", "KEY", "NULL_ID", "ROW", "SLOTS", "as_bytes", "drop_folder", "materialise", "only_of", "row_key", "shared_folder", "small_batches", "split_join", "stored", "table", "widened", "without"]
+__all__ = ["HOT", "KEY", "NULL_ID", "ROW", "SLOTS", "as_bytes", "drop_folder", "facts_of", "materialise", "only_of", "row_key", "shared_folder", "small_batches", "split_join", "stored", "table", "widened", "without"]
 
 #: Internal columns: the document's id with a stand-in for null, and a hash of its text.
 KEY = ("_sx_id", "_sx_hash")
@@ -59,6 +59,16 @@ def without(rows: DataFrame, unwanted: DataFrame, *key: str) -> DataFrame:
     return held.where("not _sx_hit").drop("_sx_hit").select(*rows.columns).unionByName(doubtful.select(*rows.columns))
 
 
+def facts_of(rows: DataFrame, facts: DataFrame, *key: str) -> DataFrame:
+    """rows left-joined with facts, which have each key once. Only rows that a bitmap of a fixed size lets through are
+    shuffled: where few have facts, the texts stay where they are. rows is read twice."""
+    held = _held(rows, facts, *key)
+    met = held.where("_sx_hit").drop("_sx_hit").join(facts, list(key), "left")
+    more = [F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema if f.name not in key]
+    clear = held.where("not _sx_hit").select(*rows.columns, *more)
+    return clear.unionByName(met.select(*clear.columns))
+
+
 #: Rows of one key that a single task joins.
 HOT = 1_000
 

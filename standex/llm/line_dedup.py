@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, as_bytes, materialise, row_key
+from .common import KEY, as_bytes, facts_of, materialise, row_key, stored
 
 MIN_POINTS = 10
 SPACE = b" \t\n\x0b\x0c\r"
@@ -183,5 +183,6 @@ def cut(text: bytes | None, keep: bytes | None) -> tuple[int, int, bytes]:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with KEY and keep; keep is null where a document loses nothing."""
-    return docs.withColumns(row_key()).join(bitmaps.select(*KEY, "keep"), list(KEY), "left")
+    """docs with KEY and keep; keep is null where a document loses nothing. The texts of such aren't shuffled.
+    The bitmaps are read twice, so they are kept as a table."""
+    return facts_of(docs.withColumns(row_key()), stored(bitmaps.select(*KEY, "keep"), "bitmaps"), *KEY)

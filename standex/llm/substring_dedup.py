@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEY, only_of, row_key, stored, widened
+from .common import KEY, facts_of, only_of, row_key, stored, widened
 
 #: Words of the shortest run of repeats that is removed.
 RUN_WORDS = 20
@@ -122,7 +122,8 @@ def dedup(docs: DataFrame, paragraphs: bool = False, least: int = RUN_WORDS) ->
     names = [c for c in docs.columns if c != "text"]
     # the repeats of a document: no more than it has units
     found = repeats(docs, paragraphs).groupBy(*KEY).agg(F.collect_list(F.struct("at", "start", "end", "words")).alias("_sx_found"))
-    joined = docs.withColumns(row_key()).join(found.where(_enough(least)), list(KEY), "left").select(*names, "text", "_sx_found")
+    found = stored(found.where(_enough(least)), "found")
+    joined = facts_of(docs.withColumns(row_key()), found, *KEY).select(*names, "text", "_sx_found")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -251,8 +251,8 @@ def plain_units(text):
         at += len(line) + 1
 
 
-def plain_substring(rows):
-    """Repeats of whole sentences in one pass over the documents in order; runs of 20 words go."""
+def plain_substring(rows, least=20):
+    """Repeats of whole sentences in one pass over the documents in order; runs of at least so many words go."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0))
     seen, keep = {}, []
     for i in order:
@@ -267,7 +267,7 @@ def plain_substring(rows):
             if a >= 0 and (name in own or seen[name] != d):
                 run, n = [*run, (a, b)], n + len(name.split())
             else:
-                if n >= 20:
+                if n >= least:
                     spans.append((run[0][0], run[-1][1]))
                     removed += len(run)
                 run, n = [], 0
@@ -292,6 +292,30 @@ def test_op2_against_plain_and_sql(spark, small):
     assert oracle.rows_of(queries.op2_substring_dedup(spark, small)) == oracle.rows_in(oracle.connect(small), sql.SUBSTRING_DEDUP)
 
 
+def test_op2_exact_setting_removes_every_repeat(spark, edge, small):
+    for docs in (spark.read.parquet(f"{small}/documents.parquet"), edge):
+        rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+        got = substring_dedup.dedup(docs.select("doc_id", "text"), least=1).collect()
+        spans = lambda r: ",".join(f"{s.start}-{s.end}" for s in r.spans)
+        digest = lambda r: hashlib.sha256((r.text or "").encode()).hexdigest()
+        assert sorted((str(r.doc_id), r.n_removed, spans(r), digest(r)) for r in got) == plain_substring(rows, 1)
+
+
+def test_texts_that_lose_nothing_are_not_shuffled(spark, small):
+    """With broadcasts off, exchanges of texts come after a filter by the bitmap alone."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (substring_dedup.dedup(docs), line_dedup.with_bitmaps(docs, line_dedup.keep_bitmaps(docs))):
+            plan = made._jdf.queryExecution().optimizedPlan().toString()
+            union = plan[plan.index("Union") :]
+            assert "isnull(" in union or "NOT coalesce(" in union or "NOT _sx_hit" in union
+            assert union.count("Join LeftOuter") == 3  # two with the bitmap, which is broadcast, and one with what it lets through
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_op2_edges(spark, edge, empty, tmp_path):
     check_substring(spark, save(edge, tmp_path))
     assert queries.op2_substring_dedup(spark, save(empty, tmp_path)).count() == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import asdict, dataclass, field
 
 from .functions import lexicons as lex
-from .operators import index, rank, search
+from .operators import index, neighbours, rank, search
 
 
 @dataclass(frozen=True)
@@ -21,7 +21,7 @@ class Settings:
     bm25_k1: float = index.K1
     bm25_b: float = index.B
     bm25_epsilon: float = index.EPSILON
-    neighbours_per_term: int = index.NEIGHBOURS
+    neighbours_per_term: int = neighbours.TOP
     expansion_cap: str = "2x query length"
     rerank_candidates: int = rank.CANDIDATES
     rerank_chars: int = rank.MAX_CHARS

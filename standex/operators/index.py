@@ -12,16 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.shared import materialise, shared_folder
+from ..sources.shared import shared_folder
+from .neighbours import neighbours, numbered
 
 EPSILON, K1, B = 0.25, 1.5, 0.75
-MAX_SHARE = 0.6
-NEIGHBOURS = 6
 SIGNAL_SHARE = 0.25
 #: Digits that scores are rounded to before they are ranked: sums in another order then rank alike.
 DIGITS = 6
-#: Terms of the first pass of expansions().
-STRONG = 128
 
 
 def search_text() -> Column:
@@ -54,11 +51,6 @@ def vocabulary(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def numbered(vocab: DataFrame) -> DataFrame:
-    """vocab with tid, a number in the order of the terms: pairs of terms are counted and ranked by it."""
-    return vocab.orderBy("term").withColumn("tid", F.monotonically_increasing_id())
-
-
 def statistics(tokened: DataFrame, vocab: DataFrame) -> DataFrame:
     """One row: n documents, avgdl, avg_idf (of the raw idf over the vocabulary)."""
     size = tokened.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
@@ -80,46 +72,6 @@ def category_signals(posted: DataFrame, corpus: DataFrame) -> DataFrame:
     return counts.withColumn("share", share).where(F.col("share") > SIGNAL_SHARE).select("term", "category", "share")
 
 
-def expansions(posted: DataFrame, vocab: DataFrame, n_docs: DataFrame, terms: DataFrame, top: int = NEIGHBOURS) -> DataFrame:
-    """(term, neighbour, score, rnk): the `top` best co-occurring terms of each of `terms`.
-
-    Only the documents of the wanted terms are paired, and neighbours in more than 0.6 of all
-    documents are never taken. Two terms meet in at most as many documents as either has, so a
-    neighbour's score is at most least(df, df') x weight. A first pass over the STRONG terms with the
-    highest bounds gives each term `top` scores; the second pass drops, before anything is
-    counted, the neighbours whose bound is below them. The result is exact."""
-    def weight(df: str) -> Column:
-        return F.ln((F.col("n") + 1) / (F.col(df) + 1))
-
-    n = F.broadcast(n_docs.select("n"))  # one row
-    usable = vocab.crossJoin(n).where(F.col("df") <= MAX_SHARE * F.col("n"))
-    strong = usable.select(F.col("tid").alias("nid"), (F.col("df") * weight("df")).alias("most"))
-    strong = F.broadcast(strong.orderBy(F.desc("most"), "nid").limit(STRONG).select("nid"))
-    wanted = materialise(vocab.join(terms.select("term").distinct(), "term", "left_semi").select("tid", F.col("df").alias("df_t")))
-    left = posted.join(wanted, "tid").select("doc_idx", "tid", "df_t")
-    order = Window.partitionBy("tid").orderBy(F.desc("score"), "nid")
-
-    def best(scored: DataFrame) -> DataFrame:
-        return scored.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= top)
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        counts = pairs.where("tid <> nid").groupBy("tid", "nid", "df_n").agg(F.count("*").alias("cnt")).crossJoin(n)
-        return counts.select("tid", "nid", F.round(F.col("cnt") * weight("df_n"), DIGITS).alias("score"))
-
-    other = posted.select("doc_idx", F.col("tid").alias("nid"), F.col("df").alias("df_n"))
-    first = materialise(best(scored(left.join(other.join(strong, "nid"), "doc_idx"))).drop("rnk"))  # at most `top` rows a term
-    floor = first.groupBy("tid").agg(F.when(F.count("*") == top, F.min("score")).otherwise(0.0).alias("floor"))
-    floored = posted.join(wanted.join(floor, "tid", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))), "tid")
-    rest = other.join(strong, "nid", "left_anti").crossJoin(n).where(F.col("df_n") <= MAX_SHARE * F.col("n"))
-    rest = rest.select("doc_idx", "nid", "df_n", weight("df_n").alias("w"))
-    bound = F.least("df_n", "df_t") * F.col("w") + 10.0**-DIGITS
-    pairs = floored.select("doc_idx", "tid", "df_t", "floor").join(rest, "doc_idx").where(bound >= F.col("floor"))
-    every = best(first.unionByName(scored(pairs)))
-    names = vocab.select("tid", "term")
-    named = every.join(names, "tid").join(names.select(F.col("tid").alias("nid"), F.col("term").alias("neighbour")), "nid")
-    return named.select("term", "neighbour", "score", "rnk")
-
-
 @dataclass
 class Index:
     """The tables that searching needs. vectors: (doc_idx, embedding), unit length."""
@@ -130,9 +82,10 @@ class Index:
     vocab: DataFrame
     stats: DataFrame
     signals: DataFrame
+    neighbours: DataFrame
     vectors: DataFrame
 
-    NAMES = ("corpus", "tokens", "postings", "vocab", "stats", "signals")
+    NAMES = ("corpus", "tokens", "postings", "vocab", "stats", "signals", "neighbours")
 
     @staticmethod
     def load(spark: SparkSession, path: str, vectors: DataFrame) -> Index:
@@ -159,4 +112,6 @@ def build(corpus: DataFrame, vectors: DataFrame, path: str | None = None) -> Ind
     posted = keep(posted.join(vocab, "term").repartitionByRange("term", "doc_idx").sortWithinPartitions("term", "doc_idx"), "postings")
     stats = keep(statistics(tokened, vocab), "stats")
     signals = keep(category_signals(posted, corpus), "signals")
-    return Index(corpus, tokened, posted, vocab, stats, signals, vectors)
+    near = neighbours(posted.select("doc_idx", "tid"), vocab, stats)
+    near = keep(near.repartitionByRange("term").sortWithinPartitions("term", "rnk"), "neighbours")
+    return Index(corpus, tokened, posted, vocab, stats, signals, near, vectors)

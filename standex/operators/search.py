@@ -18,13 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..sources.shared import materialise
-from .index import B, DIGITS, K1, NEIGHBOURS, Index, expansions, idf
+from .index import B, DIGITS, K1, Index, idf
 
 DENSE_K, BM25_K, RRF_K, TOP_K = 20, 20, 40, 20
 SEMANTIC, LEXICAL = 1.5, 1.0
-#: Shares of a query's tokens whose neighbours are looked up, until its budget is full.
-SHARES = (1 / NEIGHBOURS, 0.5, 1.0)
 #: Query rows that are broadcast at once.
 BOUND = 100_000
 
@@ -104,39 +101,14 @@ def _block_best(vectors: DataFrame, shipped: Broadcast, kind: str, k: int) -> Da
 
 
 def expand_tokens(tokens: DataFrame, index: Index) -> DataFrame:
-    """(qid, tokens): each query's tokens and their neighbours, first come, up to twice the tokens.
-
-    A token brings up to six neighbours, so the first sixth of a query's tokens can fill its budget; where
-    tokens share neighbours, it takes more. Neighbours are looked up for the first SHARES of the tokens of
-    the queries that aren't full yet, and only for terms that weren't looked up before. Pairs of
-    co-occurring terms are by far the largest intermediate here."""
-    each = tokens.select("qid", F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "term"))
-    open_ones, known = tokens, None
-
-    def filled(found: DataFrame) -> DataFrame:
-        row = F.struct("pos", "rnk", "neighbour")
-        more = each.join(found, "term").groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("more"))
-        listed = F.coalesce(F.transform("more", lambda s: s["neighbour"]), F.array().cast("array<string>"))
-        new = F.array_except(listed, F.col("tokens"))  # distinct, in order
-        return tokens.join(more, "qid", "left").select("qid", "tokens", new.alias("new"))
-
-    def upto(share: float) -> DataFrame:
-        return each.where(F.col("pos") <= F.col("n") * share)
-
-    for share in SHARES:
-        asked = upto(share).join(open_ones.select("qid"), "qid", "left_semi").select("term").distinct()
-        if known is not None:
-            asked = asked.join(known.select("term").distinct(), "term", "left_anti")
-        found = expansions(index.postings, index.vocab, index.stats, asked)  # six rows a term
-        known = materialise(found if known is None else known.unionByName(found))
-        if share < 1:
-            # full by the first tokens alone: what later ones would add comes after the budget
-            head = upto(share).join(known, "term").groupBy("qid").agg(F.collect_set("neighbour").alias("more"))
-            new = F.size(F.array_except(F.coalesce("more", F.array().cast("array<string>")), F.col("tokens")))
-            open_ones = materialise(open_ones.join(head, "qid", "left").where(new < F.size("tokens")).select("qid", "tokens"))
-            if open_ones.isEmpty():
-                break
-    return filled(known).select("qid", F.concat("tokens", F.slice("new", 1, F.size("tokens"))).alias("tokens"))
+    """(qid, tokens): each query's tokens and their neighbours, first come, up to twice the tokens. Neighbours are looked
+    up in the index, six rows a token."""
+    each = tokens.select("qid", F.posexplode("tokens").alias("pos", "term"))
+    row = F.struct("pos", "rnk", "neighbour")
+    more = each.join(index.neighbours, "term").groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("more"))
+    listed = F.coalesce(F.transform("more", lambda s: s["neighbour"]), F.array().cast("array<string>"))
+    new = F.slice(F.array_except(listed, F.col("tokens")), 1, F.size("tokens"))  # distinct, in order
+    return tokens.join(more, "qid", "left").select("qid", F.concat("tokens", new).alias("tokens"))
 
 
 def bm25_scores(tokens: DataFrame, index: Index) -> DataFrame:

@@ -51,7 +51,7 @@ def chunks_of(documents: DataFrame) -> DataFrame:
     """Enriched chunks of documents, each by itself."""
     kept = documents.where(F.length(text.strip(F.coalesce("text", F.lit("")))) > SHORT)
     titled = kept.select("doc_id", "source", F.concat(F.lit("D"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("id"), F.lit("").alias("title"), "text")
-    return enrich.quality_issues(enrich.enrich(ingest.cut(titled)))
+    return enrich.quality_issues(enrich.enrich(ingest.cut(ingest.described(titled))))
 
 
 def run(spark: SparkSession, settings: Settings) -> DataFrame:

@@ -83,14 +83,18 @@ def chunk_count() -> Column:
     return (F.lit(2) + F.ceil(F.greatest(F.length("text") - CORE, F.lit(0)) / STRIDE)).cast("long")
 
 
-def cut(standards: DataFrame) -> DataFrame:
-    """Chunks of (id, title, text, ...), numbered by k within their standard: an anchor, a core of 600 characters,
-    and windows of 1,200 characters every 800 over the rest. Further columns stay. Category and keywords are
-    computed once a standard; rows are independent, so a stream is cut as a table is."""
-    length = F.length("text")
-    others = [c for c in standards.columns if c not in ("id", "title", "text")]
+def described(standards: DataFrame) -> DataFrame:
+    """Standards with category and keys (their keywords)."""
     base = standards.withColumn("category", category_of(F.col("text")))
-    base = base.withColumn("keys", keywords_of(F.col("text"), F.col("category")))
+    return base.withColumn("keys", keywords_of(F.col("text"), F.col("category")))
+
+
+def cut(base: DataFrame) -> DataFrame:
+    """Chunks of described standards (id, title, text, category, keys, ...), numbered by k within their standard:
+    an anchor, a core of 600 characters, and windows of 1,200 characters every 800 over the rest. Further columns
+    stay. Rows are independent, so a stream is cut as a table is."""
+    length = F.length("text")
+    others = [c for c in base.columns if c not in ("id", "title", "text", "category", "keys")]
     anchor = F.concat_ws(
         " ", text.full(F.col("id")), text.full(F.col("title")), F.when(F.col("category") != "general", F.col("category")),
         text.full(F.array_join(F.slice("keys", 1, 15), " ")),
@@ -110,7 +114,7 @@ def cut(standards: DataFrame) -> DataFrame:
 
 
 def chunks(standards: DataFrame) -> DataFrame:
-    """Chunks of (std_seq, id, title, text), numbered through by doc_idx in order of std_seq. No text is
-    shuffled but for doc_idx."""
-    made = cut(running_offset(standards.select("std_seq", "id", "title", "text"), "std_seq", chunk_count()))
+    """Chunks of (std_seq, id, title, text), numbered through by doc_idx in order of std_seq. Category and keywords are
+    computed once a standard, before the shuffle that numbers them; no text is shuffled but for doc_idx."""
+    made = cut(running_offset(described(standards.select("std_seq", "id", "title", "text")), "std_seq", chunk_count()))
     return made.withColumn("doc_idx", (F.col("offset") + F.col("k")).cast("long")).select("doc_idx", *[c for c in made.columns if c not in ("std_seq", "offset", "k")])

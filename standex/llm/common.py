@@ -91,16 +91,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Texts that go to Python at once. Spark's own bound, 10,000 rows, is a hundred megabytes of ordinary documents,
-#: held once as Arrow and once as Python's objects in every worker.
-BATCH = 1_000
+#: Texts, and bytes of texts, that go to Python at once. Spark's own bound, 10,000 rows, is a hundred megabytes of
+#: ordinary documents, held once as Arrow and once as Python's objects in every worker.
+BATCH, BATCH_BYTES = 1_000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches at BATCH rows, unless they are smaller already."""
+    """Bounds the session's Arrow batches at BATCH rows and BATCH_BYTES bytes, unless they are smaller already."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH:
         spark.conf.set(name, str(BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

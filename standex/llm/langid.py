@@ -161,8 +161,8 @@ class Model:
         """Learns from all rows of (text, lang) whose lang isn't null."""
         # At most MAX_LANGUAGES x (BUCKETS + 1) cells come to the driver at once, whatever the corpus' size.
         counts = train_counts(labelled.where(F.col("lang").isNotNull()))
-        rows = _cells(counts).limit(MAX_LANGUAGES + 1).toArrow().to_pylist()
-        if len(rows) <= MAX_LANGUAGES:
+        rows = _cells(counts).limit(MAX_LANGUAGES + 1).toArrow()
+        if rows.num_rows <= MAX_LANGUAGES:
             return Model.of_cells(rows, None)
         del rows
         counts = stored(counts, "languages")
@@ -171,23 +171,25 @@ class Model:
 
         def block(k: int) -> Model:
             own = F.col("lang").between(langs[k], langs[min(k + MAX_LANGUAGES, len(langs)) - 1])  # in the order of UTF-8 as well
-            return Model.of_cells(_cells(counts.where(own)).toArrow().to_pylist(), total)
+            return Model.of_cells(_cells(counts.where(own)).toArrow(), total)
 
         first = block(0)
         first.rest = _Blocks(block, range(MAX_LANGUAGES, len(langs), MAX_LANGUAGES))
         return first
 
     @staticmethod
-    def of_cells(rows: list[dict], total: int | None) -> Model:
-        """Of the cells of some languages; total: the labelled documents of all, if these aren't all."""
-        rows.sort(key=lambda r: r["lang"].encode())
-        table = np.zeros((BUCKETS + 1, len(rows)))
-        for k, row in enumerate(rows):
-            table[row["b"], k] = row["n"]
-        seen = table[:BUCKETS] + SMOOTHING
-        matrix = np.log(seen / seen.sum(axis=0)) if rows else seen
-        prior = np.log(table[BUCKETS] / (total or table[BUCKETS].sum())) if rows else np.zeros(0)
-        return Model([r["lang"] for r in rows], matrix.astype(np.float32), prior)
+    def of_cells(rows: pa.Table, total: int | None) -> Model:
+        """Of the cells (lang, b, n) of some languages, a row and two lists each, which go from Arrow to the matrix one
+        language at a time; total: the labelled documents of all, if these aren't all."""
+        langs = rows["lang"].to_pylist()
+        order = sorted(range(len(langs)), key=lambda i: langs[i].encode())
+        matrix, count = np.zeros((BUCKETS, len(langs)), np.float32), np.zeros(len(langs))
+        for k, i in enumerate(order):
+            own = np.zeros(BUCKETS + 1)
+            own[rows["b"][i].values.to_numpy(zero_copy_only=False)] = rows["n"][i].values.to_numpy(zero_copy_only=False)
+            seen = own[:BUCKETS] + SMOOTHING
+            matrix[:, k], count[k] = np.log(seen / seen.sum()), own[BUCKETS]
+        return Model([langs[i] for i in order], matrix, np.log(count / (total or count.sum())) if langs else count)
 
     @staticmethod
     def of_any() -> Model:

@@ -12,7 +12,8 @@ stray file at most. The folder's store must be one that pyarrow opens (file, hdf
 
 deduplicated(): of records with equal payloads of at least LEAST bytes, that with the smallest id is the
 response and the others are revisits, stored without their payload. Only digests are shuffled for
-that; the pages meet the table of repeated digests, which the planner broadcasts if it is small.
+that; ids and digests
+meet the table of repeated digests, very common ones split, and only payloads that refer to another are shuffled.
 
 Defined results: a null html is an empty payload. A record is held whole, however long; its archive is not, nor
 is its sidecar. Archives that end inside a member or a record, or whose payloads aren't what their headers say,
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, stored
+from .common import NULL_ID, facts_of, materialise, only_of, split_join, stored
 
 LEAST = 100
 #: Bytes of records after which a task begins a new archive.
@@ -281,12 +282,12 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def deduplicated(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, uri, payload, refers_to) of (page_id, url, html)."""
     payload = F.coalesce("html", F.lit(""))
-    digests = pages.where(F.octet_length(payload) >= least).select("page_id", F.sha2(payload.cast("binary"), 256).alias("_sx_digest"))
-    first = digests.groupBy("_sx_digest").agg(F.min("page_id").alias("_sx_first"), F.count("*").alias("n"))
-    repeated = stored(first.where("n > 1 and _sx_first is not null").select("_sx_digest", "_sx_first"), "repeated")
-    keyed = pages.select("page_id", F.col("url").alias("uri"), payload.alias("payload")).withColumn(
-        "_sx_digest", F.when(F.octet_length("payload") >= least, F.sha2(F.col("payload").cast("binary"), 256))
-    )
-    joined = keyed.join(repeated, "_sx_digest", "left")
-    refers = F.when(~F.col("page_id").eqNullSafe(F.col("_sx_first")), F.col("_sx_first"))
-    return joined.select("page_id", "uri", "payload", refers.alias("refers_to"))
+    digest = F.when(F.octet_length(payload) >= least, F.sha2(payload.cast("binary"), 256))
+    keyed = pages.select("page_id", F.col("url").alias("uri"), payload.alias("payload"), F.coalesce("page_id", F.lit(NULL_ID)).alias("_sx_id"), digest.alias("_sx_digest"))
+    digests = keyed.where("_sx_digest is not null").select("page_id", "_sx_id", "_sx_digest")
+    first = digests.groupBy("_sx_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n"))
+    repeated = stored(first.where("n > 1 and refers_to is not null").select("_sx_digest", "refers_to"), "repeated")
+    # who refers to whom is settled without the payloads; then only those of pages that refer to another move
+    again = split_join(only_of(digests, repeated, "_sx_digest"), repeated, "_sx_digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    again = stored(again.select("_sx_id", "_sx_digest", "refers_to").distinct(), "again")
+    return facts_of(keyed, again, "_sx_id", "_sx_digest").select("page_id", "uri", "payload", "refers_to")

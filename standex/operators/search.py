@@ -1,19 +1,16 @@
 """Hybrid search of a whole set of queries in one job.
 
-Queries are frames of (qid, query, ...). Dense search broadcasts query vectors in blocks of at most
-BOUND rows, each of which reads the documents' vectors once; everything else joins queries as the
-planner sees fit. Ranks and scores are (qid, doc_idx, ...) rows; texts don't travel through the
+Queries are frames of (qid, query, ...). Dense search broadcasts up to BOUND bytes of query vectors, and deals more out
+to a grid of blocks of queries and documents; everything else joins queries as the planner sees fit. Ranks and scores are (qid, doc_idx, ...) rows; texts don't travel through the
 ranking shuffles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +19,8 @@ from .index import B, DIGITS, K1, Index, idf
 
 DENSE_K, BM25_K, RRF_K, TOP_K = 20, 20, 40, 20
 SEMANTIC, LEXICAL = 1.5, 1.0
-#: Query rows that are broadcast at once.
-BOUND = 100_000
+#: Bytes of query vectors that are broadcast, or held by a cell of the grid.
+BOUND = 64 << 20
 
 
 def query_tokens(queries: DataFrame) -> DataFrame:
@@ -31,73 +28,116 @@ def query_tokens(queries: DataFrame) -> DataFrame:
     return queries.select("qid", text.tokenize(F.col("query")).alias("tokens"))
 
 
-def query_blocks(query_vectors: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """(qids, matrix) of at most BOUND rows each. A larger set streams through the driver, a partition at a time."""
-    rows = query_vectors.select("qid", "embedding")
-    head = rows.limit(BOUND + 1).toArrow().to_pydict()
-    if len(head["qid"]) <= BOUND:
-        if head["qid"]:
-            yield head["qid"], np.asarray(head["embedding"], np.float64)
-        return
-    del head
-    names, vectors = [], []
-    for qid, vector in rows.toLocalIterator():
-        names.append(qid)
-        vectors.append(np.asarray(vector, np.float64))
-        if len(names) == BOUND:
-            yield names, np.stack(vectors)
-            names, vectors = [], []
-    if names:
-        yield names, np.stack(vectors)
+class Best:
+    """The k best documents of each query, as documents come. Ties go to the smaller number."""
+
+    def __init__(self, names: list, q: np.ndarray, k: int) -> None:
+        self.names, self.q, self.k = names, q, k
+        self.tops: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
+        self.least = np.full(len(q), -np.inf)  # each query's k-th best so far
+
+    def add(self, docs: np.ndarray, x: np.ndarray) -> None:
+        k = self.k
+        for s in range(0, len(self.q), 1024):
+            sims = np.round(x @ self.q[s : s + 1024].T, 9)
+            floor = self.least[s : s + 1024]
+            if len(docs) > k:  # below a batch's own k-th best nothing counts; ties with it do
+                floor = np.maximum(floor, np.partition(sims, len(docs) - k, axis=0)[len(docs) - k])
+            hit = sims >= floor
+            for j in np.flatnonzero(hit.any(axis=0)):
+                new = hit[:, j]
+                sim, doc = np.r_[self.tops[s + j][0], sims[new, j]], np.r_[self.tops[s + j][1], docs[new]]
+                keep = np.lexsort((doc, -sim))[:k]
+                self.tops[s + j] = (sim[keep], doc[keep])
+                if len(keep) == k:
+                    self.least[s + j] = sim[keep[-1]]
+
+    def rows(self, names: pa.DataType) -> Iterator[pa.RecordBatch]:
+        """(qid, doc_idx, sim)."""
+        for s in range(0, len(self.q), 1024):
+            n = [len(doc) for _, doc in self.tops[s : s + 1024]]
+            of = [name for name, m in zip(self.names[s : s + 1024], n, strict=True) for _ in range(m)]
+            sim, doc = (np.concatenate(c) for c in zip(*self.tops[s : s + 1024], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(of, names), pa.array(doc, pa.int64()), pa.array(sim)], ["qid", "doc_idx", "sim"])
+
+
+def _matrix(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
 def dense_ranks(vectors: DataFrame, query_vectors: DataFrame, k: int = DENSE_K) -> DataFrame:
     """(qid, doc_idx, sim, rank): exact inner products of (doc_idx, embedding) with (qid, embedding).
 
-    The queries' matrix goes to every task, at most BOUND rows of it at once, and is worked on in
-    blocks of 1,024; a task multiplies batch by batch and keeps its k best for each query, so what is
-    shuffled is k rows a query and task. Similarities are rounded to 9 digits, ties go to the smaller doc_idx."""
-    kind = query_vectors.schema["qid"].dataType.simpleString()
-    context = vectors.sparkSession.sparkContext
-    parts = [_block_best(vectors, context.broadcast(block), kind, k) for block in query_blocks(query_vectors)]
-    if not parts:
+    A task multiplies batch by batch and keeps its k best for each query, so what goes on is k rows a query
+    and task. Queries of up to BOUND bytes are broadcast as one matrix; more meet the documents in a grid. Similarities
+    are rounded to 9 digits, ties go to the smaller doc_idx."""
+    asked = query_vectors.select("qid", "embedding")
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(8 * F.size("embedding").cast("long")), F.lit(0)).alias("bytes")).first()
+    if not size["n"]:
+        kind = query_vectors.schema["qid"].dataType.simpleString()
         return vectors.sparkSession.createDataFrame([], f"qid {kind}, doc_idx long, sim double, rank int")
+    best = _broadcast_best(vectors, asked, k) if size["bytes"] <= BOUND else _grid_best(vectors, asked, k, -(-size["bytes"] // BOUND))
     order = Window.partitionBy("qid").orderBy(F.desc("sim"), "doc_idx")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _block_best(vectors: DataFrame, shipped: Broadcast, kind: str, k: int) -> DataFrame:
-    """(qid, doc_idx, sim): of each task, the k best for each query of one block."""
+def _broadcast_best(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_idx, sim): of each task, the k best for each query."""
+    kind = asked.schema["qid"].dataType
+    head = asked.toArrow().combine_chunks()
+    names, q = head["qid"].to_pylist(), _matrix(head["embedding"].combine_chunks(), head.num_rows)
+    shipped, arrow = vectors.sparkSession.sparkContext.broadcast((names, q)), head.schema.field("qid").type
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = shipped.value
-        tops: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(q)
-        least = np.full(len(q), -np.inf)  # each query's k-th best so far
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(*shipped.value, k)
+        for batch in batches:
+            if batch.num_rows:
+                best.add(np.asarray(batch.column(0)), _matrix(batch.column(1), batch.num_rows))
+        yield from best.rows(arrow)
+
+    return vectors.select("doc_idx", "embedding").mapInArrow(run, f"qid {kind.simpleString()}, doc_idx long, sim double")
+
+
+def _grid_best(vectors: DataFrame, asked: DataFrame, k: int, blocks: int) -> DataFrame:
+    """The same for any number of queries. Both sides are dealt out by hash, queries to `blocks` blocks of about BOUND bytes,
+    documents to as many as there are shuffle partitions a block; a row goes to each cell of its row or column of
+    the grid, and in a cell the queries come first and the documents are streamed past them."""
+    spark = vectors.sparkSession
+    kind = asked.schema["qid"].dataType.simpleString()
+    columns = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks) + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    embedding = F.col("embedding").cast("array<double>").alias("embedding")
+    q = asked.select(F.pmod(F.xxhash64("qid", "embedding"), F.lit(blocks)).cast("int").alias("i"), every(columns).alias("j"), "qid", F.lit(None).cast("long").alias("doc_idx"), embedding)
+    d = vectors.select(every(blocks).alias("i"), F.pmod(F.xxhash64("doc_idx"), F.lit(columns)).cast("int").alias("j"), F.lit(None).cast(kind).alias("qid"), F.col("doc_idx").cast("long").alias("doc_idx"), embedding)
+    cells = q.withColumn("side", F.lit(0)).unionByName(d.withColumn("side", F.lit(1)))
+    cells = cells.repartition(blocks * columns, "i", "j").sortWithinPartitions("i", "j", "side").select("i", "j", "side", "qid", "doc_idx", "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, names, held, best, arrow = None, [], [], None, None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            docs = np.asarray(batch.column(0))
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            x = flat.reshape(len(docs), -1)
-            for s in range(0, len(q), 1024):
-                sims = np.round(x @ q[s : s + 1024].T, 9)
-                if len(docs) > k:  # below a batch's own k-th best nothing counts; ties with it do
-                    floor = np.maximum(least[s : s + 1024], np.partition(sims, len(docs) - k, axis=0)[len(docs) - k])
-                else:
-                    floor = least[s : s + 1024]
-                hit = sims >= floor
-                for j in np.flatnonzero(hit.any(axis=0)):
-                    new = hit[:, j]
-                    sim, doc = np.r_[tops[s + j][0], sims[new, j]], np.r_[tops[s + j][1], docs[new]]
-                    keep = np.lexsort((doc, -sim))[:k]
-                    tops[s + j] = (sim[keep], doc[keep])
-                    if len(keep) == k:
-                        least[s + j] = sim[keep[-1]]
-        for name, (sim, doc) in zip(names, tops, strict=True):
-            if len(doc):
-                yield pa.RecordBatch.from_pydict({"qid": [name] * len(doc), "doc_idx": doc, "sim": sim})
-
-    return vectors.select("doc_idx", "embedding").mapInArrow(best, f"qid {kind}, doc_idx long, sim double")
+            arrow = batch.schema.field("qid").type
+            # stretches of one cell and side
+            key = np.column_stack([np.asarray(batch.column(c)) for c in range(3)])
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1 if len(key) else []
+            for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if a == b:
+                    continue
+                if tuple(key[a, :2]) != cell:
+                    if best is not None:
+                        yield from best.rows(arrow)
+                    cell, names, held, best = tuple(key[a, :2]), [], [], None
+                part = batch.slice(a, b - a)
+                x = _matrix(part.column(5), b - a)
+                if not key[a, 2]:
+                    names += part.column(3).to_pylist()
+                    held.append(x)
+                elif names:
+                    best = best or Best(names, np.concatenate(held), k)
+                    best.add(np.asarray(part.column(4)), x)
+        if best is not None:
+            yield from best.rows(arrow)
+
+    return cells.mapInArrow(run, f"qid {kind}, doc_idx long, sim double")
 
 
 def expand_tokens(tokens: DataFrame, index: Index) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..functions import lexicons as lex
+from ..sources.shared import stored
+from . import ordinals
 
 CORE, WINDOW, STRIDE = 600, 1200, 800
 #: Rows of one block of a running sum.
@@ -35,12 +37,18 @@ def running_offset(df: DataFrame, key: str, value: Column) -> DataFrame:
 def segment(lines: DataFrame) -> DataFrame:
     """Standards of (src_id, page_no, line_no, line): (src_id, seg, id, title, text).
 
-    Each line that mentions an identifier begins a standard; lines before the first are dropped, as
-    are standards of 20 characters or fewer. One source's lines are one window partition."""
-    order = Window.partitionBy("src_id").orderBy("page_no", "line_no")
-    numbered = lines.withColumn("is_start", F.col("line").rlike(ids.LINE_ID)).withColumn(
-        "seg", F.sum(F.col("is_start").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    Each line that mentions an identifier begins a standard; lines before a source's first are dropped, as
+    are standards of 20 characters or fewer. A segmented scan: the lines are dealt out by ranges of (source, page, line) and
+    written once, so a source may lie in any number of ranges; each range counts the standards that begin in it, and
+    what begins in a source's earlier ranges is carried over. Only a standard's own lines meet in one row."""
+    marked = lines.select("src_id", "page_no", "line_no", "line", F.col("line").rlike(ids.LINE_ID).cast("int").alias("is_start"))
+    dealt = stored(marked.repartitionByRange("src_id", "page_no", "line_no").withColumn("range", F.spark_partition_id()), "lines")
+    counts = dealt.groupBy("src_id", "range").agg(F.sum("is_start").alias("n"))  # a row for each range of a source
+    before = Window.partitionBy("src_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counts.select(F.col("src_id").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("carried"))
+    own = Window.partitionBy("src_id", "range").orderBy("page_no", "line_no").rowsBetween(Window.unboundedPreceding, 0)
+    joined = dealt.join(carried, (F.col("range") == F.col("at")) & F.col("src_id").eqNullSafe(F.col("of")))
+    numbered = joined.withColumn("seg", F.col("carried") + F.sum("is_start").over(own))
     row = F.struct("page_no", "line_no", "line")
     made = numbered.where("seg > 0").groupBy("src_id", "seg").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     first = F.element_at("rows", 1)["line"]
@@ -52,13 +60,10 @@ def segment(lines: DataFrame) -> DataFrame:
 
 
 def number_standards(standards: DataFrame) -> DataFrame:
-    """standards with std_seq: 0, 1, ... in order of (src_id, seg)."""
-    order = Window.orderBy("src_id")
-    counts = standards.groupBy("src_id").agg(F.count("*").alias("n"))
-    src = counts.withColumn("start", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-    within = Window.partitionBy("src_id").orderBy("seg")
-    ranked = standards.withColumn("k", F.row_number().over(within) - 1).join(src.select("src_id", "start"), "src_id")
-    return ranked.select((F.col("start") + F.col("k")).cast("long").alias("std_seq"), "id", "title", "text")
+    """standards with std_seq: 0, 1, ... in order of (src_id, seg). The keys alone are sorted."""
+    keys = ordinals.numbered(standards.select(F.col("src_id").alias("of"), F.col("seg").alias("at")), ["of", "at"], "std_seq")
+    joined = standards.join(keys, F.col("src_id").eqNullSafe(F.col("of")) & (F.col("seg") == F.col("at")))
+    return joined.select(F.col("std_seq").cast("long").alias("std_seq"), "id", "title", "text")
 
 
 def category_of(x: Column) -> Column:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..functions import lexicons as lex
-from ..operators import client, enrich, evaluate, ingest, rank, rationale, reports
+from ..operators import client, enrich, evaluate, ingest, rank, rationale, reports, search
 from . import data
 from . import sqlgen as g
 from .registry import query
-from .search_queries import DOMAIN_Q, DOMAIN_QV, HYBRID, SPELLED, SPELLINGS, domain_index, domain_vectors
+from .search_queries import ASKED, BENCHMARK_Q, DOMAIN_Q, DOMAIN_QV, HYBRID, PLAIN_TOKENS, asked, domain_index, domain_vectors, scale_index
 
 joined = lambda c: F.coalesce(F.array_join(c, "|"), F.lit(""))
 
@@ -24,9 +24,16 @@ LINES = [
     ("a", 2, 2, "IS 2185 (Part 2): 1983 Hollow blocks"), ("a", 2, 3, "dimensions of lightweight blocks"), ("b", 1, 0, "nothing here"), ("b", 1, 1, "is 455-1989: slag cement"),
     ("b", 1, 2, "composition and manufacture"),
 ]
+#: And the lines of documents, of which some get an identifier in front.
+DOCUMENT_LINES = (
+    "SELECT 'd' || CAST(doc_id AS STRING) AS src_id, CAST(floor(k / 4) AS INT) AS page_no, CAST(k AS INT) AS line_no, CASE WHEN (doc_id + k) % 5 = 1 THEN 'IS ' || CAST(100 + (doc_id + k) % 900 AS STRING) "
+    "|| CASE WHEN (doc_id + k) % 2 = 0 THEN ' (Part 2): 1983 - ' ELSE ' ' END || line WHEN (doc_id + k) % 11 = 3 THEN ' is  ' || CAST(doc_id % 1000 AS STRING) || '-1975 : ' || line ELSE line END AS raw FROM pieces"
+)
 LINE_ID = r"(?i)(IS\s+\d{1,5}(?:\s*\(Part\s+\d+\))?(?:\s*\(Sec\s+\d+\))?\s*[:\-]?\s*\d{4}|IS\s+\d{1,5})"
 SEGMENTS = f"""
-{data.values('l0', 'src_id, page_no, line_no, raw', LINES)},
+{data.values('l1', 'src_id, page_no, line_no, raw', LINES)},
+pieces AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents),
+l0 AS (SELECT * FROM l1 UNION ALL {DOCUMENT_LINES}),
 l AS (SELECT src_id, page_no, line_no, {g.strip('raw')} AS line FROM l0 WHERE {g.strip('raw')} <> ''),
 s AS (SELECT *, sum(CASE WHEN regexp_matches(line, {data.quoted(LINE_ID)}) THEN 1 ELSE 0 END) OVER (PARTITION BY src_id ORDER BY page_no, line_no) AS seg FROM l),
 m AS (SELECT src_id, seg, string_agg(line, ' ' ORDER BY page_no, line_no) AS text, arg_min(line, page_no * 1000 + line_no) AS first FROM s WHERE seg > 0 GROUP BY ALL),
@@ -37,7 +44,8 @@ SELECT src_id, seg::BIGINT AS seg, id, trim(replace(first, id, ''), ': -') AS ti
 
 @query("WITH " + SEGMENTS)
 def segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = data.literal(spark, "src_id, page_no, line_no, raw", LINES)
+    pieces = data.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    rows = data.literal(spark, "src_id, page_no, line_no, raw", LINES).unionByName(spark.sql(DOCUMENT_LINES.replace("FROM pieces", "FROM {pieces}"), pieces=pieces))
     lines = rows.select("src_id", "page_no", "line_no", text.strip(F.col("raw")).alias("line")).where("line <> ''")
     return ingest.segment(lines)
 
@@ -206,10 +214,15 @@ kept AS (SELECT * EXCLUDE (n, top, gap, cut) FROM g1 WHERE CASE WHEN n <= 3 THEN
 """
 
 
-@query(f"WITH {data.values('v', 'qid, rank, score', SCORED)}, s AS (SELECT qid, rank, score::DOUBLE AS score FROM v), {TRUNCATE.format(source='s')} SELECT qid, rank, score FROM kept")
+@query(
+    f"WITH {RANKED}, {modelled('lists')}, {data.values('v', 'qid, rank, score', SCORED)}, s AS (SELECT qid::BIGINT AS qid, rank::BIGINT AS rank, score::DOUBLE AS score FROM v "
+    f"UNION ALL SELECT qid + 1000, rank, score FROM md), {TRUNCATE.format(source='s')} SELECT qid, rank, score FROM kept"
+)
 def gap_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = data.literal(spark, "qid, rank, score", SCORED)
-    return rank.truncate(rows.select("qid", "rank", F.col("score").cast("double").alias("score")))
+    """Literal lists, and the reranked ones of the domain corpus."""
+    rows = data.literal(spark, "qid, rank, score", SCORED).select(F.col("qid").cast("long").alias("qid"), F.col("rank").cast("long").alias("rank"), F.col("score").cast("double").alias("score"))
+    found = rank.rerank(ranked(spark, sf_dir), rank.overlap_model).select((F.col("qid") + 1000).alias("qid"), F.col("rank").cast("long").alias("rank"), "score")
+    return rank.truncate(rows.unionByName(found))
 
 
 DEDUP = f"""
@@ -340,27 +353,41 @@ def dedup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RUN = f"{data.values('r0', data.RUN_COLUMNS, data.RUN)}, r AS (SELECT id, query, string_split(expected, '; ') AS e, string_split(retrieved, '; ') AS g, latency::DOUBLE AS s FROM r0)"
 _PLAIN = "list_transform({}, lambda z: lower(replace(z, ' ', '')))"
+#: The published run, and lexical search of the benchmark: relevant is a document that holds the item's text.
+RESULTS = (
+    f"{RUN}, {g.SCALE}, {g.LEXICAL}, {BENCHMARK_Q}, {PLAIN_TOKENS}, {g.bm25('qt')}, "
+    "jd AS (SELECT lex.qid, rank, doc_idx::VARCHAR AS d, contains(coalesce(documents.text, ''), q.query) AS relevant FROM lex JOIN q ON q.qid = lex.qid JOIN documents ON doc_id = doc_idx), "
+    "results AS (SELECT id, query, e, g, s FROM r UNION ALL SELECT qid::VARCHAR, NULL, coalesce(list(d ORDER BY rank) FILTER (relevant), []), list(d ORDER BY rank), NULL::DOUBLE FROM jd GROUP BY qid)"
+)
 HITS = (
-    f"{RUN}, h AS (SELECT id, s, len(list_intersect(({_PLAIN.format('g')})[1:3], {_PLAIN.format('e')})) > 0 AS hit, "
-    f"list_position(list_transform(({_PLAIN.format('g')})[1:5], lambda z: list_contains({_PLAIN.format('e')}, z)), true) AS first FROM r)"
+    f"{RESULTS}, h AS (SELECT id, coalesce(s, 0) AS s, len(list_intersect(({_PLAIN.format('g')})[1:3], {_PLAIN.format('e')})) > 0 AS hit, "
+    f"list_position(list_transform(({_PLAIN.format('g')})[1:5], lambda z: list_contains({_PLAIN.format('e')}, z)), true) AS first FROM results)"
 )
 
 
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, idx = data.scale_queries(spark, sf_dir), scale_index(spark, sf_dir)
+    found = search.bm25_ranks(queries, search.bm25_scores(search.query_tokens(queries), idx), idx.corpus)
+    docs = data.table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = evaluate.judged(found.select("qid", "rank", "doc_idx"), docs, queries.withColumnRenamed("query", "sought"))
+    return data.run_results(spark).unionByName(evaluate.as_results(judged))
+
+
 @query(f"WITH {HITS} SELECT id, hit AS hit_at_3 FROM h")
 def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.hits(data.run_results(spark)).select("id", "hit_at_3")
+    return evaluate.hits(_results(spark, sf_dir)).select("id", "hit_at_3")
 
 
 @query(f"WITH {HITS} SELECT id, round(CASE WHEN first > 0 THEN 1.0 / first ELSE 0 END, 6)::DOUBLE AS rr_at_5 FROM h")
 def mrr_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.hits(data.run_results(spark)).select("id", F.round("rr_at_5", 6).alias("rr_at_5"))
+    return evaluate.hits(_results(spark, sf_dir)).select("id", F.round("rr_at_5", 6).alias("rr_at_5"))
 
 
 @query(
     f"WITH {HITS} SELECT count(*)::BIGINT AS n_queries, round(avg(hit::INTEGER) * 100, 6) AS hit_rate_3, round(avg(CASE WHEN first > 0 THEN 1.0 / first ELSE 0 END), 6)::DOUBLE AS mrr_5, round(avg(s), 6) AS avg_latency FROM h"
 )
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = evaluate.summary(data.run_results(spark))
+    s = evaluate.summary(_results(spark, sf_dir))
     return s.select("n_queries", *[F.round(c, 6).alias(c) for c in ("hit_rate_3", "mrr_5", "avg_latency")])
 
 
@@ -379,21 +406,26 @@ def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("n", *[F.round(c, 6).alias(c) for c in ("min_s", "max_s", "mean_s", "median_s", "p95_s")], F.round("total_s", 2).alias("total_s"))
 
 
-@query(f"WITH {RUN} SELECT len(g)::INTEGER AS n_standards, count(*)::BIGINT AS n_queries, round(count(*) * 100.0 / sum(count(*)) OVER (), 6)::DOUBLE AS pct FROM r GROUP BY len(g)")
+@query(f"WITH {RESULTS} SELECT len(g)::INTEGER AS n_standards, count(*)::BIGINT AS n_queries, round(count(*) * 100.0 / sum(count(*)) OVER (), 6)::DOUBLE AS pct FROM results GROUP BY len(g)")
 def size_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.size_histogram(data.run_results(spark)).withColumn("pct", F.round(F.col("pct").cast("double"), 6))
+    return evaluate.size_histogram(_results(spark, sf_dir)).withColumn("pct", F.round(F.col("pct").cast("double"), 6))
 
 
 #: Results with faults: a repeated id, a blank standard, missing fields.
 FAULTY = [("a", "q", "IS 1: 2000", "IS 1: 2000; ", 0.12345), ("a", "q", "IS 1: 2000", "IS 2: 2000", 0.2), (None, "q", "x", "IS 3: 2001;IS 4", 0.3), ("b", None, None, None, None), ("c", "q", "e", "IS 9", 1.0)]
-FAULTY_SQL = f"{data.values('f', 'id, query, e, g, s', FAULTY)}, r AS (SELECT id, query, e, string_split(g, ';') AS g, s::DOUBLE AS s FROM f)"
+#: And faults put into what heads the domain corpus' lists: the same columns, from ranked rows.
+FAULTS = (
+    "SELECT CASE WHEN qid % 7 = 3 THEN NULL ELSE 'p' || CAST(CAST(floor(qid / 3) AS BIGINT) AS STRING) END AS id, CASE WHEN qid % 5 = 2 THEN NULL ELSE query END AS query, CASE WHEN qid % 11 = 4 THEN NULL ELSE id END AS e, "
+    "CASE WHEN qid % 6 = 1 THEN NULL WHEN qid % 6 = 2 THEN id || ';' WHEN qid % 6 = 3 THEN ' ;' || id || ';  ;x' ELSE id || ';' || title END AS g, "
+    "CASE WHEN qid % 4 = 1 THEN NULL ELSE CAST(qid * 0.1234567 AS DOUBLE) END AS s FROM lists WHERE rank = 1"
+)
+FAULTY_SQL = f"{RANKED}, {data.values('f0', 'id, query, e, g, s', FAULTY)}, f AS (SELECT id, query, e, g, s::DOUBLE AS s FROM f0 UNION ALL {FAULTS}), r AS (SELECT id, query, e, string_split(g, ';') AS g, s FROM f)"
 
 
-def _faulty(spark: SparkSession) -> DataFrame:
-    rows = data.literal(spark, "id, query, e, g, s", FAULTY)
-    return rows.select(
-        "id", "query", F.split("e", ";").alias("expected_standards"), F.split("g", ";").alias("retrieved_standards"), F.col("s").cast("double").alias("latency_seconds"),
-    )
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = data.literal(spark, "id, query, e, g, s", FAULTY).withColumn("s", F.col("s").cast("double"))
+    rows = rows.unionByName(spark.sql(FAULTS.replace("FROM lists", "FROM {lists}"), lists=ranked(spark, sf_dir)))
+    return rows.select("id", "query", F.split("e", ";").alias("expected_standards"), F.split("g", ";").alias("retrieved_standards"), F.col("s").alias("latency_seconds"))
 
 
 @query(
@@ -404,14 +436,14 @@ def _faulty(spark: SparkSession) -> DataFrame:
     "SELECT id, 'Duplicate query ID' FROM (SELECT id, row_number() OVER (PARTITION BY id) AS k FROM r WHERE id IS NOT NULL) WHERE k > 1"
 )
 def validate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.validation_issues(_faulty(spark))
+    return evaluate.validation_issues(_faulty(spark, sf_dir))
 
 
 @query(
     f"WITH {FAULTY_SQL} SELECT coalesce(id, 'unknown') AS id, coalesce(query, '') AS query, {g.join('list_filter(g, lambda z: trim(z) <> chr(0) AND length(trim(z)) > 0)')} AS retrieved, round_even(s, 4) AS latency_seconds FROM r"
 )
 def clean_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.clean_results(_faulty(spark)).select("id", "query", joined("retrieved_standards").alias("retrieved"), "latency_seconds")
+    return evaluate.clean_results(_faulty(spark, sf_dir)).select("id", "query", joined("retrieved_standards").alias("retrieved"), "latency_seconds")
 
 
 @query(f"WITH {RULED}, f AS (SELECT qid, list(id ORDER BY rank) AS i FROM sc GROUP BY qid) SELECT qid, len(list_filter(i, lambda z: NOT {g.valid('z')})) = 0 AS all_valid, {g.join(f'list_filter(i, lambda z: NOT {g.valid("z")})')} AS invalid FROM f")
@@ -435,27 +467,24 @@ def benchmark_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- rationales --------------------------------------------------------------------------------
 
-QUERIES_9 = data.values("q", "qid, query", [*SPELLINGS, *[(100 + i, q) for i, q in data.PUBLIC]])
-
-
 def _signals(low: str) -> str:
     sums = {c: " + ".join(f"CASE WHEN contains({low}, {data.quoted(p)}) THEN {w} ELSE 0 END" for p, w in s) for c, s in lex.CATEGORY_SIGNALS.items()}
     best = f"greatest({', '.join(f'({s})' for s in sums.values())})"
     return f"CASE WHEN {best} < 2 THEN NULL " + " ".join(f"WHEN ({s}) = {best} THEN {data.quoted(c)}" for c, s in sums.items()) + " END"
 
 
-@query(f"WITH {QUERIES_9}, n AS (SELECT qid, {g.normal_query('query')} AS n FROM q) SELECT qid, {_signals('n')} AS category FROM n")
+@query(f"WITH {ASKED}, n AS (SELECT qid, {g.normal_query('query')} AS n FROM q) SELECT qid, {_signals('n')} AS category FROM n")
 def signal_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = data.literal(spark, "qid, query", [*SPELLINGS, *[(100 + i, q) for i, q in data.PUBLIC]])
+    rows = asked(spark, sf_dir)
     return rows.select("qid", text.query_category(F.col("query")).alias("category"))
 
 
 _HINTS = g.phrases({p: ";".join(i) for p, i in lex.DOMAIN_HINTS.items()}, "n")
 
 
-@query(f"WITH {QUERIES_9}, n AS (SELECT qid, {g.normal_query('query')} AS n FROM q), h AS (SELECT qid, flatten(list_transform({_HINTS}, lambda z: string_split(z, ';'))) AS h FROM n) SELECT qid, {g.join(g.once('h'))} AS hints, '' AS hints_off FROM h")
+@query(f"WITH {ASKED}, n AS (SELECT qid, {g.normal_query('query')} AS n FROM q), h AS (SELECT qid, flatten(list_transform({_HINTS}, lambda z: string_split(z, ';'))) AS h FROM n) SELECT qid, {g.join(g.once('h'))} AS hints, '' AS hints_off FROM h")
 def domain_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = data.literal(spark, "qid, query", [*SPELLINGS, *[(100 + i, q) for i, q in data.PUBLIC]])
+    rows = asked(spark, sf_dir)
     q = F.col("query")
     return rows.select("qid", joined(text.domain_hints(q, True)).alias("hints"), joined(text.domain_hints(q)).alias("hints_off"))
 
@@ -471,9 +500,9 @@ _TERMS = f"(list_filter({g.once(g.words('lower(query)'))}, lambda z: length(z) >
     "|| ' Matches your query on: ' || CASE WHEN len(m) > 0 THEN array_to_string(m, ', ') ELSE 'related specifications' END || '.' AS rationale, round(greatest(0.95 - (rank - 1) * 0.1, 0.3), 3)::DOUBLE AS confidence FROM s"
 )
 def template_rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = data.public_queries(spark).withColumnRenamed("qid", "q")
+    canned = data.public_queries(spark).withColumnRenamed("qid", "q")
     rows = ranked(spark, sf_dir).drop("query")
-    return rationale.rationales(rows.join(F.broadcast(asked), F.col("qid") % 10 == F.col("q")))
+    return rationale.rationales(rows.join(F.broadcast(canned), F.col("qid") % 10 == F.col("q")))
 
 
 #: Replies of a model: fenced, bare, with an unknown and a missing standard, broken, an object, none.
@@ -503,7 +532,7 @@ def llm_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 CANNED = data.values("c0", "ord, id, query, k, e, r, latency, category", [(i, a, q, "; ".join(k), "; ".join(e), "; ".join(r), t, c) for i, (a, q, k, e, r, t, c) in enumerate(lex.CANNED)])
 CANNED_SQL = f"{CANNED}, canned AS (SELECT ord, id, query, string_split(k, '; ') AS keywords, string_split(e, '; ') AS expected, string_split(r, '; ') AS retrieved, latency::DOUBLE AS latency, category FROM c0)"
 MATCH = f"""
-{QUERIES_9}, {CANNED_SQL},
+{ASKED}, {CANNED_SQL},
 sc AS (
   SELECT q.qid, c.id, c.ord, coalesce(list_sum(list_transform(list_filter(c.keywords, lambda z: contains(lower(q.query), lower(z))), lambda z: 2 * len(string_split(z, ' ')))), 0)
     + len(list_filter(regexp_split_to_array(lower(c.query), '\\s+'), lambda z: length(z) > 4 AND list_contains(regexp_split_to_array(lower(q.query), '\\s+'), z))) AS score
@@ -512,27 +541,42 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s
 """
 
 
-def _asked(spark: SparkSession) -> DataFrame:
-    return data.literal(spark, "qid, query", [*SPELLINGS, *[(100 + i, q) for i, q in data.PUBLIC]])
-
-
 @query(f"WITH {MATCH} SELECT qid, CASE WHEN score >= 3 THEN id END AS matched_id, score::INTEGER AS score FROM best")
 def match_canned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return client.match(_asked(spark), client.canned(spark))
+    return client.match(asked(spark, sf_dir), client.canned(spark))
+
+
+#: Datasets to show: the canned ones, and the domain corpus' lists.
+KNOWN = (
+    f"{CANNED_SQL}, {RANKED}, by_list AS (SELECT qid, list(id ORDER BY rank) AS ids, list(category ORDER BY rank)[1] AS category, list(keywords ORDER BY rank)[1] AS keywords, any_value(query) AS query FROM lists GROUP BY qid), "
+    f"known AS (SELECT * FROM canned UNION ALL SELECT (1000 + qid)::INTEGER, 'L' || qid, query, keywords, ({g.once('ids')})[2:2], ({g.once('ids')})[1:1 + (qid % 5)::INTEGER], qid / 100.0, category FROM by_list)"
+)
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.struct("rank", "id", "category", "keywords")
+    lists = ranked(spark, sf_dir).groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("r"), F.first("query").alias("query"))
+    names = F.array_distinct(F.transform("r", lambda x: x["id"]))
+    first = F.element_at("r", 1)
+    made = lists.select(
+        (F.col("qid") + 1000).cast("int").alias("ord"), F.concat(F.lit("L"), F.col("qid").cast("string")).alias("id"), "query", first["keywords"].alias("keywords"), F.slice(names, 2, 1).alias("expected"),
+        F.slice(names, F.lit(1), (F.col("qid") % 5 + 1).cast("int")).alias("retrieved"), (F.col("qid") / 100.0).alias("latency"), first["category"].alias("category"),
+    )
+    return client.canned(spark).unionByName(made)
 
 
-CATALOGUE = data.values("cat", "id, title, category, description", lex.CATALOGUE)
+CATALOGUE = data.values("shelf", "id, title, category, description", lex.CATALOGUE)
 CARDS = (
-    f"{CANNED_SQL}, {CATALOGUE}, each AS (SELECT id AS qid, keywords, expected, retrieved, unnest(retrieved) AS std_id, unnest(range(0, len(retrieved))) AS i FROM canned), "
+    f"{KNOWN}, {CATALOGUE}, each AS (SELECT id AS qid, keywords, expected, retrieved, unnest(retrieved) AS std_id, unnest(range(0, len(retrieved))) AS i FROM known), "
     f"cards AS (SELECT qid, std_id, coalesce(title, std_id) AS title, CASE WHEN list_contains(expected, std_id) THEN {data.quoted(client.PRIMARY)} ELSE '' END || coalesce(description, {data.quoted(client.UNKNOWN_TEXT)}) AS rationale, "
     "greatest(round(CASE WHEN list_contains(expected, std_id) THEN 0.97 - i * 0.04 ELSE 0.75 - i * 0.06 END, 2), 0.3)::DOUBLE AS confidence, (i + 1)::INTEGER AS rank, coalesce(category, 'general') AS category, "
-    "list_contains(expected, std_id) AS is_primary, list_filter(retrieved, lambda z: z <> std_id) AS related, keywords[1:4] AS kw FROM each LEFT JOIN cat ON cat.id = std_id)"
+    "list_contains(expected, std_id) AS is_primary, list_filter(retrieved, lambda z: z <> std_id) AS related, keywords[1:4] AS kw FROM each LEFT JOIN shelf ON shelf.id = std_id)"
 )
 
 
 @query(f"WITH {CARDS} SELECT qid, std_id, title, rationale, confidence, rank, category, is_primary, {g.join('related')} AS related, {g.join('kw')} AS matched FROM cards")
 def result_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cards = client.cards(client.canned(spark), client.catalogue(spark))
+    cards = client.cards(_known(spark, sf_dir), client.catalogue(spark))
     return cards.select(*[c for c in cards.columns if not c.endswith(("standards", "keywords"))], joined("related_standards").alias("related"), joined("matched_keywords").alias("matched"))
 
 
@@ -542,7 +586,7 @@ def result_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     "coalesce(category, 'general') AS detected_category, CASE WHEN id IS NULL THEN 20 ELSE 25 END AS candidates_retrieved, 10 AS candidates_reranked, CASE WHEN id IS NULL THEN 4 ELSE len(retrieved)::INTEGER END AS candidates_output, id AS matched_dataset_id, expected[1] AS primary_standard FROM m"
 )
 def answer_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return client.answer_meta(_asked(spark), client.canned(spark))
+    return client.answer_meta(asked(spark, sf_dir), client.canned(spark))
 
 
 FALLBACK_CARDS = data.values("fb", "std_id, title, rationale, confidence, rank, category, is_primary", [tuple(str(v).lower() if isinstance(v, bool) else v for v in c[:7]) for c in client.FALLBACK_CARDS])
@@ -554,12 +598,12 @@ FALLBACK_CARDS = data.values("fb", "std_id, title, rationale, confidence, rank,
     "SELECT asked, std_id, title, rationale, confidence::DOUBLE, rank::INTEGER, category, is_primary = 'true' FROM m, fb WHERE mid IS NULL"
 )
 def answer_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = client.answer_cards(_asked(spark), client.canned(spark), client.catalogue(spark))
+    found = client.answer_cards(asked(spark, sf_dir), client.canned(spark), client.catalogue(spark))
     return found.drop("related_standards", "matched_keywords")
 
 
-def _placed(spark: SparkSession) -> DataFrame:
-    cards = client.cards(client.canned(spark), client.catalogue(spark))
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cards = client.cards(_known(spark, sf_dir), client.catalogue(spark))
     return cards.select("qid", "rank", F.col("std_id").alias("id"), "title", "related_standards")
 
 
@@ -570,7 +614,7 @@ def _placed(spark: SparkSession) -> DataFrame:
     "SELECT qid, std_id || '-' || rel, rel, round(150 + 150 * cos(angle + CASE WHEN j = 0 THEN 0.4 ELSE -0.4 END), 6), round(150 + 150 * sin(angle + CASE WHEN j = 0 THEN 0.4 ELSE -0.4 END), 6), 'secondary', 18 FROM n"
 )
 def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = client.graph(_placed(spark))[0]
+    nodes = client.graph(_placed(spark, sf_dir))[0]
     return nodes.select("qid", "id", "label", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "type", "radius")
 
 
@@ -578,7 +622,7 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {CARDS}, n AS (SELECT qid, std_id, unnest(related[1:2]) AS rel FROM cards) SELECT qid, 'query' AS source, std_id AS target FROM cards UNION ALL SELECT qid, std_id, std_id || '-' || rel FROM n"
 )
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = client.graph(_placed(spark))
+    nodes, edges = client.graph(_placed(spark, sf_dir))
     return client.resolved_edges(nodes, edges).select("qid", "source", "target")
 
 
@@ -594,31 +638,31 @@ _RAW_TERMS = f"list_filter(regexp_split_to_array(regexp_replace(query, '[^\\w\\s
 
 
 @query(
-    f"WITH {QUERIES_9}, t AS (SELECT qid, query, {_RAW_TERMS} AS w FROM q), l AS (SELECT *, list_transform(w, lambda z: lower(z)) AS lw FROM t) "
+    f"WITH {ASKED}, t AS (SELECT qid, query, {_RAW_TERMS} AS w FROM q), l AS (SELECT *, list_transform(w, lambda z: lower(z)) AS lw FROM t) "
     "SELECT qid, coalesce(array_to_string(list_filter(w, lambda z, j: list_position(lw, lower(z)) = j), '|'), '') AS terms, "
     "coalesce(nullif(regexp_extract(trim(query), '(?s)^(.*?[.!?])\\s', 1), ''), trim(query)) AS first_sentence, trim(regexp_replace(lower(query), '[^a-z0-9 ]', '', 'g')) AS plain, "
     "coalesce(nullif(regexp_replace(regexp_replace(substr(trim(query), 1, 48), '[^a-zA-Z0-9-_ ]', '', 'g'), '\\s+', '_', 'g'), ''), 'BIS_Export') AS file_part FROM l"
 )
 def client_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.col("query")
-    return _asked(spark).select(
+    return asked(spark, sf_dir).select(
         "qid", joined(text.expanded_terms(q)).alias("terms"), text.first_sentence(q).alias("first_sentence"), text.plain_query(q).alias("plain"), text.safe_file_part(q).alias("file_part"),
     )
 
 
 @query(
     f"WITH {CARDS} SELECT qid, rank, CASE WHEN rank = 1 THEN 'high' WHEN rank <= 3 THEN 'medium' ELSE 'low' END AS tone, least(greatest(confidence * 2 - 0.5, 0), 1)::DOUBLE AS clamped, "
-    "array_to_string(related[1:2], ' · ') || CASE WHEN len(related) > 2 THEN '  +' || (len(related) - 2) ELSE '' END AS preview, greatest(len(related) - 3, 0)::INTEGER AS more FROM cards"
+    "CASE WHEN len(related) > 0 THEN array_to_string(related[1:2], ' · ') || CASE WHEN len(related) > 2 THEN '  +' || (len(related) - 2) ELSE '' END END AS preview, greatest(len(related) - 3, 0)::INTEGER AS more FROM cards"
 )
 def card_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = client.cards(client.canned(spark), client.catalogue(spark))
+    c = client.cards(_known(spark, sf_dir), client.catalogue(spark))
     more = text.take_with_more(F.col("related_standards"), 3)["more"]
     return c.select("qid", "rank", text.tone(F.col("rank")).alias("tone"), text.clamp01(F.col("confidence") * 2 - 0.5).alias("clamped"), text.preview(F.col("related_standards")).alias("preview"), more.alias("more"))
 
 
-@query(f"WITH {SPELLED}, {data.values('k', 'a, b', list(lex.LEGACY_SYNONYMS.items()))} SELECT qid, lower(query) || coalesce((SELECT string_agg(' ' || b, '' ORDER BY rowid) FROM (SELECT a, b, row_number() OVER () AS rowid FROM k) WHERE contains(lower(q.query), a)), '') AS expanded FROM q")
+@query(f"WITH {ASKED}, {data.values('k', 'a, b', list(lex.LEGACY_SYNONYMS.items()))} SELECT qid, lower(query) || coalesce((SELECT string_agg(' ' || b, '' ORDER BY rowid) FROM (SELECT a, b, row_number() OVER () AS rowid FROM k) WHERE contains(lower(q.query), a)), '') AS expanded FROM q")
 def legacy_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data.literal(spark, "qid, query", SPELLINGS).select("qid", text.legacy_expand(F.col("query")).alias("expanded"))
+    return asked(spark, sf_dir).select("qid", text.legacy_expand(F.col("query")).alias("expanded"))
 
 
 @query(f"WITH {g.RAW} SELECT std_seq, {g.group('id', r'(?i)IS\s*(\d+)')} AS number, {g.part_of('text', r'(?i)part\s*(\d+)')} AS part_in_text, try_cast({g.group('text', r'\b(19\d{2}|20\d{2})\b')} AS INTEGER) AS year FROM raw")

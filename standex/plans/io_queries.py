@@ -11,7 +11,7 @@ from ..sources import io
 from ..sources.shared import shared_folder
 from . import data
 from . import sqlgen as g
-from .domain_queries import RUN, joined
+from .domain_queries import FAULTY_SQL, _faulty, joined
 from .registry import query
 
 
@@ -25,11 +25,11 @@ def chunk_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_idx", "id", F.md5("text").alias("text_md5"), "category", joined("keywords").alias("keywords"), joined("related_standards").alias("related"), "is_test_method")
 
 
-@query(f"WITH {RUN} SELECT id, query, {g.join('e')} AS expected, {g.join('g')} AS retrieved, s AS latency_seconds FROM r")
+@query(f"WITH {FAULTY_SQL} SELECT id, query, {g.join('e')} AS expected, {g.join('g')} AS retrieved, s AS latency_seconds FROM (SELECT id, query, string_split(e, ';') AS e, string_split(g, ';') AS g, s FROM f)")
 def result_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written as JSON lines and read with their schema."""
     uri = shared_folder(spark, "results")
-    io.write(data.run_results(spark), uri, "json")
+    io.write(_faulty(spark, sf_dir), uri, "json")
     back = io.read_results(spark, uri)
     return back.select("id", "query", joined("expected_standards").alias("expected"), joined("retrieved_standards").alias("retrieved"), "latency_seconds")
 

@@ -25,7 +25,20 @@ ID_TEXTS = [
     (7, "IS 1489 (Part 9)"), (8, "IS 99999"), (9, "no identifier"), (10, ""), (11, " is 383-1970 "), (12, "IS 2185 (Part 1) (Sec 2): 1979"),
     (13, "IS 4031 (Part 1)"), (14, "See IS 269 and IS 455 (Part 2): 1989; IS 269"), (15, "IS 1237 superseded by IS 13801: 2013"), (16, "this 45 and IS456"),
 ]
-SPELLED, ID_ROWS = data.values("q", "qid, query", SPELLINGS), data.values("v", "i, raw", ID_TEXTS)
+ID_ROWS = data.values("v", "i, raw", ID_TEXTS)
+#: Queries that are asked: the ones above, the canned ones, and what users say in conversations, each with one of these behind it.
+_PHRASES = [*SPELLINGS, *[(100 + i, q) for i, q in data.PUBLIC]]
+_NUMBERED = data.values("phrases", "k, qid, query", [(k, *row) for k, row in enumerate(_PHRASES)])
+_ASKED = (
+    "SELECT CAST(qid AS BIGINT) AS qid, query FROM phrases UNION ALL "
+    f"SELECT CAST(1000 + c.conv_id * 1000 + c.turn AS BIGINT), c.text || ' ' || p.query FROM conversations c JOIN phrases p ON p.k = c.conv_id % {len(_PHRASES)} WHERE c.role = 'user'"
+)
+ASKED = f"{_NUMBERED}, q AS ({_ASKED})"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, query): the literal queries and those of the conversations."""
+    return spark.sql(f"WITH {_NUMBERED} {_ASKED.replace('FROM conversations c', 'FROM {conversations} c')}", conversations=data.table(spark, sf_dir, "conversations"))
 
 
 @query(f"WITH t AS (SELECT doc_id, {g.tokens('text')} AS w FROM documents) SELECT doc_id, len(w)::BIGINT AS n_tokens, len(list_distinct(w))::BIGINT AS n_distinct, md5({g.join('w', ' ')}) AS tokens_md5 FROM t")
@@ -37,21 +50,20 @@ def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {SPELLED} SELECT qid, {g.normal_query('query')} AS normalized FROM q")
+@query(f"WITH {ASKED} SELECT qid, {g.normal_query('query')} AS normalized FROM q")
 def normalize_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return data.literal(spark, "qid, query", SPELLINGS).select("qid", text.normalize_query(F.col("query")).alias("normalized"))
+    return asked(spark, sf_dir).select("qid", text.normalize_query(F.col("query")).alias("normalized"))
 
 
-@query(f"WITH {data.values('q', 'qid, query', [*SPELLINGS, *[(100 + i, q) for i, q in data.PUBLIC]])}, n AS (SELECT qid, {g.normal_query('query')} AS n FROM q) SELECT qid, {g.expanded('n')} AS expanded FROM n")
+@query(f"WITH {ASKED}, n AS (SELECT qid, {g.normal_query('query')} AS n FROM q) SELECT qid, {g.expanded('n')} AS expanded FROM n")
 def expand_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = data.literal(spark, "qid, query", [*SPELLINGS, *[(100 + i, q) for i, q in data.PUBLIC]])
-    return rows.select("qid", text.expand_query(F.col("query")).alias("expanded"))
+    return asked(spark, sf_dir).select("qid", text.expand_query(F.col("query")).alias("expanded"))
 
 
-@query(f"WITH {SPELLED}, n AS (SELECT qid, {g.words(g.normal_query('query'))} AS w FROM q) SELECT qid, len(w)::BIGINT AS n_words, array_to_string(({g.once('w')})[1:5 * len(w)], ' ') AS deduped FROM n")
+@query(f"WITH {ASKED}, n AS (SELECT qid, {g.words(g.normal_query('query'))} AS w FROM q) SELECT qid, len(w)::BIGINT AS n_words, array_to_string(({g.once('w')})[1:5 * len(w)], ' ') AS deduped FROM n")
 def token_dedup_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = text.split_words(text.normalize_query(F.col("query")))
-    rows = data.literal(spark, "qid, query", SPELLINGS).select("qid", words.alias("w"))
+    rows = asked(spark, sf_dir).select("qid", words.alias("w"))
     deduped = F.array_join(F.slice(F.array_distinct("w"), 1, F.size("w") * 5), " ")
     return rows.select("qid", F.size("w").cast("long").alias("n_words"), deduped.alias("deduped"))
 

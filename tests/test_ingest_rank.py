@@ -1,5 +1,7 @@
 """Ingest, ranking and evaluation on small rows."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +35,36 @@ def test_ingest_end_to_end(spark):
     assert got[0].title == "Ordinary Portland Cement" and got[0].category == "cement" and got[0].standard_year == 1989
 
 
+def plain_segments(lines):
+    """A fold over the lines in order, as one process would do it."""
+    out, own = {}, {}
+    for src, _, _, line in sorted(lines):
+        if re.search(r"(?i)IS\s+\d{1,5}", line):
+            own[src] = own.get(src, 0) + 1
+        if own.get(src):
+            out.setdefault((src, own[src]), []).append(line)
+    return {k: " ".join(v) for k, v in out.items() if len(" ".join(v)) > 20}
+
+
+@pytest.mark.parametrize("ranges", ["1", "9"])
+def test_a_source_over_many_ranges_is_segmented_like_one(spark, ranges):
+    lines = [("big", p, n, f"IS {100 + p} standard of page {p}" if n == 0 and p % 3 else f"line {n} of page {p}") for p in range(60) for n in range(20)]
+    lines += [("few", 1, 0, "no identifier here"), ("few", 1, 1, "IS 7"), ("late", 1, 0, "x"), ("late", 2, 0, "IS 8 begins only here"), ("none", 1, 0, "nothing at all to be seen")]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(lines, "src_id string, page_no int, line_no int, line string").repartition(5)
+        got = ingest.segment(df)
+        assert {(r.src_id, r.seg): r.text for r in got.collect()} == plain_segments(lines)
+        numbered = ingest.number_standards(got).orderBy("std_seq").collect()
+        assert [r.std_seq for r in numbered] == list(range(len(numbered)))
+        assert [r.text for r in numbered] == [t for _, t in sorted(plain_segments(lines).items())]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 SCHEMA = "qid int, rank int, doc_idx long, id string, standard_year int"
 
 

@@ -11,6 +11,7 @@ import pytest
 
 import standex.plans.domain_queries
 import standex.plans.io_queries
+import standex.plans.job_queries
 import standex.plans.search_queries
 import standex.plans.stream_queries  # noqa: F401
 from standex.plans.registry import ORACLES, QUERIES
@@ -30,7 +31,7 @@ def test_matches_duckdb(spark, small, con, name):
 
 def test_entry_module_without_the_optional_parts(small, tmp_path):
     """In a copy without the training-text folders, everything else still imports and runs."""
-    for name in ("standex", "__spark_entry__.py", "corpus_pipeline.py"):
+    for name in ("standex", "jobs", "__spark_entry__.py", "corpus_pipeline.py"):
         at = ROOT / name
         if at.exists():
             copy = shutil.copytree if at.is_dir() else shutil.copy

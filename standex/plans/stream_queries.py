@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import shared_folder
-from ..streaming import extension
+from ..sources import io
+from ..streaming import extension, history
 from .registry import query
 
 
@@ -33,6 +34,29 @@ def stream_value_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Entries of a history that are shown.
+SHOWN = 3
+
+
+@query(
+    f"SELECT * FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INTEGER AS pos, md5(text) AS query_md5 FROM conversations WHERE role = 'user') WHERE pos <= {SHOWN}"
+)
+def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' newest queries as a stream keeps them; of each user the last state counts."""
+    turns = io.stream(spark, f"{sf_dir}/conversations.parquet", "conv_id long, turn long, role string, text string", 1).where("role = 'user'")
+    asked = turns.select(F.col("conv_id").alias("user"), F.col("turn").alias("ts"), F.col("turn").alias("seq"), F.col("text").alias("query"))
+    uri, checkpoint = shared_folder(spark, "histories"), shared_folder(spark, "histories-state")
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("append").parquet(uri)
+
+    stream = history.histories(asked, SHOWN).writeStream.outputMode("update").foreachBatch(keep)
+    stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.schema(history.HISTORY).parquet(uri).groupBy("user").agg(F.max_by("entries", "version").alias("entries"))
+    each = last.select(F.col("user").alias("conv_id"), F.posexplode("entries").alias("k", "e"))
+    return each.select("conv_id", F.col("e.ts").alias("turn"), (F.col("k") + 1).alias("pos"), F.md5("e.query").alias("query_md5"))
+
+
 def _folder(spark: SparkSession, path: str) -> str:
     """A stream reads folders: the table's own, or a copy of a table that is a single file."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

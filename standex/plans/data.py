@@ -57,6 +57,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def state(spark: SparkSession, sf_dir: str, *names: str) -> str:
+    """What tells one state of some tables from another: their files' names, lengths and times."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    found = [sf_dir]
+    for name in names:
+        path = hadoop.Path(f"{sf_dir}/{name}.parquet")
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+        found += sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)
+    return "\n".join(found)
+
+
 def literal(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFrame:
     return spark.sql(f"WITH {values('v', columns, rows)} SELECT * FROM v")
 

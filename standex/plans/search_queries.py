@@ -107,13 +107,12 @@ def superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("key", ids.superseded_by(F.col("raw")).alias("superseded_by"))
 
 
-#: Indexes by application, lane and tables: an index is built once and asked many times. The tables
-#: of a folder aren't expected to change while an application runs.
+#: Indexes by application, lane and state of the tables: an index is built once and asked many times, until a table changes.
 _BUILT: dict[tuple[str, str, str], index.Index] = {}
 
 
 def _built(spark: SparkSession, lane: str, sf_dir: str, corpus: Callable[[SparkSession, str], DataFrame]) -> index.Index:
-    key = (spark.sparkContext.applicationId, lane, sf_dir)
+    key = (spark.sparkContext.applicationId, lane, data.state(spark, sf_dir, "documents", "part", "embeddings"))
     if key not in _BUILT:
         _BUILT[key] = index.build(corpus(spark, sf_dir), data.vectors(spark, sf_dir, "doc_idx"))
     return _BUILT[key]

@@ -44,7 +44,7 @@ SHOWN = 3
 def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users' newest queries as a stream keeps them; of each user the last state counts."""
     turns = io.stream(spark, f"{sf_dir}/conversations.parquet", "conv_id long, turn long, role string, text string", 1).where("role = 'user'")
-    asked = turns.select(F.col("conv_id").alias("user"), F.col("turn").alias("ts"), F.col("turn").alias("seq"), F.col("text").alias("query"))
+    asked = turns.select(F.col("conv_id").alias("user"), (F.col("turn") + 1).alias("ts"), F.col("turn").alias("seq"), F.col("text").alias("query"))  # time 0 is late from the start
     uri, checkpoint = shared_folder(spark, "histories"), shared_folder(spark, "histories-state")
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -54,7 +54,7 @@ def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     last = spark.read.schema(history.HISTORY).parquet(uri).groupBy("user").agg(F.max_by("entries", "version").alias("entries"))
     each = last.select(F.col("user").alias("conv_id"), F.posexplode("entries").alias("k", "e"))
-    return each.select("conv_id", F.col("e.ts").alias("turn"), (F.col("k") + 1).alias("pos"), F.md5("e.query").alias("query_md5"))
+    return each.select("conv_id", F.col("e.seq").alias("turn"), (F.col("k") + 1).alias("pos"), F.md5("e.query").alias("query_md5"))
 
 
 def _folder(spark: SparkSession, path: str) -> str:

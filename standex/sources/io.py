@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -11,10 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-
-#: Rows that may be written as one JSON array, which one process writes.
-ARRAY_ROWS = 1_000_000
-
+from ..operators.ordinals import numbered
+from .shared import shared_folder
 
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -72,16 +69,24 @@ def write(df: DataFrame, path: str, form: str = "parquet") -> None:
 
 
 def write_array(df: DataFrame, path: str) -> None:
-    """One local JSON array, for small outputs; the rows pass through the driver one by one."""
-    n = df.count()
-    if n > ARRAY_ROWS:
-        raise ValueError(f"{n} rows are too many for one array; write a table")
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("[")
-        for i, row in enumerate(df.toJSON().toLocalIterator()):
-            out.write(("," if i else "") + "\n" + json.dumps(json.loads(row), ensure_ascii=False))
-        out.write("\n]\n")
+    """One file with one JSON array, a row a line, in the order of df's partitions; null fields are left out.
+
+    An array is one file, so one task writes it, row by row; nothing passes through the driver, and any number of rows
+    will do. The file takes its place when it is whole."""
+    spark = df.sparkSession
+    rows = df.select(F.to_json(F.struct("*")).alias("row"), F.monotonically_increasing_id().alias("at"))
+    placed = numbered(rows, ["at"], "k")
+    lines = placed.select(F.concat(F.when(F.col("k") > 0, ",").otherwise(""), "row").alias("value"), "k")
+    ends = spark.createDataFrame([("[", -1), ("]", 2**62)], "value string, k long")
+    uri = shared_folder(spark, "array")
+    lines.unionByName(ends).orderBy("k").select("value").coalesce(1).write.text(uri)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    made, target = hadoop.Path(uri), hadoop.Path(path)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    part = made.getFileSystem(conf).globStatus(hadoop.Path(f"{uri}/part-*"))[0].getPath()
+    if target.getParent() is not None:
+        target.getFileSystem(conf).mkdirs(target.getParent())
+    hadoop.FileUtil.copy(part.getFileSystem(conf), part, target.getFileSystem(conf), target, True, True, conf)
 
 
 def read_documents(spark: SparkSession, path: str, parser: Callable[[bytes], list[str]]) -> DataFrame:

@@ -58,6 +58,13 @@ def build_indexes(chunks: DataFrame, path: str | None = None, model: Callable[[l
     return indexing.build(corpus, encode(corpus, "doc_idx", "search_text", model), path)
 
 
+def add_to_indexes(chunks: DataFrame, indexes: indexing.Index, path: str, model: Callable[[list[str]], np.ndarray] | None = None) -> indexing.Index:
+    """The index at path (indexes, opened) with more enriched chunks, of new doc_idx; only these are read and encoded."""
+    corpus = chunks.withColumn("search_text", indexing.search_text())
+    vectors = indexes.vectors.unionByName(encode(corpus, "doc_idx", "search_text", model))
+    return indexing.append(corpus, vectors, path)
+
+
 def hybrid_search(queries: DataFrame, indexes: indexing.Index, k: int = search.TOP_K, model: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
     """(qid, doc_idx, rrf_score, rank) of (qid, query)."""
     return search.hybrid(queries, encode(queries, "qid", "query", model), indexes, k)

@@ -51,25 +51,36 @@ def vocabulary(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def statistics(tokened: DataFrame, vocab: DataFrame) -> DataFrame:
-    """One row: n documents, avgdl, avg_idf (of the raw idf over the vocabulary)."""
-    size = tokened.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
+def statistics(lengths: DataFrame, vocab: DataFrame) -> DataFrame:
+    """One row: n documents, avgdl, avg_idf (of the raw idf over the vocabulary), of rows (n, dl) of counts and sums of
+    lengths; nothing is averaged before all are added up."""
+    size = lengths.agg(F.sum("n").alias("n"), (F.sum("dl") / F.sum("n")).alias("avgdl"))
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     mean = vocab.crossJoin(F.broadcast(size.select("n"))).agg(F.avg(raw).alias("avg_idf"))
     return size.crossJoin(mean)  # one row by one row
 
 
+def length_sums(tokened: DataFrame) -> DataFrame:
+    """One row (n, dl)."""
+    return tokened.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("dl"))
+
+
 def idf(n: Column, df: Column, avg_idf: Column) -> Column:
     raw = F.ln(n - df + 0.5) - F.ln(df + 0.5)
     return F.when(raw < 0, EPSILON * avg_idf).otherwise(raw)
 
 
-def category_signals(posted: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(term, category): categories with more than a quarter of a term's documents."""
+def category_counts(posted: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(term, category, cnt): documents of a category with a term."""
     cats = corpus.select("doc_idx", F.lower(text.strip(F.col("category"))).alias("category")).where("category <> ''")
-    counts = posted.select("doc_idx", "term").join(cats, "doc_idx").groupBy("term", "category").agg(F.count("*").alias("cnt"))
+    return posted.select("doc_idx", "term").join(cats, "doc_idx").groupBy("term", "category").agg(F.count("*").alias("cnt"))
+
+
+def category_signals(counts: DataFrame) -> DataFrame:
+    """(term, category, share): categories with more than a quarter of a term's documents."""
+    every = counts.groupBy("term", "category").agg(F.sum("cnt").alias("cnt"))
     share = F.col("cnt") / F.sum("cnt").over(Window.partitionBy("term"))
-    return counts.withColumn("share", share).where(F.col("share") > SIGNAL_SHARE).select("term", "category", "share")
+    return every.withColumn("share", share).where(F.col("share") > SIGNAL_SHARE).select("term", "category", "share")
 
 
 @dataclass
@@ -85,33 +96,74 @@ class Index:
     neighbours: DataFrame
     vectors: DataFrame
 
-    NAMES = ("corpus", "tokens", "postings", "vocab", "stats", "signals", "neighbours")
-
     @staticmethod
     def load(spark: SparkSession, path: str, vectors: DataFrame) -> Index:
-        return Index(*[spark.read.parquet(f"{path}/{name}") for name in Index.NAMES], vectors)
+        version = newest(spark, path)
+        segments = [spark.read.parquet(f"{path}/{name}").where(F.col("segment") <= version).drop("segment") for name in ("corpus", "tokens", "postings")]
+        derived = [spark.read.parquet(f"{path}/{name}").where(F.col("version") == version).drop("version") for name in ("vocab", "stats", "signals", "neighbours")]
+        return Index(*segments, *derived, vectors)
+
+
+def newest(spark: SparkSession, path: str) -> int:
+    """The last version of an index that is whole: its statistics are written last."""
+    return spark.read.parquet(f"{path}/stats").agg(F.max("version").alias("v")).first()["v"]
 
 
 def build(corpus: DataFrame, vectors: DataFrame, path: str | None = None) -> Index:
     """The index of a corpus: doc_idx, id, title, text, category, search_text and whatever else a chunk has.
 
-    The corpus and its postings are read by every later step, so they are tables: kept at path, or
-    in a new folder of the shared one. Each is computed once."""
+    The corpus and its postings are read by every later step, so they are tables: kept at path, where they replace an
+    older index, or in a new folder of the shared one. Each is computed once."""
     spark = corpus.sparkSession
     path = path or shared_folder(spark, "index")
+    _add_segment(corpus, path, 0)
+    _derive(spark, path, 0)
+    return Index.load(spark, path, vectors)
+
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        return spark.read.parquet(f"{path}/{name}")
-
-    corpus = keep(corpus.repartition("doc_idx"), "corpus")  # even parts, whatever files it came in
-    tokened = keep(tokens(corpus), "tokens")
-    posted = postings(tokened)
-    vocab = keep(numbered(vocabulary(posted)), "vocab")
-    # with each term's df and number, in order of the terms: a file holds a range of them, so that a search for given terms skips row groups
-    posted = keep(posted.join(vocab, "term").repartitionByRange("term", "doc_idx").sortWithinPartitions("term", "doc_idx"), "postings")
-    stats = keep(statistics(tokened, vocab), "stats")
-    signals = keep(category_signals(posted, corpus), "signals")
-    near = neighbours(posted.select("doc_idx", "tid"), vocab, stats)
-    near = keep(near.repartitionByRange("term").sortWithinPartitions("term", "rnk"), "neighbours")
-    return Index(corpus, tokened, posted, vocab, stats, signals, near, vectors)
+def append(corpus: DataFrame, vectors: DataFrame, path: str) -> Index:
+    """The index at path with more documents, of other doc_idx: the index that one build of them all would give.
+
+    What was there is neither tokenised nor sorted again: the new documents are a segment with its own counts, and the
+    vocabulary, statistics and maps are made of the segments' counts, as a new version. A run that is cut off leaves
+    the last version as it was, and its segment is overwritten by the next. vectors: those of all documents."""
+    spark = corpus.sparkSession
+    version = newest(spark, path) + 1
+    _add_segment(corpus, path, version)
+    _derive(spark, path, version)
+    return Index.load(spark, path, vectors)
+
+
+def _keep(df: DataFrame, path: str, name: str, kind: str, number: int) -> DataFrame:
+    """Writes a partition of one of the index' tables (the first replaces the whole table) and reads it."""
+    mode = "static" if not number else "dynamic"
+    writer = df.withColumn(kind, F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", mode)
+    writer.partitionBy(kind).parquet(f"{path}/{name}")
+    return df.sparkSession.read.parquet(f"{path}/{name}").where(F.col(kind) == number).drop(kind)
+
+
+def _add_segment(corpus: DataFrame, path: str, number: int) -> None:
+    corpus = _keep(corpus.repartition("doc_idx"), path, "corpus", "segment", number)  # even parts, whatever files it came in
+    tokened = _keep(tokens(corpus), path, "tokens", "segment", number)
+    # in order of the terms: a file holds a range of them, so that a search for given terms skips row groups
+    posted = postings(tokened).repartitionByRange("term", "doc_idx").sortWithinPartitions("term", "doc_idx")
+    posted = _keep(posted, path, "postings", "segment", number)
+    _keep(vocabulary(posted), path, "frequencies", "segment", number)
+    _keep(length_sums(tokened), path, "lengths", "segment", number)
+    _keep(category_counts(posted, corpus), path, "categories", "segment", number)
+
+
+def _derive(spark: SparkSession, path: str, version: int) -> None:
+    """What depends on all segments up to a version."""
+
+    def upto(name: str) -> DataFrame:
+        return spark.read.parquet(f"{path}/{name}").where(F.col("segment") <= version).drop("segment")
+
+    vocab = upto("frequencies").groupBy("term").agg(F.sum("df").alias("df"))
+    vocab = _keep(numbered(vocab), path, "vocab", "version", version)
+    _keep(category_signals(upto("categories")), path, "signals", "version", version)
+    stats = statistics(upto("lengths"), vocab)
+    listed = upto("postings").select("doc_idx", "term").join(vocab.select("term", "tid"), "term").select("doc_idx", "tid")
+    near = neighbours(listed, vocab, stats).repartitionByRange("term").sortWithinPartitions("term", "rnk")
+    _keep(near, path, "neighbours", "version", version)
+    _keep(stats, path, "stats", "version", version)

@@ -154,6 +154,7 @@ def expand_tokens(tokens: DataFrame, index: Index) -> DataFrame:
 def bm25_scores(tokens: DataFrame, index: Index) -> DataFrame:
     """(qid, doc_idx, score) of documents with a query token; a repeated token counts each time."""
     terms = tokens.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
+    terms = terms.join(index.vocab.select("term", "df"), "term")
     stats = F.broadcast(index.stats)  # one row
     hit = index.postings.join(terms, "term").crossJoin(stats).withColumn("idf", idf(F.col("n"), F.col("df"), F.col("avg_idf")))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import index, search
+from ..sources.shared import shared_folder
 from . import data
 from . import sqlgen as g
 from .registry import query
@@ -123,6 +124,20 @@ def scale_index(spark: SparkSession, sf_dir: str) -> index.Index:
     return _built(spark, "scale", sf_dir, data.scale_corpus)
 
 
+BENCHMARK_Q = "q AS (SELECT item_id AS qid, text AS query FROM benchmark)"
+PLAIN_TOKENS = f"qt AS (SELECT qid, query, {g.tokens('query')} AS w FROM q)"
+
+
+@query(f"WITH {g.SCALE}, {g.LEXICAL}, {BENCHMARK_Q}, {PLAIN_TOKENS}, {g.bm25('qt')} SELECT qid, doc_idx, score::DOUBLE AS score, rank::INTEGER AS rank FROM lex")
+def index_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical search of an index that was built of even documents and added the odd ones to."""
+    corpus, vectors, uri = data.scale_corpus(spark, sf_dir), data.vectors(spark, sf_dir, "doc_idx"), shared_folder(spark, "segments")
+    index.build(corpus.where("doc_idx % 2 = 0"), vectors, uri)
+    idx = index.append(corpus.where("doc_idx % 2 <> 0"), vectors, uri)
+    queries = data.scale_queries(spark, sf_dir)
+    return search.bm25_ranks(queries, search.bm25_scores(search.query_tokens(queries), idx), idx.corpus)
+
+
 def _scale(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, index.Index]:
     return data.scale_queries(spark, sf_dir), scale_index(spark, sf_dir)
 
@@ -138,10 +153,6 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"))
 
 
-BENCHMARK_Q = "q AS (SELECT item_id AS qid, text AS query FROM benchmark)"
-PLAIN_TOKENS = f"qt AS (SELECT qid, query, {g.tokens('query')} AS w FROM q)"
-
-
 @query(f"WITH {g.SCALE}, {g.LEXICAL}, {BENCHMARK_Q}, {PLAIN_TOKENS}, {g.bm25('qt')} SELECT qid, doc_idx, score::DOUBLE AS score, rank::INTEGER AS rank FROM lex")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, idx = _scale(spark, sf_dir)

@@ -77,6 +77,14 @@ def test_extra_columns_go_through(spark, edge, tmp_path):
     assert docs.where("node = 7 and wide = 'y' and class = 'x' and doc = 'x'").count() == docs.count() > 0
 
 
+def test_names_in_another_case_are_replaced(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some words", "en", "a", 9, "x", "y")], "doc_id long, text string, lang string, source string, n_chars long, SIZE string, Copy string")
+    out = p.mixing_stage(spark, docs, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "size", "copy"]
+    out.write.parquet(f"{tmp_path}/mixed")
+    assert spark.read.parquet(f"{tmp_path}/mixed").first()["size"] == 2
+
+
 def test_a_language_that_nobody_labelled_is_rejected(spark):
     own = [(i, f"the quick brown fox number {i} jumps over the lazy dog and runs away from the house", "en") for i in range(600)]
     own += [(1000 + i, f"der schnelle braune Fuchs Nummer {i} springt über den faulen Hund und läuft aus dem Haus", "de") for i in range(600)]

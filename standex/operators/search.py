@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
+from ..sources.shared import stored
 from .index import B, DIGITS, K1, Index, idf
 
 DENSE_K, BM25_K, RRF_K, TOP_K = 20, 20, 40, 20
@@ -154,7 +155,8 @@ def expand_tokens(tokens: DataFrame, index: Index) -> DataFrame:
 def bm25_scores(tokens: DataFrame, index: Index) -> DataFrame:
     """(qid, doc_idx, score) of documents with a query token; a repeated token counts each time."""
     terms = tokens.select("qid", F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("qtf"))
-    terms = terms.join(index.vocab.select("term", "df"), "term")
+    # a table, so that its size is known: where it is small it is broadcast, and the postings stay where they are
+    terms = stored(terms.join(index.vocab.select("term", "df"), "term"), "terms")
     stats = F.broadcast(index.stats)  # one row
     hit = index.postings.join(terms, "term").crossJoin(stats).withColumn("idf", idf(F.col("n"), F.col("df"), F.col("avg_idf")))
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))

@@ -518,13 +518,30 @@ EXPECTED_REPLIES = [
 ]
 
 
-@query(f"WITH {data.values('v', 'qid, items', EXPECTED_REPLIES)} SELECT qid, items FROM v")
+#: Replies about the domain corpus' lists: an array that names the first standard, a sentence, or none.
+MADE_REPLIES = (
+    "SELECT qid + 1000 AS qid, a, b, c, CASE qid % 3 WHEN 0 THEN '[{\"standard\": \"' || a || '\", \"reason\": \"About ' || c || '\"}]' WHEN 1 THEN 'I think that ' || a || ' fits.' END AS reply FROM pairs"
+)
+
+
+@query(
+    f"WITH {data.values('v', 'qid, items', EXPECTED_REPLIES)}, {RANKED}, named AS (SELECT qid, list(id ORDER BY rank) AS ids, arg_min(category, rank) AS c FROM lists GROUP BY qid), "
+    f"pairs AS (SELECT qid, ({g.once('ids')})[1] AS a, ({g.once('ids')})[2] AS b, c FROM named), made AS ({MADE_REPLIES}) "
+    "SELECT qid::BIGINT AS qid, items FROM v UNION ALL "
+    "SELECT qid, CASE WHEN reply IS NULL THEN a || '=' || CASE WHEN length(c) > 5 THEN 'This standard covers ' || c || '.' ELSE 'Relevant Indian Standard matching your query.' END || '|' || b || '=Related BIS standard.' "
+    "WHEN json_valid(reply) THEN json_extract_string(reply, '$[0].standard') || '=' || json_extract_string(reply, '$[0].reason') || '|' || b || '=Relevant Indian Standard for your query.' "
+    "ELSE a || '=' || substr(reply, 1, 200) || '|' || b || '=See above explanation.' END FROM made WHERE b IS NOT NULL"
+)
 def llm_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies read back; the SQL states what each must give."""
-    rows = data.literal(spark, "qid, reply", REPLIES)
+    """Replies read back: literal ones, of which the SQL states what each must give, and made ones, which it parses."""
+    shown = lambda items: F.array_join(F.transform(items, lambda i: F.concat(i["standard"], F.lit("="), i["reason"])), "|").alias("items")
     std_ids, titles = F.array(F.lit("IS 269: 1989"), F.lit("IS 455: 1989")), F.array(F.lit("Ordinary cement"))
-    items = rationale.parse_reply(F.col("reply"), std_ids, titles)
-    return rows.select("qid", F.array_join(F.transform(items, lambda i: F.concat(i["standard"], F.lit("="), i["reason"])), "|").alias("items"))
+    rows = data.literal(spark, "qid, reply", REPLIES).select(F.col("qid").cast("long").alias("qid"), shown(rationale.parse_reply(F.col("reply"), std_ids, titles)))
+    lists = ranked(spark, sf_dir).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "category"))).alias("r"))
+    names = F.array_distinct(F.transform("r", lambda x: x["id"]))
+    pairs = lists.where(F.size(names) > 1).select("qid", names[0].alias("a"), names[1].alias("b"), F.element_at("r", 1)["category"].alias("c"))
+    made = spark.sql(MADE_REPLIES.replace("{", "{{").replace("}", "}}").replace("FROM pairs", "FROM {pairs}"), pairs=pairs)
+    return rows.unionByName(made.select("qid", shown(rationale.parse_reply(F.col("reply"), F.array("a", "b"), F.array("c")))))
 
 
 # ---- the client --------------------------------------------------------------------------------

@@ -171,7 +171,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cooccur_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, idx = _scale(spark, sf_dir)
     terms = search.query_tokens(queries).select(F.explode("tokens").alias("term"))
-    return idx.neighbours.join(terms.distinct(), "term", "left_semi").select("term", "neighbour", "score", "rnk")
+    return idx.near(terms)
 
 
 @query(f"WITH {g.SCALE}, {g.LEXICAL}, {BENCHMARK_Q}, {g.EXPANSION} SELECT qid, len(w)::BIGINT AS n_tokens, {g.join('w', ' ')} AS tokens FROM wide")

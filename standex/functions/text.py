@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,8 +31,14 @@ def split_words(x: Column) -> Column:
     return F.filter(F.split(strip(x), r"\s+"), lambda w: w != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once. Spark computes what stands in a lambda anew for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def found(terms: list[str], text: Column) -> Column:
-    """The terms that occur in the text as substrings, in their own order."""
+    """The terms that occur in the text as substrings, in their own order. The text is read once a term, so it should be
+    a column, or bound by let()."""
     return F.filter(literals(terms), lambda t: F.contains(text, t))
 
 
@@ -128,8 +136,7 @@ def scope(text: Column) -> Column:
 def matched_terms(query: Column, text: Column, most: int = 5) -> Column:
     """Query words of more than 3 characters that occur in the text, in the query's order."""
     words = F.array_except(split_words(F.lower(query)), literals(lex.RATIONALE_STOPWORDS))
-    low = F.lower(text)
-    return F.slice(F.filter(words, lambda w: (F.length(w) > 3) & F.contains(low, w)), 1, most)
+    return let(F.lower(text), lambda low: F.slice(F.filter(words, lambda w: (F.length(w) > 3) & F.contains(low, w)), 1, most))
 
 
 def plain_query(x: Column) -> Column:

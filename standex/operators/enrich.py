@@ -11,32 +11,34 @@ from ..functions import lexicons as lex
 
 def technical_properties(x: Column) -> Column:
     """A struct of the terms found by kind, at most 10 each, null where there are none."""
-    low = F.lower(x)
 
     def some(terms: list[str]) -> Column:
-        hit = F.slice(text.found(terms, low), 1, 10)
-        return F.when(F.size(hit) > 0, hit)
+        return text.let(F.lower(x), lambda low: text.let(F.slice(text.found(terms, low), 1, 10), lambda hit: F.when(F.size(hit) > 0, hit)))
 
     return F.struct(*[some(terms).alias(kind) for kind, terms in lex.TECHNICAL_PROPERTIES.items()])
 
 
 def application_domains(x: Column, most: int = 3) -> Column:
     """Domains by number of terms found, the first on ties."""
-    low = F.lower(x)
-    rows = [
-        F.struct((-F.size(text.found(terms, low))).alias("n"), F.lit(i).alias("ord"), F.lit(name).alias("name"))
-        for i, (name, terms) in enumerate(lex.APPLICATION_DOMAINS.items())
-    ]
-    return F.transform(F.slice(F.array_sort(F.filter(F.array(*rows), lambda s: s["n"] < 0)), 1, most), lambda s: s["name"])
+
+    def of(low: Column) -> Column:
+        rows = [
+            F.struct((-F.size(text.found(terms, low))).alias("n"), F.lit(i).alias("ord"), F.lit(name).alias("name"))
+            for i, (name, terms) in enumerate(lex.APPLICATION_DOMAINS.items())
+        ]
+        return F.transform(F.slice(F.array_sort(F.filter(F.array(*rows), lambda s: s["n"] < 0)), 1, most), lambda s: s["name"])
+
+    return text.let(F.lower(x), of)
 
 
 def composition_terms(x: Column, most: int = 12) -> Column:
-    return F.slice(text.found(lex.COMPOSITION_TERMS, F.lower(x)), 1, most)
+    return text.let(F.lower(x), lambda low: F.slice(text.found(lex.COMPOSITION_TERMS, low), 1, most))
 
 
 def is_test_method(x: Column, std_id: Column) -> Column:
     """By number, or by two phrases of test methods."""
-    return ids.standard_number(std_id).isin(lex.TEST_METHOD_STANDARDS) | (F.size(text.found(lex.TEST_METHOD_INDICATORS, F.lower(x))) >= 2)
+    shown = text.let(F.lower(x), lambda low: F.size(text.found(lex.TEST_METHOD_INDICATORS, low)))
+    return ids.standard_number(std_id).isin(lex.TEST_METHOD_STANDARDS) | (shown >= 2)
 
 
 def enrich(chunks: DataFrame) -> DataFrame:

@@ -68,19 +68,21 @@ def number_standards(standards: DataFrame) -> DataFrame:
 
 def category_of(x: Column) -> Column:
     """Category with the most distinct keywords in the text, the first on ties; 'general' below two."""
-    low = F.lower(x)
-    best = text.first_best([(c, F.size(text.found(k, low))) for c, k in lex.CATEGORY_KEYWORDS.items()], 2)
+    best = text.let(F.lower(x), lambda low: text.first_best([(c, F.size(text.found(k, low))) for c, k in lex.CATEGORY_KEYWORDS.items()], 2))
     return F.coalesce(best, F.lit("general"))
 
 
 def keywords_of(x: Column, category: Column) -> Column:
     """The category, its own terms, other categories' terms, nouns; each once."""
-    low = F.lower(x)
     none = F.array().cast("array<string>")
-    own = [F.when(category == c, text.found(t, low)).otherwise(none) for c, t in lex.TECHNICAL_TERMS.items()]
-    others = [F.when(category != c, text.found(t, low)).otherwise(none) for c, t in lex.TECHNICAL_TERMS.items()]
-    head = F.when(category != "general", F.array(category)).otherwise(none)
-    return F.array_distinct(F.concat(head, *own, *others, text.found(lex.DOMAIN_NOUNS, low)))
+
+    def of(low: Column, own: Column) -> Column:
+        mine = [F.when(own == c, text.found(t, low)).otherwise(none) for c, t in lex.TECHNICAL_TERMS.items()]
+        others = [F.when(own != c, text.found(t, low)).otherwise(none) for c, t in lex.TECHNICAL_TERMS.items()]
+        head = F.when(own != "general", F.array(own)).otherwise(none)
+        return F.array_distinct(F.concat(head, *mine, *others, text.found(lex.DOMAIN_NOUNS, low)))
+
+    return text.let(F.lower(x), lambda low: text.let(category, lambda own: of(low, own)))
 
 
 def chunk_count() -> Column:
@@ -104,12 +106,12 @@ def cut(base: DataFrame) -> DataFrame:
         " ", text.full(F.col("id")), text.full(F.col("title")), F.when(F.col("category") != "general", F.col("category")),
         text.full(F.array_join(F.slice("keys", 1, 15), " ")),
     )
-    rest = F.substring("text", CORE + 1, 2**31 - 1)
-    starts = F.when(length > CORE, F.sequence(F.lit(0), length - CORE - 1, F.lit(STRIDE))).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda s: F.concat_ws(" ", F.col("id"), F.coalesce("title", F.lit("")), F.substr(rest, s + 1, F.lit(WINDOW))))
-    bodies = F.concat(F.array(anchor, F.substring("text", 1, CORE)), windows)
-    each = base.select(*others, "id", "title", "category", "keys", F.posexplode(bodies).alias("k", "text"))
+    # texts are cut after the rows are made, so that none is where only its place is asked for
+    windows = F.ceil(F.greatest(length - CORE, F.lit(0)) / STRIDE).cast("int")
+    each = base.select(*others, "id", "title", "category", "keys", F.col("text").alias("_body"), F.explode(F.sequence(F.lit(0), windows + 1)).alias("k"))
     first = F.col("k") == 0
+    window = F.concat_ws(" ", F.col("id"), F.coalesce("title", F.lit("")), F.substr("_body", CORE + 1 + (F.col("k") - 2) * STRIDE, F.lit(WINDOW)))
+    each = each.withColumn("text", F.when(first, anchor).when(F.col("k") == 1, F.substring("_body", 1, CORE)).otherwise(window))
     return each.select(
         *others, "k", "id", "title", "text", "category",
         F.when(first, F.slice("keys", 1, 20)).otherwise(F.slice("keys", 1, 10)).alias("keywords"),

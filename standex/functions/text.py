@@ -48,9 +48,7 @@ def tokenize(x: Column) -> Column:
     t = F.regexp_replace(t, r"is\s*(\d+)", "is$1 $1")
     t = F.regexp_replace(t, r"\(part\s*(\d+)\)", "part$1 part $1")
     t = F.regexp_replace(t, r"\(sec\s*(\d+)\)", "sec$1 sec $1")
-    t = F.regexp_replace(t, r"[^\p{L}\p{N}_\s\-]", " ")
-    stop = literals(lex.STOPWORDS)
-    return F.filter(F.split(strip(t), r"\s+"), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    return F.filter(F.split(t, r"[^\p{L}\p{N}_\-]+"), lambda w: (F.length(w) > 1) & ~w.isin(lex.STOPWORDS))
 
 
 def normalize_query(x: Column) -> Column:

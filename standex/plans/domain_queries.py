@@ -317,7 +317,8 @@ _SHOWN = "list_filter([" + ", ".join(f"CASE WHEN len(p_{k}) > 0 THEN '{k}: ' ||
     f"{g.join('(' + _SHOWN + ')[1:2]', '; ')} AS properties, substr(text, 1, 150) AS text FROM enriched ORDER BY doc_idx LIMIT 3"
 )
 def enriched_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.enriched_sample(data.domain_enriched(spark, sf_dir))
+    first = data.domain_chunks(spark, sf_dir).orderBy("doc_idx").limit(3)  # what else they are is asked of these alone
+    return reports.enriched_sample(enrich.enrich(first))
 
 
 @query(
@@ -367,7 +368,7 @@ HITS = (
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, idx = data.scale_queries(spark, sf_dir), scale_index(spark, sf_dir)
-    found = search.bm25_ranks(queries, search.bm25_scores(search.query_tokens(queries), idx), idx.corpus)
+    found = search.lexical_ranks(queries, search.query_tokens(queries), idx)
     docs = data.table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = evaluate.judged(found.select("qid", "rank", "doc_idx"), docs, queries.withColumnRenamed("query", "sought"))
     return data.run_results(spark).unionByName(evaluate.as_results(judged))

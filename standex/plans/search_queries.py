@@ -135,7 +135,7 @@ def index_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     index.build(corpus.where("doc_idx % 2 = 0"), vectors, uri)
     idx = index.append(corpus.where("doc_idx % 2 <> 0"), vectors, uri)
     queries = data.scale_queries(spark, sf_dir)
-    return search.bm25_ranks(queries, search.bm25_scores(search.query_tokens(queries), idx), idx.corpus)
+    return search.lexical_ranks(queries, search.query_tokens(queries), idx)
 
 
 def _scale(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, index.Index]:
@@ -144,7 +144,7 @@ def _scale(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, index.Index]:
 
 @query(f"WITH {g.SCALE}, {g.LEXICAL} SELECT term, df::BIGINT AS df FROM vocab")
 def doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.vocabulary(index.postings(index.tokens(data.scale_corpus(spark, sf_dir))))
+    return index.frequencies(index.tokens(data.scale_corpus(spark, sf_dir)))
 
 
 @query(f"WITH {g.SCALE}, {g.LEXICAL} SELECT n::BIGINT AS n, round(avgdl, 6) AS avgdl, round(avg_idf, 6) AS avg_idf FROM stats")
@@ -156,8 +156,7 @@ def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {g.SCALE}, {g.LEXICAL}, {BENCHMARK_Q}, {PLAIN_TOKENS}, {g.bm25('qt')} SELECT qid, doc_idx, score::DOUBLE AS score, rank::INTEGER AS rank FROM lex")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, idx = _scale(spark, sf_dir)
-    scores = search.bm25_scores(search.query_tokens(queries), idx)
-    return search.bm25_ranks(queries, scores, idx.corpus)
+    return search.lexical_ranks(queries, search.query_tokens(queries), idx)
 
 
 @query(f"WITH qv AS (SELECT vec_id AS qid, embedding FROM embeddings WHERE vec_id % 20 = 0), {g.DENSE} SELECT qid, doc_idx, sim, rank::INTEGER AS rank FROM dense")
@@ -203,7 +202,7 @@ def _scale_vectors(spark: SparkSession, sf_dir: str, queries: DataFrame) -> Data
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, idx = _scale(spark, sf_dir)
     tokens = search.query_tokens(queries)
-    lexical = search.bm25_ranks(queries, search.bm25_scores(tokens, idx), idx.corpus)
+    lexical = search.lexical_ranks(queries, tokens, idx)
     dense = search.dense_ranks(idx.vectors, _scale_vectors(spark, sf_dir, queries))
     return search.fuse(dense, lexical, search.coverage(tokens, idx.vocab)).withColumn("score", F.round("score", 6))
 
@@ -245,9 +244,12 @@ _PART = r"(?i)part\s*(\d+)"
 )
 def exact_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boost alone: a few literal queries against all chunks."""
-    asked = data.literal(spark, "qid, query", ID_TEXTS)
-    pairs = data.domain_corpus(spark, sf_dir).select("doc_idx", "search_text").crossJoin(F.broadcast(asked))
-    return pairs.select("qid", "doc_idx", F.round(search.exact_boost(F.col("query"), F.col("search_text")), 6).alias("boost"))
+    facts = lambda x: (ids.is_numbers(F.col(x)), ids.part(F.col(x), ids.PART_OF_TEXT))
+    mine, theirs = facts("query"), facts("search_text")
+    asked = data.literal(spark, "qid, query", ID_TEXTS).select("qid", mine[0].alias("mine"), mine[1].alias("q"))
+    chunks = data.domain_corpus(spark, sf_dir).select("doc_idx", theirs[0].alias("theirs"), theirs[1].alias("d"))
+    boost = search.boost_of(*[F.col(c) for c in ("mine", "q", "theirs", "d")])
+    return chunks.crossJoin(F.broadcast(asked)).select("qid", "doc_idx", F.round(boost, 6).alias("boost"))
 
 
 @query(

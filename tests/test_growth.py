@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from standex.operators import enrich, ingest
+from standex.operators import enrich, index, ingest, neighbours, search
 
 
 def plan_of(df):
@@ -25,3 +25,29 @@ def test_terms_are_not_sought_where_only_places_are_asked(spark):
     assert sorted((r.std_seq, r.k) for r in places.collect()) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (1, 1), (2, 0), (2, 1)]
     texts = {(r.std_seq, r.k): r.text for r in ingest.cut(df).collect()}
     assert texts[0, 2] == "IS 1 t " + "x" * 900 and texts[0, 3] == "IS 1 t " + "x" * 100 and texts[2, 1] is None
+
+
+def test_postings_are_counted_without_a_shuffle(spark):
+    rows = [(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["c"])]
+    tokened = spark.createDataFrame(rows, "doc_idx long, tokens array<string>")
+    posted = index.postings(tokened)
+    assert "Exchange" not in posted._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in posted.collect()) == [(1, "a", 1, 3), (1, "b", 2, 3), (4, "c", 1, 1)]
+    assert sorted(tuple(r) for r in index.frequencies(tokened).collect()) == [("a", 1), ("b", 1), ("c", 1)]
+
+
+def test_products_rank_as_scores_do(spark):
+    """Ties, repeated query tokens, common terms with negative weights, queries without a known token, few documents."""
+    words = ["common " + w for w in ("red", "red", "green red", "blue", "", "green green", "blue red")] * 4
+    corpus = spark.createDataFrame([(i, "", "", w, "c", w) for i, w in enumerate(words)], "doc_idx long, id string, title string, text string, category string, search_text string")
+    vectors = spark.createDataFrame([], "doc_idx long, embedding array<float>")
+    idx = index.build(corpus, vectors)
+    queries = spark.createDataFrame([(1, "red red green"), (2, "common"), (3, "unknown"), (4, ""), (5, "blue")], "qid long, query string")
+    tokens = search.query_tokens(queries)
+    slow = search.bm25_ranks(queries, search.bm25_scores(tokens, idx), idx.corpus)
+    expected = sorted(tuple(r) for r in slow.select("qid", "rank", "doc_idx", "score").collect())
+    for bound in (search.BOUND, 0):
+        found = search.lexical_ranks(queries, tokens, idx, bound=bound).select("qid", "rank", "doc_idx", "score")
+        assert sorted(tuple(r) for r in found.collect()) == expected
+    by_join = neighbours.lists(idx.postings.join(idx.vocab, "term").select("doc_idx", "tid"))
+    assert sorted(map(str, idx.lists().collect())) == sorted(map(str, by_join.collect()))

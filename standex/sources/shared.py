@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,3 +59,16 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     uri = shared_folder(df.sparkSession, purpose)
     df.write.parquet(uri)
     return df.sparkSession.read.parquet(uri)
+
+
+@contextmanager
+def read_in_parts(spark: SparkSession, most: int) -> Iterator[None]:
+    """What is executed meanwhile reads files in parts of at most so many bytes, or fewer if the session says so."""
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    least = min(most, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before))
+    spark.conf.set(name, str(least))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -72,3 +72,17 @@ def test_segments_are_made_where_the_documents_are(spark):
         for _, doc in held:
             of.setdefault(doc, set()).add(f)
     assert len(of) == 20 * n and all(len(f) == 1 for f in of.values())
+
+
+def test_postings_are_sorted_in_parts(spark, monkeypatch):
+    """What a task sorts is bounded by bytes of tokens: a file of them gives several files of postings."""
+    n, name = spark.sparkContext.defaultParallelism, "spark.sql.files.maxPartitionBytes"
+    corpus = spark.range(1000 * n, numPartitions=n).selectExpr("id AS doc_idx", "'' AS id", "'' AS title", "concat('w', id % 7, ' ', md5(string(id)), ' ', md5(string(-1 - id))) AS text", "'c' AS category")
+    corpus, before = corpus.withColumn("search_text", F.col("text")), spark.conf.get(name)
+    monkeypatch.setattr(index, "PART", 1 << 14, raising=False)
+    monkeypatch.setattr(index, "GROUP", 1 << 13, raising=False)
+    built = index.build(corpus, spark.createDataFrame([], "doc_idx long, embedding array<float>"))
+    assert spark.conf.get(name) == before
+    files = lambda df: df.select(F.input_file_name()).distinct().count()
+    assert files(built.postings) >= 3 * files(built.tokens) and built.postings.count() == 3000 * n
+    assert built.vocab.count() == 2000 * n + 7 and built.vocab.agg(F.sum("df")).first()[0] == 3000 * n

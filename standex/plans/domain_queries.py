@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 from ..functions import lexicons as lex
 from ..operators import client, enrich, evaluate, ingest, rank, rationale, reports, search
+from ..sources.shared import stored
 from . import data
 from . import sqlgen as g
 from .registry import query
@@ -368,9 +369,11 @@ HITS = (
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, idx = data.scale_queries(spark, sf_dir), scale_index(spark, sf_dir)
-    found = search.lexical_ranks(queries, search.query_tokens(queries), idx)
+    found = search.lexical_ranks(queries, search.query_tokens(queries), idx).select("qid", "rank", "doc_idx")
+    # read twice; and a table of known size, so that the texts that it picks stay where they are
+    found = stored(found, "found")
     docs = data.table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = evaluate.judged(found.select("qid", "rank", "doc_idx"), docs, queries.withColumnRenamed("query", "sought"))
+    judged = evaluate.judged(found, docs, queries.withColumnRenamed("query", "sought"))
     return data.run_results(spark).unionByName(evaluate.as_results(judged))
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from standex.operators import enrich, index, ingest, neighbours, search
+from standex.plans import domain_queries
 
 
 def plan_of(df):
@@ -86,3 +87,11 @@ def test_postings_are_sorted_in_parts(spark, monkeypatch):
     files = lambda df: df.select(F.input_file_name()).distinct().count()
     assert files(built.postings) >= 3 * files(built.tokens) and built.postings.count() == 3000 * n
     assert built.vocab.count() == 2000 * n + 7 and built.vocab.agg(F.sum("df")).first()[0] == 3000 * n
+
+
+def test_answers_are_searched_once_and_texts_stay(spark, small):
+    """What judges the answers reads them as a table: it holds no search, and texts aren't shuffled before they are picked."""
+    judging = domain_queries.mrr_at_5(spark, small)
+    assert "MapInArrow" not in plan_of(judging)
+    picked = [line for line in judging._jdf.queryExecution().executedPlan().toString().split("\n") if "LeftSemi" in line]
+    assert len(picked) == 1 and "BroadcastHashJoin" in picked[0]

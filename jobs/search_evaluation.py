@@ -5,10 +5,12 @@ synonyms, exact vectors, fusion, boosts), each answer is judged (relevant: the d
 text), and each query gets Hit@3, the reciprocal rank among its first five, and the share of its relevant documents
 that were found. Answers are written as Parquet partitioned by outcome, so that misses are read by themselves.
 
-A run overwrites what an earlier one left, in the work folder and in the target, and depends on the tables alone:
-repeated, or cut off and repeated, it leaves the same rows. Queries with a null id or text have no row; queries without
-vectors are answered by their words. An empty corpus gives no answers. Tables: documents (doc_id,
-text, lang), queries (item_id, text), vectors (vec_id, embedding), which are both the documents' and the queries'.
+A run overwrites what an earlier one left in the target, and depends on the tables alone: repeated, or cut off and
+repeated, it leaves the same rows. It takes the index that an earlier run made whole of the same documents, told by their
+files' names, lengths and times, and else makes it anew; all queries are answered and judged each time. Queries with a
+null id or text have no row; queries without vectors are answered by their words. An empty corpus gives no answers.
+Tables: documents (doc_id, text, lang), queries (item_id, text), vectors (vec_id, embedding), which are both the
+documents' and the queries'.
 
     python -m jobs.search_evaluation --config jobs/search_evaluation.toml
 """
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from standex.operators import evaluate, index, search
-from standex.sources.shared import stored
+from standex.sources.shared import state, stored
 
 from . import settings
 
@@ -61,7 +63,7 @@ def run(spark: SparkSession, settings: Settings) -> DataFrame:
     corpus = documents.select(
         F.col("doc_id").alias("doc_idx"), F.lit("").alias("id"), F.lit("").alias("title"), "text", F.col("lang").alias("category"), F.concat_ws(" ", "text", "lang").alias("search_text")
     )
-    built = index.build(corpus, vectors.select(F.col("vec_id").alias("doc_idx"), "embedding"), settings.work)
+    built = index.build_of(state(documents), corpus, vectors.select(F.col("vec_id").alias("doc_idx"), "embedding"), settings.work)
     asked = vectors.select(F.col("vec_id").alias("qid"), "embedding").join(queries.select("qid"), "qid", "left_semi")
     found = search.hybrid(queries, asked, built, settings.answers)
 

@@ -41,6 +41,18 @@ def drop_folder(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def state(df: DataFrame) -> str:
+    """What tells one state of the tables that a frame reads from another: their files' names, lengths and times."""
+    spark = df.sparkSession
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    found = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        found.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return "\n".join(found)
+
+
 def clean(spark: SparkSession) -> None:
     """Drops all that this application has kept (indexes without a path, media, archives, tables between
     stages). Frames that read them can't be used afterwards; checkpoints are Spark's to clean."""

@@ -2,6 +2,7 @@
 
 import logging
 import os
+import shutil
 import subprocess
 import sys
 
@@ -112,3 +113,20 @@ def test_settings_refuse_what_they_dont_know(tmp_path, capsys):
     assert "missing settings: documents, checkpoint" in capsys.readouterr().err
     got = settings.read(corpus_ingest.Settings, ["--documents", "a", "--target", "b", "--checkpoint", "c", "--files-per-batch", "7"], "")
     assert got.files_per_batch == 7
+
+
+def test_evaluation_indexes_documents_once(spark, tmp_path, monkeypatch):
+    """Of documents that haven't changed the index stays; changed ones, and an index that isn't whole, give a new one."""
+    built = []
+    monkeypatch.setattr(search_evaluation.index, "build", lambda *a, f=search_evaluation.index.build: built.append(1) or f(*a))
+    chosen = tables(spark, tmp_path)
+    rows = lambda: sorted(map(tuple, search_evaluation.run(spark, chosen).collect()))
+    first = rows()
+    assert rows() == first and len(built) == 1
+    shutil.rmtree(f"{tmp_path}/work/state")
+    assert rows() == first and len(built) == 2
+    more = spark.createDataFrame([(103, "one more needle: a needle in the haystack", "de")], "doc_id long, text string, lang string")
+    more.write.mode("append").parquet(chosen.documents)
+    assert {r[6] for r in rows() if r[0] == 1} == {3} and len(built) == 3
+    shutil.rmtree(f"{tmp_path}/work")
+    assert {r[6] for r in rows() if r[0] == 1} == {3} and len(built) == 4

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import index, search
-from ..sources.shared import shared_folder
+from ..sources.shared import exists, shared_folder
 from . import data
 from . import sqlgen as g
 from .registry import query
@@ -108,15 +108,17 @@ def superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("key", ids.superseded_by(F.col("raw")).alias("superseded_by"))
 
 
-#: Indexes by application, lane and state of the tables: an index is built once and asked many times, until a table changes.
-_BUILT: dict[tuple[str, str, str], index.Index] = {}
+#: Indexes and their folders by application, lane and state of the tables: an index is built once and asked many times, until a
+#: table changes or its folder is dropped.
+_BUILT: dict[tuple[str, str, str], tuple[str, index.Index]] = {}
 
 
 def _built(spark: SparkSession, lane: str, sf_dir: str, corpus: Callable[[SparkSession, str], DataFrame]) -> index.Index:
     key = (spark.sparkContext.applicationId, lane, data.state(spark, sf_dir, "documents", "part", "embeddings"))
-    if key not in _BUILT:
-        _BUILT[key] = index.build(corpus(spark, sf_dir), data.vectors(spark, sf_dir, "doc_idx"))
-    return _BUILT[key]
+    if key not in _BUILT or not exists(spark, f"{_BUILT[key][0]}/stats"):
+        path = shared_folder(spark, "index")
+        _BUILT[key] = path, index.build(corpus(spark, sf_dir), data.vectors(spark, sf_dir, "doc_idx"), path)
+    return _BUILT[key][1]
 
 
 def scale_index(spark: SparkSession, sf_dir: str) -> index.Index:

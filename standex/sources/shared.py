@@ -41,6 +41,11 @@ def drop_folder(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def exists(spark: SparkSession, uri: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def state(df: DataFrame) -> str:
     """What tells one state of the tables that a frame reads from another: their files' names, lengths and times."""
     spark = df.sparkSession

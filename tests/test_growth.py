@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from standex.operators import enrich, index, ingest, neighbours, search
 from standex.plans import domain_queries, search_queries
+from standex.sources import shared
 
 
 def plan_of(df):
@@ -103,3 +104,10 @@ def test_found_documents_texts_stay(spark, small):
     found = search.hybrid(queries.where("qid < 3"), idx.vectors.where("doc_idx < 3").withColumnRenamed("doc_idx", "qid"), idx)
     picked = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Join [doc_idx" in line]
     assert len(picked) == 1 and "BroadcastHashJoin" in picked[0]
+
+
+def test_an_index_that_was_dropped_is_built_again(spark, small):
+    before = search_queries.scale_index(spark, small)
+    assert search_queries.scale_index(spark, small) is before
+    shared.clean(spark)
+    assert search_queries.scale_index(spark, small) is not before and search_queries.bm25_stats(spark, small).count() == 1
